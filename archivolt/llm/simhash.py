@@ -233,5 +233,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_duplicates(docs, id_col, text_col, width, radius)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
-    left = whole.join(kept, whole["_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    # the same plan at every size: a sort-merge join, never a broadcast of ids
+    left = whole.join(kept.hint("merge"), whole["_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return left.dropDuplicates(["_id"]).select("_row.*")
