@@ -168,7 +168,8 @@ def with_bitmap(docs: DataFrame, id_col: str, text_col: str, rule: Lines) -> Dat
     found = bitmaps(docs, id_col, text_col, rule).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "bitmap")
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), own.alias("tag"))
-    return rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["tag"] == found["_tag"]), "left").select("row", "bitmap")
+    # the same plan at every size: a sort-merge join, never a broadcast of bitmaps
+    return rows.join(found.hint("merge"), rows["id"].eqNullSafe(found["_id"]) & (rows["tag"] == found["_tag"]), "left").select("row", "bitmap")
 
 
 def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
