@@ -232,7 +232,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of rows with one id, one."""
     groups = near_duplicates(docs, id_col, text_col, width, radius)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    # null ids as a key of their own, so that the join and the removal of repeated ids share a shuffle
+    ids = F.col(id_col).cast("long")
+    key = [F.coalesce(ids, F.lit(0).cast("long")).alias("_key"), ids.isNull().alias("_null")]
+    whole = docs.select(*key, F.struct(*docs.columns).alias("_row"))
+    wanted = kept.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("doc_id").isNull().alias("_null"))
     # the same plan at every size: a sort-merge join, never a broadcast of ids
-    left = whole.join(kept.hint("merge"), whole["_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return left.dropDuplicates(["_id"]).select("_row.*")
+    left = whole.join(wanted.hint("merge"), ["_key", "_null"], "left_semi")
+    return left.dropDuplicates(["_key", "_null"]).select("_row.*")
