@@ -2,9 +2,9 @@
 
 The documents' ids, each with an end id, form one stream in ascending order of
 document id. The table is split into ranges of ids; a range is one file of the Arrow
-IPC format, whose record batches hold fixed-size lists: ``ids`` and ``mask`` (1 for
-ids, 0 behind the last). Any sequence is a slice of a batch that numpy reads without
-a copy. A second file has the index: doc_id, start, n_tokens. A task writes under a
+IPC format, whose record batches hold fixed-size lists: ``ids`` and ``mask`` (a bit
+each, set for ids and not behind the last). Any sequence is a slice of a batch: ids
+that numpy reads without a copy, and a view of the mask's bits. A second file has the index: doc_id, start, n_tokens. A task writes under a
 name of its own and returns it; the manifest, a written table, names the files that
 count, so tasks that run twice do no harm.
 
@@ -132,7 +132,7 @@ class Writer:
         name = f"part-{part:05d}-{uuid.uuid4().hex}"
         self.names = [f"{name}.arrow", f"{name}.index.arrow"]
         self.length, self.width = length, width
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.outs = [self.fs.open_output_stream(f"{base}/{n}") for n in self.names]
         self.to, self.to_index = (pa.ipc.new_file(o, s) for o, s in zip(self.outs, (self.schema, self.index), strict=True))
@@ -157,8 +157,8 @@ class Writer:
 
     def put(self, flat: np.ndarray) -> None:
         n = -(-len(flat) // self.length) * self.length
-        ids, mask = np.zeros(n, self.width), np.zeros(n, np.uint8)
-        ids[: len(flat)], mask[: len(flat)] = flat, 1
+        ids, mask = np.zeros(n, self.width), np.arange(n) < len(flat)
+        ids[: len(flat)] = flat
         self.to.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
@@ -184,12 +184,13 @@ class Reader:
             self.now = (k, self.file.get_batch(k))
         return self.now[1]
 
-    def flat(self, k: int, column: int = 0) -> np.ndarray:
-        return self.batch(k).column(column).flatten().to_numpy(zero_copy_only=True)
+    def flat(self, k: int) -> np.ndarray:
+        return self.batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of sequence i, without a copy."""
         k, at = i // BATCH, i % BATCH * self.length
-        return tuple(self.flat(k, c)[at : at + self.length] for c in (0, 1))
+        return self.flat(k)[at : at + self.length], self.batch(k).column(1).flatten().slice(at, self.length)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         room = BATCH * self.length
