@@ -360,15 +360,15 @@ def welch_t(spark, d):
 def _fence_query(kind: str, sql: str) -> None:
     def f(spark, d):
         r = statistics.fences(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"], kind)
-        return r.select("l_returnflag", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+        return r.select("l_returnflag", F.round("lower", 8).alias("lower"), F.round("upper", 8).alias("upper"))
 
     f.__name__ = f"fences_{kind}"
     query(sql)(f)
 
 
-_fence_query("tukey", "WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS l, quantile_cont(l_extendedprice, 0.75) AS h FROM lineitem GROUP BY 1) SELECT l_returnflag, round(l - 1.5 * (h - l), 4) AS lower, round(h + 1.5 * (h - l), 4) AS upper FROM q")
-_fence_query("quantile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) AS lower, round(quantile_cont(l_extendedprice, 0.99), 4) AS upper FROM lineitem GROUP BY 1")
-_fence_query("mad", "WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS m FROM lineitem GROUP BY 1), v AS (SELECT l_returnflag, any_value(m) AS m, 3 * 1.4826 * median(abs(l_extendedprice - m)) AS x FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1) SELECT l_returnflag, round(m - x, 4) AS lower, round(m + x, 4) AS upper FROM v")
+_fence_query("tukey", "WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS l, quantile_cont(l_extendedprice, 0.75) AS h FROM lineitem GROUP BY 1) SELECT l_returnflag, round(l - 1.5 * (h - l), 8) AS lower, round(h + 1.5 * (h - l), 8) AS upper FROM q")
+_fence_query("quantile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 8) AS lower, round(quantile_cont(l_extendedprice, 0.99), 8) AS upper FROM lineitem GROUP BY 1")
+_fence_query("mad", "WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS m FROM lineitem GROUP BY 1), v AS (SELECT l_returnflag, any_value(m) AS m, 3 * 1.4826 * median(abs(l_extendedprice - m)) AS x FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1) SELECT l_returnflag, round(m - x, 8) AS lower, round(m + x, 8) AS upper FROM v")
 
 
 @query("""WITH s AS (SELECT n_chars, count_if(quality = 1) AS t, count_if(quality <> 1) AS f FROM documents JOIN labels USING (doc_id) GROUP BY 1), c AS (SELECT t, f, sum(t) OVER w AS ct, sum(f) OVER w AS cf, sum(t) OVER () AS p, sum(f) OVER () AS n FROM s WINDOW w AS (ORDER BY n_chars DESC))
