@@ -13,15 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as T
-from archivolt.operators import matrix, relational, statistics, vectors
+from archivolt.operators import graph, inference, matrix, relational, statistics, vectors
 from archivolt.sources import text_formats
 from archivolt.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: The levels of two columns of the driver's tables.
-EVENT_ORDER = ["purchase", "signup", "click", "view", "login", "logout"]
+#: The levels of o_orderstatus.
 STATUS = ["F", "O", "P"]
 
 
@@ -430,3 +429,112 @@ def taxon_rollup(spark, d):
     leaf = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey).groupBy(F.array(F.lit("life"), "r_name", "n_name").alias("p")).agg(F.count(F.lit(1)).alias("n"))
     up = leaf.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.slice("p", 1, k))).alias("p"), "n")
     return up.groupBy(F.concat_ws(";", "p").alias("path"), F.size("p").alias("depth")).agg(F.sum("n").alias("n"))
+
+
+# --- more graphs
+
+HALVES_SQL = """x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS r FROM embeddings), h AS (SELECT id, 1 AS s, r[1:len(r) // 2] AS r FROM x UNION ALL SELECT id, 2, r[len(r) // 2 + 1:] FROM x),
+u AS (SELECT id, s, list_transform(r, lambda y: y / sqrt(list_sum(list_transform(r, lambda z: z * z)))) AS v FROM h),
+n AS (SELECT a.s, a.id, b.id AS other, round(list_dot_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.id <> b.id AND a.s = b.s WHERE a.id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY s, id ORDER BY similarity DESC, other) AS rank FROM n QUALIFY rank <= 10)"""
+
+
+def half_spaces(spark, d):
+    """Nearest neighbours in the first and in the second half of the dimensions."""
+    e, half = table(spark, d, "embeddings"), F.floor(F.size("embedding") / 2).cast("int")
+    out = []
+    for part in (F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, F.size("embedding") - half)):
+        u = vectors.units(e.select("vec_id", part.alias("part")), "vec_id", "part")
+        out.append(vectors.neighbours(u, u.where("id % 20 = 0"), 10))
+    return out
+
+
+@query(f"""WITH {HALVES_SQL}, l AS (SELECT id, list(other) FILTER (s = 1) AS p, list(other) FILTER (s = 2) AS q FROM k GROUP BY 1)
+SELECT id, len(list_intersect(p, q)) AS shared, len(list_distinct(list_concat(p, q))) AS joined, round(len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))), 6) AS jaccard FROM l""")
+def neighbour_overlap(spark, d):
+    return vectors.overlap(*half_spaces(spark, d))
+
+
+@query(f"WITH {HALVES_SQL} SELECT least(id, other) AS a, greatest(id, other) AS b, CASE s WHEN 1 THEN 'one' ELSE 'two' END AS type, max(similarity) AS weight FROM k WHERE abs(similarity) > 0.3 GROUP BY 1, 2, 3")
+def multiplex_edges(spark, d):
+    one, two = half_spaces(spark, d)
+    return graph.layer(one, "one", 0.3).unionByName(graph.layer(two, "two", 0.3))
+
+
+@query(f"""WITH {KNN_SQL}, e AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS w FROM k WHERE abs(similarity) > 0.4 GROUP BY 1, 2),
+f AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b, similarity AS w FROM k WHERE rank = 1), j AS (SELECT a, b, w FROM e UNION ALL SELECT f.a, f.b, f.w FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = f.a AND e.b = f.b)),
+z AS (SELECT unnest([a, b]) AS node, w FROM j) SELECT node, count(*) AS degree, round(sum(w), 6) AS strength FROM z GROUP BY 1""")
+def forced_edges_strength(spark, d):
+    near = knn(spark, d)
+    return graph.strength(graph.forced(near, graph.layer(near, "x", 0.4))).withColumn("strength", F.round("strength", 6))
+
+
+@query()
+def label_propagation(spark, d):
+    return graph.label_propagation(graph.layer(knn(spark, d), "x", 0.1))
+
+
+@query(f"WITH {UNIT_SQL}, c AS (SELECT max(id) + 1 AS n FROM u) SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM u a, c JOIN u b ON b.id = (a.id * 7919 + 13) % c.n WHERE a.id <> b.id")
+def null_pairs(spark, d):
+    u = unit_rows(spark, d)
+    a = u.crossJoin(F.broadcast(u.agg((F.max("id") + 1).alias("n")))).select(F.col("id").alias("a"), F.col("v").alias("x"), ((F.col("id") * 7919 + 13) % F.col("n")).alias("b"))
+    return a.join(u, F.col("b") == F.col("id")).where("a <> b").select("a", "b", F.round(vectors.dot(F.col("x"), F.col("v")), 6).alias("similarity"))
+
+
+# --- enrichment, resampling, thresholds, classifiers
+
+@query("""WITH c AS (SELECT p_brand AS g, p_type AS term, count(*) AS k FROM part GROUP BY 1, 2), t AS (SELECT term, sum(k) AS t FROM c GROUP BY 1), b AS (SELECT g, sum(k) AS d FROM c GROUP BY 1), n AS (SELECT sum(k) AS n FROM c),
+p AS (SELECT g, term, k, list_sum(list_transform(range(k, CAST(least(t, d) AS BIGINT) + 1), lambda i: exp(lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) + lgamma(n - t + 1) - lgamma(d - i + 1) - lgamma(n - t - d + i + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1)))) AS p FROM c JOIN t USING (term) JOIN b USING (g), n)
+SELECT g, term, k, round(least(p, 1), 6) AS p FROM p""")
+def hypergeometric_enrichment(spark, d):
+    c = table(spark, d, "part").groupBy(F.col("p_brand").alias("g"), F.col("p_type").alias("term")).agg(F.count(F.lit(1)).alias("k"))
+    t, b, n = c.groupBy("term").agg(F.sum("k").alias("t")), c.groupBy("g").agg(F.sum("k").alias("d")), F.broadcast(c.agg(F.sum("k").alias("n")))
+    return c.join(t, "term").join(b, "g").crossJoin(n).select("g", "term", "k", F.round(inference.hypergeometric(F.col("k"), F.col("t"), F.col("d"), F.col("n")), 6).alias("p"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS g, l_linestatus || '-' || CAST(l_linenumber AS VARCHAR) AS k, avg(l_discount) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, k) AS r, count(*) OVER (PARTITION BY g) AS n FROM s)
+SELECT g, k, round(least(min(p * n / r) OVER (PARTITION BY g ORDER BY r DESC), 1), 6) AS fdr FROM r""")
+def adjusted_rates(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.concat("l_linestatus", F.lit("-"), "l_linenumber").alias("k")).agg(F.avg("l_discount").alias("p"))
+    return inference.adjusted(s, "p", ["g"], ["k"]).select("g", "k", F.round("fdr", 6).alias("fdr"))
+
+
+@query("""WITH n AS (SELECT l_returnflag AS g, CAST(floor(l_extendedprice / 2000) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT g, bin, sum(n) OVER w AS w, sum(n * bin) OVER w AS m, sum(n) OVER p AS nn, sum(n * bin) OVER p AS mm FROM n WINDOW w AS (PARTITION BY g ORDER BY bin), p AS (PARTITION BY g)),
+s AS (SELECT g, bin, CAST(mm * w - nn * m AS DOUBLE) * CAST(mm * w - nn * m AS DOUBLE) / (CAST(w AS DOUBLE) * (nn - w)) AS s FROM c WHERE w < nn) SELECT g, bin AS threshold FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY s DESC, bin) = 1""")
+def otsu_threshold(spark, d):
+    return inference.otsu(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.floor(F.col("l_extendedprice") / 2000).alias("bin")), "g", "bin")
+
+
+@query()
+def bootstrap_interval(spark, d):
+    e = table(spark, d, "events").where("value is not null").select("event_id", F.col("event_type").alias("g"), "value", (F.col("user_id") % 3 == 0).alias("side"))
+    return inference.bootstrap(e, "event_id", "value", "side", "g")
+
+
+@query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, k <= floor(n * 0.8) AS train FROM r""")
+def stratified_split(spark, d):
+    return inference.split(table(spark, d, "embeddings"), "vec_id", "label").select("vec_id", "train")
+
+
+@query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM orders) WHERE k <= 5""")
+def grouped_sample(spark, d):
+    order = [F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.col("o_orderkey")]
+    return relational.top_k(table(spark, d, "orders"), ["o_orderpriority"], order, 5).select("o_orderpriority", "o_orderkey")
+
+
+@query(f"WITH {MATRIX_SQL} SELECT gene, round(median(value / total * 10000), 6) AS median FROM (SELECT *, sum(value) OVER (PARTITION BY sample) AS total FROM m) WHERE value > 0 GROUP BY 1")
+def nonzero_median(spark, d):
+    share = matrix.cpm(counts(spark, d)).where("value > 0")
+    return share.groupBy("gene").agg(F.round(F.median(F.col("cpm") / 100), 6).alias("median"))
+
+
+@query(f"WITH {MATRIX_SQL}, r AS (SELECT sample, gene, rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2 AS value FROM m) SELECT a.sample AS a, b.sample AS b, round(corr(a.value, b.value), 5) AS r, count(*) AS n FROM r a JOIN r b ON a.gene = b.gene AND a.sample < b.sample GROUP BY 1, 2")
+def correlation_spearman(spark, d):
+    ranks = relational.average_rank(counts(spark, d), "value", ["sample"]).select("sample", "gene", F.col("rank").alias("value"))
+    return matrix.correlation(ranks).withColumn("r", F.round("r", 5))
+
+
+@query()
+def linear_svm(spark, d):
+    rows = inference.split(table(spark, d, "embeddings"), "vec_id", "label")
+    return inference.linear_svm(rows, "embedding", F.col("label") == 0)

@@ -1,6 +1,7 @@
 """Every query with SQL gives the SQL's rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from archivolt.plans import catalog
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return str(v) if isinstance(v, (str, bool)) else repr(float(v)) if hasattr(v, "__float__") else str(v)
 

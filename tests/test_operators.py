@@ -72,3 +72,37 @@ def test_annotation_genes(spark):
 def test_log_numbers(spark):
     df = spark.createDataFrame([("reads: 1,234\n",), ("none",)], "t string").select(*text_formats.log_numbers(F.col("t"), {"n": r"reads: ([\d,]+)"}))
     assert [r.n for r in df.collect()] == [1234, None]
+
+
+def test_stream_gives_the_batch_rows(spark, tmp_path):
+    from archivolt.streaming import events
+
+    spark.createDataFrame([(1, "a", 2.0), (1, "a", 9.0), (2, "b", 3.0)], "id int, k string, v double").selectExpr("*", "timestamp'2024-01-01 00:10:00' as ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = events.rows(spark, str(tmp_path / "in"), "id int, k string, v double, ts timestamp")
+    q = events.first_of_each(stream, "ts", ["id"]).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.id for r in spark.sql("SELECT id FROM firsts").collect()) == [1, 2]
+
+
+def test_sinks(spark, tmp_path):
+    from archivolt.sources import sinks, tables
+
+    df = spark.createDataFrame([("b", "y"), ("a", "x"), ("a", "w")], "k string, m string")
+    sinks.delimited(df, str(tmp_path / "t"), gzip=True)
+    assert sorted(map(tuple, tables.delimited(spark, str(tmp_path / "t"), "k string, m string").collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(r.value for r in sinks.members(df, "k", "m").collect()) == ['{"key":"a","members":["w","x"]}', '{"key":"b","members":["y"]}']
+
+
+def test_rates_do_not_fall(spark):
+    from archivolt.operators import inference
+
+    df = spark.createDataFrame([("g", i, p) for i, p in enumerate([0.01, 0.02, 0.02, 0.5, 0.04])], "g string, i int, p double")
+    got = [r.fdr for r in inference.adjusted(df, "p", ["g"], ["i"]).orderBy("p", "i").collect()]
+    assert got == sorted(got) and got[-1] == 0.5 and got[0] == pytest.approx(0.02 * 5 / 3)
+
+
+def test_all_members_drawn(spark):
+    from archivolt.operators import inference
+
+    df = spark.createDataFrame([(2, 2, 2, 4), (0, 2, 2, 4)], "k int, t int, d int, n int")
+    assert [r.p for r in df.select(inference.hypergeometric(*(F.col(c) for c in "ktdn")).alias("p")).collect()] == pytest.approx([1 / 6, 1.0])
