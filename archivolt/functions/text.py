@@ -28,11 +28,34 @@ PHRASES = (("dpf", 0), ("hpf", 0), ("dfp", 0), ("hfp", 0), ("somites", 0), ("som
 NUMBER = regex.compile(r"\d+(?:\.\d+)?")
 
 
+def parts(phrase: str, edits: int) -> list[str]:
+    """One more piece than edits: a match of the phrase has one of them unchanged."""
+    n, k = len(phrase), edits + 1
+    return [phrase[i * n // k : (i + 1) * n // k] for i in range(k)]
+
+
+def approximate(phrase: str, edits: int, text: str) -> regex.Match | None:
+    """The match with fewest edits, of equals the first; only the surroundings of
+    unchanged pieces are searched."""
+    pattern = regex.compile(rf"(?bi)\b(?:{phrase}){{e<={edits}}}")
+    low, reach = text.lower(), 2 * len(phrase)
+    if len(low) != len(text):
+        return pattern.search(text)
+    spans: list[list[int]] = []
+    for at in sorted(m.start() for x in parts(phrase, edits) for m in regex.finditer(regex.escape(x), low)):
+        if spans and at - reach <= spans[-1][1]:
+            spans[-1][1] = at + reach
+        else:
+            spans.append([max(0, at - reach), at + reach])
+    found = [m for a, b in spans if (m := pattern.search(text, a, b))]
+    return min(found, key=lambda m: (sum(m.fuzzy_counts), m.start()), default=None)
+
+
 def classify_stage(text: str | None) -> tuple[float | None, str | None]:
     """The stage phrase of a text, as written there, and the number that belongs to it:
     of the numbers the one nearest to the phrase, before it rather than behind."""
     for phrase, edits in PHRASES if text else ():
-        m = regex.search(rf"(?bi)\b(?:{phrase}){{e<={edits}}}" if edits else rf"(?i)\b{phrase}\b", text)
+        m = approximate(phrase, edits, text) if edits else regex.search(rf"(?i)\b{phrase}\b", text)
         if not m:
             continue
         found = m.group().strip()

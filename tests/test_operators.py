@@ -106,3 +106,14 @@ def test_all_members_drawn(spark):
 
     df = spark.createDataFrame([(2, 2, 2, 4), (0, 2, 2, 4)], "k int, t int, d int, n int")
     assert [r.p for r in df.select(inference.hypergeometric(*(F.col(c) for c in "ktdn")).alias("p")).collect()] == pytest.approx([1 / 6, 1.0])
+
+
+def test_pieces_find_what_a_full_search_finds():
+    import regex
+
+    from archivolt.functions.text import approximate
+
+    for text in ("at 3 days post fertlisation, or days post fertilisation", "hours only", "x" * 500 + " 48 hours pst fertilizaton " + "y" * 500, ""):
+        for phrase in ("days post fertilisation", "hours post fertilisation"):
+            full, got = regex.search(rf"(?bi)\b(?:{phrase}){{e<=2}}", text), approximate(phrase, 2, text)
+            assert (full and full.group()) == (got and got.group())
