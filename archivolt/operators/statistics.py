@@ -68,3 +68,49 @@ def curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
     down, whole = Window.orderBy(F.desc(score)), Window.partitionBy()
     c = s.select("tp", "fp", F.sum("tp").over(down).alias("ctp"), F.sum("fp").over(down).alias("cfp"), F.sum("tp").over(whole).alias("p"), F.sum("fp").over(whole).alias("n"))
     return c.agg(F.sum(F.col("tp") / F.col("p") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("ap"), F.sum(F.col("fp") / F.col("n") * (F.col("ctp") - F.col("tp") / 2) / F.col("p")).alias("auc"))
+
+
+def cramer_von_mises(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
+    """The two-sample statistic T of each group, ties at their mean rank."""
+    r = average_rank(df, value, by).withColumn("_i", F.row_number().over(Window.partitionBy(*by, flag).orderBy(value)))
+    off = (F.col("rank") - F.col("_i")) * (F.col("rank") - F.col("_i"))
+    s = r.groupBy(*by).agg(F.count_if(F.col(flag)).alias("n"), F.count_if(~F.col(flag)).alias("m"), F.sum(F.when(F.col(flag), off)).alias("x"), F.sum(F.when(~F.col(flag), off)).alias("y"))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    return s.where("n > 0 and m > 0").select(*by, ((n * F.col("x") + m * F.col("y")) / (n * m * (n + m)) - (4 * n * m - 1) / (6 * (n + m))).alias("t"))
+
+
+def anderson_darling(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
+    """The two-sample statistic A2 of each group in its form for ties, over the distinct
+    values."""
+    v = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("l"), F.sum(F.col(flag).cast("double")).alias("a"))
+    up, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
+    c = v.select(*by, "l", (F.sum("l").over(up) - F.col("l") / 2).alias("b"), (F.sum("a").over(up) - F.col("a") / 2).alias("ca"), F.sum("l").over(whole).alias("n"), F.sum("a").over(whole).alias("na"))
+    below = F.col("b") * (F.col("n") - F.col("b")) - F.col("n") * F.col("l") / 4
+    term = lambda mine, size: F.col("l") / F.col("n") * (F.col("n") * mine - size * F.col("b")) ** 2 / below / size
+    both = term(F.col("ca"), F.col("na")) + term(F.col("b") - F.col("ca"), F.col("n") - F.col("na"))
+    return c.where((below > 0) & (F.col("na") > 0) & (F.col("na") < F.col("n"))).groupBy(*by).agg((F.sum(both) * (F.first("n") - 1) / F.first("n")).alias("a2"))
+
+
+def markers(m: DataFrame, groups: DataFrame) -> DataFrame:
+    """One group's samples against all others, for each gene: U, z, log2 of the means'
+    ratio (1 added), and the shares of samples with the gene.
+
+    ``groups`` (sample, grp) lists all samples. Absent cells are zeros that share one
+    rank, added without being made; so the work is that of the cells there are. Gene and
+    group pairs without any cell are rows too."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(groups.agg(F.count(F.lit(1)).alias("total")))  # one row
+    there = m.where("value > 0").join(groups, "sample")
+    w = Window.partitionBy("gene")
+    ranked = there.withColumns({"_c": F.count(F.lit(1)).over(w), "_r": F.rank().over(w.orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy("gene", "value")) - 1) / 2})
+    genes = ranked.groupBy("gene").agg(F.first("_c").alias("cc"), F.sum("value").alias("tt"))
+    cells = ranked.groupBy("gene", "grp").agg(F.sum("_r").alias("r"), F.count(F.lit(1)).alias("c"), F.sum("value").alias("t"))
+    levels = F.broadcast(sizes.agg(F.collect_list(F.struct("grp", "n")).alias("levels")))  # as many as groups
+    every = genes.join(levels).select("gene", "cc", "tt", F.inline("levels")).join(cells, ["gene", "grp"], "left").na.fill(0, ["r", "c", "t"]).join(total)
+    zeros = F.col("total") - F.col("cc")
+    rank = F.col("r") + F.col("c") * zeros + (F.col("n") - F.col("c")) * (zeros + 1) / 2
+    rest = F.col("total") - F.col("n")
+    u = rank - F.col("n") * (F.col("n") + 1) / 2
+    z = (u - F.col("n") * rest / 2) / F.sqrt(F.col("n") * rest * (F.col("total") + 1) / 12)
+    fold = F.log2((F.col("t") / F.col("n") + 1) / ((F.col("tt") - F.col("t")) / rest + 1))
+    return every.select("gene", "grp", u.alias("u"), z.alias("z"), fold.alias("logfc"), (F.col("c") / F.col("n")).alias("pct_in"), ((F.col("cc") - F.col("c")) / rest).alias("pct_out"))

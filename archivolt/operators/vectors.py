@@ -60,3 +60,12 @@ def overlap(one: DataFrame, two: DataFrame) -> DataFrame:
     both = a.join(b, "id")
     shared, joined = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
     return both.select("id", shared.cast("long").alias("shared"), joined.cast("long").alias("joined"), F.round(shared / joined, 6).alias("jaccard"))
+
+
+def drawn(u: DataFrame, draw: Column, target: DataFrame) -> DataFrame:
+    """draw, similarity: the mean direction of each random set's vectors against the
+    vector of ``target``, one row."""
+    parts = u.select(draw.alias("draw"), F.posexplode("v")).groupBy("draw", "pos").agg(F.sum("col").alias("x"))
+    whole = parts.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"))
+    q = F.broadcast(target.select(F.col("v").alias("q")))  # one row
+    return whole.select("draw", unit(F.transform("p", lambda p: p["x"])).alias("c")).join(q).select("draw", F.round(dot(F.col("c"), F.col("q")), 6).alias("similarity"))

@@ -7,33 +7,19 @@ descriptions, regions and nations for a taxonomy.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as T
 from archivolt.operators import graph, inference, matrix, relational, statistics, vectors
+from archivolt.plans.registry import query
 from archivolt.sources import text_formats
 from archivolt.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 #: The levels of o_orderstatus.
 STATUS = ["F", "O", "P"]
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- funnel and deduplication
 
 @query("""WITH o AS (SELECT o_orderpriority AS grp, o_orderstatus AS st, o_totalprice AS v FROM orders),
