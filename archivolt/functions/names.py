@@ -40,7 +40,7 @@ def scrubbed(c: Column, words: list[str]) -> Column:
     """Without the words, which end where letters do, and with the rest's parts joined
     by +."""
     bare = F.regexp_replace(c, "(?i)(?<![A-Za-z])(?:" + "|".join(words) + ")(?![A-Za-z])", " ")
-    return F.array_join(F.filter(F.split(bare, r"[\s,;|+]+"), lambda x: x != ""), "+")
+    return F.array_join(F.filter(F.split(bare, r"[\s,;|+]+"), lambda x: x.rlike("[A-Za-z0-9]")), "+")
 
 
 def spot_layout(descriptor: Column) -> list[Column]:

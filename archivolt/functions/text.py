@@ -73,3 +73,20 @@ def _stages(texts: pd.Series) -> pd.DataFrame:
 def stage(text: Column) -> Column:
     """struct(value, phrase) of ``classify_stage``, by Arrow batches."""
     return F.pandas_udf(_stages, "value double, phrase string")(text)
+
+
+def file_format(names: Column) -> Column:
+    """A short label of the set of file kinds that a run's files are named by."""
+    words = F.filter(F.split(names, r"\s+"), lambda w: w != "")
+    kinds = F.array_join(F.array_sort(F.array_distinct(words)), "+")
+    many = F.when(F.size(words) > 1, F.concat(F.lit(" ×"), F.size(words).cast("string"))).otherwise("")
+    return (
+        F.when(F.coalesce(F.size(words), F.lit(0)) <= 0, "unknown/NA")
+        .when(kinds.isin("fastq", "bam", "cram"), F.concat(kinds, many))
+        .when(names.contains("10X"), "10X bam")
+        .when(kinds.isin("bam+cram", "bam+fastq", "nanopore"), kinds)
+        .when(F.array_contains(words, "SOLiD_native"), "SOLiD")
+        .when(names.contains("Illumina"), "Illumina native")
+        .when(F.lower(names).contains("pacbio"), "pacbio")
+        .otherwise(F.substring(names, 1, 25))
+    )
