@@ -158,7 +158,7 @@ def linkage(distances: DataFrame, k: int, how: str = "average") -> DataFrame:
         return pd.DataFrame({"node": names, "cluster": merge(d, k, how).astype("int32")})
 
     kind = distances.schema["a"].dataType.simpleString()
-    return distances.groupBy(F.lit(0)).applyInPandas(run, f"node {kind}, cluster int")
+    return distances.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"node {kind}, cluster int")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:

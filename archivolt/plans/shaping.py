@@ -191,11 +191,11 @@ def outcome_accuracy(spark, d):
     return shaping.outcomes(j, ["lang"], F.col("n_chars") > 800, F.col("quality") == 1).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS l, quantile_cont(l_extendedprice, 0.75) AS h FROM lineitem GROUP BY 1)
-SELECT l_partkey, count(*) AS n_outside FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice < l - 1.5 * (h - l) OR l_extendedprice > h + 1.5 * (h - l) GROUP BY 1""")
+@query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS l, quantile_cont(l_extendedprice, 0.99) AS h FROM lineitem GROUP BY 1)
+SELECT l_partkey, count(*) AS n_outside FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice < l OR l_extendedprice > h GROUP BY 1""")
 def exceeds_fence(spark, d):
     li = table(spark, d, "lineitem")
-    return shaping.exceeding(li, statistics.fences(li, "l_extendedprice", ["l_returnflag"], "tukey"), ["l_returnflag"], "l_partkey", "l_extendedprice")
+    return shaping.exceeding(li, statistics.fences(li, "l_extendedprice", ["l_returnflag"], "quantile"), ["l_returnflag"], "l_partkey", "l_extendedprice")
 
 
 @query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 5 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM n)
