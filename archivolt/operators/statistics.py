@@ -114,3 +114,28 @@ def markers(m: DataFrame, groups: DataFrame) -> DataFrame:
     z = (u - F.col("n") * rest / 2) / F.sqrt(F.col("n") * rest * (F.col("total") + 1) / 12)
     fold = F.log2((F.col("t") / F.col("n") + 1) / ((F.col("tt") - F.col("t")) / rest + 1))
     return every.select("gene", "grp", u.alias("u"), z.alias("z"), fold.alias("logfc"), (F.col("c") / F.col("n")).alias("pct_in"), ((F.col("cc") - F.col("c")) / rest).alias("pct_out"))
+
+
+def winsorised(df: DataFrame, value: str, by: list[str], low: float, high: float) -> DataFrame:
+    """Values beyond their group's ``low`` and ``high`` quantiles set to these."""
+    q = df.groupBy(*by).agg(F.percentile(value, low).alias("_low"), F.percentile(value, high).alias("_high"))
+    return df.join(q, by).withColumn(value, F.greatest(F.least(value, "_high"), "_low")).drop("_low", "_high")
+
+
+def robust_scaled(df: DataFrame, value: str, by: list[str], least: float = 1e-12) -> DataFrame:
+    """Values less their group's median, over its scaled MAD; over its standard deviation
+    where that is none. Groups with neither are left out."""
+    m = df.groupBy(*by).agg(F.median(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    near = df.join(m, by)
+    d = near.groupBy(*by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("_d"))
+    scale = F.when(F.col("_d") > least, F.col("_d")).when(F.col("_s") > least, F.col("_s"))
+    scaled = near.join(d, by).withColumn("_scale", scale).where("_scale is not null")
+    return scaled.withColumn(value, (F.col(value) - F.col("_m")) / F.col("_scale")).drop("_m", "_s", "_d", "_scale")
+
+
+def sliced_distance(df: DataFrame, x: str, y: str, flag: str, by: list[str], slices: int = 8) -> DataFrame:
+    """The mean 1-Wasserstein distance of both sides' points, seen along ``slices`` evenly
+    spread directions."""
+    turns = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.struct(k.alias("k"), (F.cos(k * F.pi() / slices) * F.col(x) + F.sin(k * F.pi() / slices) * F.col(y)).alias("at")))
+    seen = df.select(*by, flag, F.inline(turns))
+    return distances(seen, "at", flag, [*by, "k"]).groupBy(*by).agg(F.avg("wasserstein").alias("sliced"))

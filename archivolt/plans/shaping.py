@@ -275,3 +275,21 @@ def marker_reference(spark, d):
     home = F.first("r").over(Window.partitionBy("s").orderBy(F.desc("n"), "r"))
     both = n.select("r", "s", k.alias("k"), home.cast("bigint").alias("home"))
     return both.select("r", "s", F.when(F.col("home") == F.col("r"), "same").when(F.col("k") <= 3, "novel").otherwise("other").alias("kind"), "home")
+
+
+# --- robust scales and distances of points
+
+@query(f"""WITH {MATRIX_SQL}, q AS (SELECT sample, quantile_cont(value, 0.05) AS l, quantile_cont(value, 0.95) AS h FROM m GROUP BY 1), w AS (SELECT sample, gene, greatest(least(value, h), l) AS v FROM m JOIN q USING (sample)),
+c AS (SELECT sample, median(v) AS c, stddev_samp(v) AS s FROM w GROUP BY 1), d AS (SELECT sample, 1.4826 * median(abs(v - c)) AS d FROM w JOIN c USING (sample) GROUP BY 1), e AS (SELECT sample, c, CASE WHEN d > 1e-12 THEN d WHEN s > 1e-12 THEN s END AS e FROM c JOIN d USING (sample))
+SELECT sample, gene, round((v - c) / e, 5) AS value FROM w JOIN e USING (sample) WHERE e IS NOT NULL""")
+def robust_scale(spark, d):
+    m = statistics.winsorised(counts(spark, d), "value", ["sample"], 0.05, 0.95)
+    return statistics.robust_scaled(m, "value", ["sample"]).select("sample", "gene", F.round("value", 5).alias("value"))
+
+
+@query("""WITH p AS (SELECT l_returnflag AS g, l_linestatus = 'F' AS side, unnest(range(8)) AS k, l_quantity AS x, l_discount * 100 AS y FROM lineitem), e AS (SELECT g, side, k, cos(k * pi() / 8) * x + sin(k * pi() / 8) * y AS value FROM p),
+v AS (SELECT g, k, value, count_if(side) AS a, count_if(NOT side) AS b FROM e GROUP BY 1, 2, 3), c AS (SELECT g, k, abs(sum(a) OVER w / sum(a) OVER p - sum(b) OVER w / sum(b) OVER p) AS x, coalesce(lead(value) OVER w - value, 0) AS w FROM v WINDOW w AS (PARTITION BY g, k ORDER BY value), p AS (PARTITION BY g, k))
+SELECT g, round(avg(s), 4) AS sliced FROM (SELECT g, k, sum(x * w) AS s FROM c GROUP BY 1, 2) GROUP BY 1""")
+def sliced_distance(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_linestatus") == "F").alias("side"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    return statistics.sliced_distance(p, "x", "y", "side", ["g"]).withColumn("sliced", F.round("sliced", 4))

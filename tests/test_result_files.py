@@ -37,3 +37,16 @@ def test_logs_and_samples(spark, tmp_path):
     assert result_files.listed(spark, str(tmp_path), "*.log").count() == 2
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3,)], "x int")
     assert sorted(tuple(r) for r in result_files.combined({"a": a, "b": b}).select("x", "sample").collect()) == [(1, "a"), (3, "b")]
+
+
+def test_graphml(spark):
+    from xml.etree import ElementTree
+
+    from archivolt.sources import sinks
+
+    nodes, edges = spark.createDataFrame([("b<",), ("a&",)], "id string"), spark.createDataFrame([("a&", "b<", 0.5)], "a string, b string, weight double")
+    lines = [r.value for r in sinks.graphml(nodes, edges).collect()]
+    tree = ElementTree.fromstring("".join(lines))
+    name = lambda t: "{http://graphml.graphdrawing.org/xmlns}" + t
+    assert [n.get("id") for n in tree.iter(name("node"))] == ["a&", "b<"]
+    assert [(x.get("source"), x.get("target"), x[0].text) for x in tree.iter(name("edge"))] == [("a&", "b<", "0.5")]
