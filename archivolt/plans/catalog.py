@@ -242,11 +242,11 @@ def token_difference(spark, d):
 
 # --- count matrices
 
-MATRIX_SQL = "m AS (SELECT l_suppkey % 40 AS sample, l_partkey % 200 AS gene, sum(l_quantity) AS value FROM lineitem WHERE (l_orderkey + l_partkey) % 3 = 0 GROUP BY 1, 2)"
+MATRIX_SQL = "m AS (SELECT l_suppkey % 40 AS sample, l_partkey % 200 AS gene, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"
 
 
 def counts(spark, d):
-    li = table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 3 == 0)
+    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
     return li.groupBy((F.col("l_suppkey") % 40).alias("sample"), (F.col("l_partkey") % 200).alias("gene")).agg(F.sum("l_quantity").alias("value"))
 
 

@@ -17,9 +17,9 @@ TYPES = ["ECONOMY", "STANDARD", "PROMO"]
 
 # --- columns and values
 
-@query(f"WITH {MATRIX_SQL} SELECT sample, coalesce(p_brand, CAST(gene AS VARCHAR)) AS gene, sum(value) AS value FROM m LEFT JOIN (SELECT p_partkey AS gene, p_brand FROM part WHERE p_partkey % 5 <> 0) USING (gene) GROUP BY 1, 2")
+@query(f"WITH {MATRIX_SQL} SELECT sample, coalesce(p_brand, CAST(gene AS VARCHAR)) AS gene, sum(value) AS value FROM m LEFT JOIN (SELECT p_partkey AS gene, p_brand FROM part WHERE p_size > 10) USING (gene) GROUP BY 1, 2")
 def renamed_columns(spark, d):
-    mapping = table(spark, d, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("gene"), "p_brand")
+    mapping = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("gene"), "p_brand")
     return shaping.renamed(counts(spark, d), mapping, "gene", "p_brand", ["sample"], "value")
 
 
