@@ -209,16 +209,22 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def components(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id of all rows of ``fps`` (doc_id, fp), which is read
-    more than once and so should be a written table."""
+def rooted(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """fp, first_doc (its smallest document id) and root (the component's smallest
+    fingerprint) of the distinct fingerprints of ``fps``."""
     distinct, _ = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     tiled, tile_path = materialise(tiles(distinct), "tiles")
     roots = connected(links(tiled, tiled.count(), radius))
     remove(fps.sparkSession, tile_path)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+
+
+def components(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """doc_id, fp, component_id of all rows of ``fps`` (doc_id, fp), which is read
+    more than once and so should be a written table."""
+    found = rooted(fps, radius)
+    named = found.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    of_fp = found.select("fp", "root").join(named, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -227,16 +233,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return components(materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")[0], radius)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns;
-    of rows with one id, one."""
-    groups = near_duplicates(docs, id_col, text_col, width, radius)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # null ids as a key of their own, so that the join and the removal of repeated ids share a shuffle
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and tag: a row is its id and its text, null and empty alike."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"))
+
+
+def first_of(rows: DataFrame, group: str) -> DataFrame:
+    """The first row (doc_id, tag) of each group, by id, nulls last, and tag: the group,
+    _null, _key and _tag."""
+    row = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("tag").alias("_tag"))
+    return rows.groupBy(group).agg(F.min(row).alias("f")).select(group, "f.*")
+
+
+def named_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``named`` (_null, _key, _tag) has, all columns, repeated
+    ones once."""
+    # null ids as a key of their own, so that the join and the removal of repeated rows share a shuffle
+    key = ["_key", "_null", "_tag"]
     ids = F.col(id_col).cast("long")
-    key = [F.coalesce(ids, F.lit(0).cast("long")).alias("_key"), ids.isNull().alias("_null")]
-    whole = docs.select(*key, F.struct(*docs.columns).alias("_row"))
-    wanted = kept.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("doc_id").isNull().alias("_null"))
+    whole = docs.select(F.coalesce(ids, F.lit(0).cast("long")).alias("_key"), ids.isNull().alias("_null"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_tag"), F.struct(*docs.columns).alias("_row"))
     # the same plan at every size: a sort-merge join, never a broadcast of ids
-    left = whole.join(wanted.hint("merge"), ["_key", "_null"], "left_semi")
-    return left.dropDuplicates(["_key", "_null"]).select("_row.*")
+    left = whole.join(named.select(*key).hint("merge"), key, "left_semi")
+    return left.dropDuplicates(key).select("_row.*")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component, all columns: that with the smallest id."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t, width) for t in texts_of(b.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "tag", "fp"])
+
+    rows, _ = materialise(identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, tag long, fp long"), "fingerprints")
+    return named_rows(docs, first_of(rows.join(rooted(rows, radius).select("fp", "root"), "fp"), "root"), id_col, text_col)

@@ -20,3 +20,9 @@ def test_one_of_many_copies_survives_the_line_stage(spark):
     assert {(r.doc_id, r.text) for r in cleaned.collect() if r.text} == {copies[0], copies[12], (900, sentence(99))}
     left = corpus_pipeline.near_duplicates(spark, cleaned, "").collect()
     assert sorted(r.text for r in left if r.text) == sorted([copies[0][1], copies[12][1], sentence(99)])
+
+
+def test_rows_without_an_id_or_with_the_same_id_stay(spark):
+    rows = [(None, sentence(1)), (None, sentence(2)), (None, sentence(2)), (5, sentence(3)), (5, sentence(4)), (5, sentence(4)), (6, sentence(3)), (7, None), (8, "")]
+    left = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect() if r.text)
+    assert left == sorted([("None", sentence(1)), ("None", sentence(2)), ("5", sentence(3)), ("5", sentence(4))])
