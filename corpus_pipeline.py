@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import classifier, line_dedup, packing, quality_rules, simhash
+from archivolt.llm import classifier, line_dedup, near_copies, packing, quality_rules
 from archivolt.llm.common import documents, new_path
 from archivolt.llm.queries import WORD_BPE
 
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality_rules", rules),
     ("quality_classifier", quality),
     ("line_dedup", lines),
-    ("simhash_near_dedup", near_duplicates),
+    ("near_dedup", near_duplicates),
     ("packing", pack),
 ]
 

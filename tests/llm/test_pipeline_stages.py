@@ -1,7 +1,11 @@
 """The stages of the pipeline on small tables."""
 
+import random
+
 import corpus_pipeline
 
+from archivolt.llm import near_copies
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -26,3 +30,39 @@ def test_rows_without_an_id_or_with_the_same_id_stay(spark):
     rows = [(None, sentence(1)), (None, sentence(2)), (None, sentence(2)), (5, sentence(3)), (5, sentence(4)), (5, sentence(4)), (6, sentence(3)), (7, None), (8, "")]
     left = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect() if r.text)
     assert left == sorted([("None", sentence(1)), ("None", sentence(2)), ("5", sentence(3)), ("5", sentence(4))])
+
+
+def plain_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def changed(text, at):
+    w = text.split()
+    return " ".join(f"new{k}" if k in at else x for k, x in enumerate(w))
+
+
+def test_near_copies_are_those_of_similarity_0_8(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(12):
+        base = sentence(g, 150)
+        # a chain, of which the last is like the third only, and a text that is near but not enough
+        a, b = changed(base, {20, 90}), changed(base, {20, 90, 130})
+        texts += [base, a, b, changed(b, {5, 50, 70}), changed(sentence(g + 100, 150), {30}), changed(sentence(g + 100, 150), {10, 40, 60, 80, 100, 120})]
+    crowd = sentence(77, 200)
+    texts += [changed(crowd, set(rng.sample(range(200), 3))) for _ in range(60)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and plain_jaccard(texts[i], texts[j]) >= 0.8:
+                group = [group[j] if x == group[i] else x for x in group]
+    want = sorted(min(i for i, y in enumerate(group) if y == x) for x in set(group))
+    left = corpus_pipeline.near_duplicates(spark, table(spark, enumerate(texts)), "").collect()
+    assert sorted(r.doc_id for r in left) == want
+    assert len(want) < 60
+
+
+def test_no_near_copies(spark):
+    assert near_copies.one_of_each(table(spark, [(1, sentence(1)), (2, sentence(2))])).count() == 2
+    assert near_copies.one_of_each(table(spark, [(1, "a")]).where("false")).count() == 0
