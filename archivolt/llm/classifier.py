@@ -7,8 +7,8 @@ neither dictionary, weighted to the labels' true shares. The score is the
 probability of label 1.
 
 The model is fitted on a bounded sample: of the rows that may be learnt from, the
-``per_class`` first of each label by a hash of their id, among texts of
-``max_chars`` at most (whole texts). All texts are scored, whole.
+``per_class`` first of each label by a hash of their id; those of them longer than
+``max_chars`` are left out, none is cut. All texts are scored, whole.
 
 Null text is the empty text and gets a score too. Labels that are null or contradict
 each other for one id, and ids that are null, are not learnt from. Without labelled
@@ -145,14 +145,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", how: Fit = Fit()) -> DataFrame:
-    """The rows predicted to be good, with all their columns."""
+    """The rows predicted to be good, with all their columns. Only texts go to Python."""
     spark = docs.sparkSession
     bound_batches(spark)
     model = spark.sparkContext.broadcast(trained(docs, labels, id_col, text_col, label_col, how))
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(score(model.value, texts_of(b.column(at))) >= how.threshold))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(score(model.value, texts_of(texts)) >= how.threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col(text_col).cast("string")))

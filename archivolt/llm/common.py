@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
-#: Rows an Arrow batch may hold: a batch of long texts must fit a worker's memory.
-BATCH_ROWS = 1000
+#: Rows, and bytes, an Arrow batch may hold: a batch of long texts must fit a worker's
+#: memory. One row is a batch at least, however long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's rows per Arrow batch to ``rows``; never raises it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> None:
+    """Lower the session's bounds of an Arrow batch to ``rows`` and ``most`` bytes; never
+    raises them. They stay lowered, as queries that were built run later."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most)):
+        now = spark.conf.get(key, None)
+        now = int(now.rstrip("bB")) if now and now.rstrip("bB").lstrip("-").isdigit() else 0
+        if now <= 0 or now > bound:
+            spark.conf.set(key, bound)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +40,22 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``. Only where the
-    cluster names none (tests, local mode) a temporary folder is set instead."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="archivolt-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder all machines share: ``spark.checkpoint.dir``, or the context's own
+    checkpoint folder. Without either only local mode, as in tests, gets a temporary
+    one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("no folder that all machines share: set spark.checkpoint.dir")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="archivolt-"))
+    return qualified(spark, named or sc.getCheckpointDir()).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, as Spark resolves it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def new_path(spark: SparkSession, label: str) -> str:

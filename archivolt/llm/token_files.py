@@ -4,13 +4,13 @@ The documents' ids, each with an end id, form one stream in ascending order of
 document id. The table is split into ranges of ids; a range is one file of the Arrow
 IPC format, whose record batches hold fixed-size lists: ``ids`` and ``mask`` (a bit
 each, set for ids and not behind the last). Any sequence is a slice of a batch: ids
-that numpy reads without a copy, and a view of the mask's bits. A second file has the index: doc_id, start, n_tokens. A task writes under a
-name of its own and returns it; the manifest, a written table, names the files that
-count, so tasks that run twice do no harm.
+that numpy reads without a copy, and a view of the mask's bits. A second file has the
+index: doc_id, start, n_tokens. A task writes under a name of its own and returns it;
+the manifest, a written table, names the files that count, so tasks that run twice do
+no harm.
 
-A string between spaces is tokenised once, by the tokenizers library, and kept. A
-space before a character that is not white space and behind one begins a token
-whatever else the text holds; texts with other spaces go to the library whole.
+A piece of text (a word with the space before it, say) is tokenised once, by the
+tokenizers library, and kept; texts with special tokens go to the library whole.
 
 Null text is the empty text: one end id. Rows of one id follow each other in the
 order of their ids' bytes; null ids come first. An empty table gives no file and an
@@ -23,7 +23,6 @@ import json
 import re
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,80 +33,122 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from archivolt.llm.common import IdRanges, bound_batches, materialise, new_path, shuffle_parts, slices, texts_of
+from archivolt.llm.common import IdRanges, bound_batches, materialise, new_path, qualified, shuffle_parts, slices, texts_of
+from archivolt.llm.strings import SPACE, Store, code_points, contracted, distinct, hashes, kinds_of, ragged, run_starts
 
-KEPT = 900_000
+#: Pieces that a worker keeps at most; bounds its memory.
+KEPT = 400_000
+#: Code points of a flat array; a longer text has one of its own.
+FLAT = 1 << 21
 SEQUENCE = 2048
 #: Sequences of a record batch.
 BATCH = 64
 
 
 class Encoder:
-    """Ids of texts, as bytes of ``width``."""
+    """Ids of texts, as arrays of ``width``, by the tokenizers library.
+
+    Texts are cut in numpy into the pieces that the library's pre-tokenizer makes; the
+    different new pieces go to the library in a few long strings that it cuts the same
+    way, and the ids are told apart by the bytes they stand for. Where that doesn't add
+    up, each piece goes to it alone."""
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f)["added_tokens"]]
+            spec = json.load(f)
+        if spec["normalizer"] or spec["pre_tokenizer"] != spec["pre_tokenizer"] | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}:
+            raise ValueError("not a byte-level vocabulary with its usual pieces")
+        special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda _: None
         self.width = np.dtype(np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.code = "H" if self.width.itemsize == 2 else "I"
-        self.first: dict[str, bytes | None] = {}  # of strings that begin a text
-        self.later: dict[str, bytes | None] = {}  # of strings behind a space; None: not to be parted so
-
-    def raw(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def each(self, strings: list[str]) -> list[bytes]:
-        return [self.raw(e.ids) for e in self.whole.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def of_letters(self, words: list[str]) -> list[bytes]:
-        """Of words of letters behind a space: they are tokenised in one go."""
-        if not words:
-            return []
-        e = self.whole.encode("".join([" " + w for w in words]), add_special_tokens=False)
-        at = np.array(e.word_ids, np.int64)
-        if not len(at) or at[-1] != len(words) - 1:
-            return self.each([" " + w for w in words])
-        flat, width = self.raw(e.ids), self.width.itemsize
-        ends = (np.searchsorted(at, np.arange(len(words)), side="right") * width).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    def learn(self, strings: set[str], known: dict[str, bytes | None], before: str) -> None:
-        fresh = strings.difference(known)
-        if not fresh:
-            return
-        if len(known) + 2 * len(fresh) > KEPT:
-            known.clear()
-            fresh = strings
-        odd = [s for s in fresh if before and (not s or s[0].isspace() or s[-1].isspace()) or s and s[-1].isspace() or self.special(s)]
-        known.update(dict.fromkeys(odd))
-        plain = fresh.difference(odd)
-        if before:
-            ended = {s for s in plain if s[-1] in ".,;:!?" and s[:-1].isalpha()}
-            words = list({s for s in plain if s.isalpha()}.union(s[:-1] for s in ended).difference(known))
-            known.update(zip(words, self.of_letters(words), strict=True))
-            marks = dict(zip(".,;:!?", self.each(list(".,;:!?")), strict=True))
-            known.update({s: known[s[:-1]] + marks[s[-1]] for s in ended})
-            plain = plain.difference(known)
-        rest = list(plain)
-        known.update(zip(rest, self.each([before + s for s in rest]), strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        parts = [t.split(" ") for t in texts]
-        for a, b in slices([len(p) for p in parts], KEPT // 4):
-            heads = [p.pop(0) for p in parts[a:b]]
-            self.learn(set(heads), self.first, "")
-            self.learn({s for p in parts[a:b] for s in p}, self.later, " ")
-            get = self.later.__getitem__
-            for k, head in enumerate(heads, a):
-                try:
-                    out.append(self.first[head] + b"".join(map(get, parts[k])))
-                except TypeError:  # a None among them
-                    out.append(self.raw(self.whole.encode(texts[k], add_special_tokens=False).ids))
+        self.bytes = np.zeros(self.whole.get_vocab_size(), np.int64)  # that an id stands for
+        for token, k in self.whole.get_vocab().items():
+            self.bytes[k] = len(token)
+        self.kinds = kinds_of(self.whole.pre_tokenizer.pre_tokenize_str, False)
+        self.pieces = Store(self.width, KEPT)
+
+    def pieces_of(self, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Where pieces begin; none goes over ``cuts``."""
+        kind, n = self.kinds.of(codes), len(codes)
+        begins = run_starts(kind, cuts)
+        cut = np.zeros(n + 1, bool)
+        cut[cuts] = True
+        # white space before something else leaves its last character to it: a space is
+        # part of what follows, any other is a piece
+        last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~cut[1:n])
+        begins[last] = True
+        begins[last[codes[last] == 32] + 1] = False
+        contracted(codes, kind, begins, cuts)
+        return np.flatnonzero(begins)
+
+    def alone(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def together(self, strings: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces, encoded as one string with ``between`` behind each."""
+        if not strings:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        ids = np.array(self.alone([between.join([*strings, ""])])[0], np.int64)
+        ends = np.cumsum([len(s.encode()) + len(between) for s in strings])
+        upto = np.cumsum(self.bytes[ids])
+        at = np.searchsorted(upto, ends)
+        if not len(upto) or upto[-1] != ends[-1] or (upto[at] != ends).any():
+            each = self.alone(strings)
+            return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
+        sizes = np.diff(np.r_[0, at + 1])
+        if between:  # one id of its own
+            keep = np.ones(len(ids), bool)
+            keep[at] = False
+            ids, sizes = ids[keep], sizes - 1
+        return ids, sizes
+
+    def learn(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces."""
+        kind = np.array([0 if s[0] == " " and not s.isspace() else 2 if s.isspace() else 1 for s in strings], np.int8)
+        ids, size, at, before = [], np.empty(len(strings), np.int64), np.empty(len(strings), np.int64), 0
+        for k, between in enumerate(("", "\n", None)):
+            mine = np.flatnonzero(kind == k)
+            some = [strings[i] for i in mine.tolist()]
+            if between is None:
+                each = self.alone(some)
+                flat, sizes = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
+            else:
+                flat, sizes = self.together(some, between)
+            ids.append(flat)
+            size[mine], at[mine] = sizes, before + np.cumsum(sizes) - sizes
+            before += len(flat)
+        return ragged(np.concatenate(ids), at, size), size
+
+    def encode_flat(self, texts: list[str]) -> list[np.ndarray]:
+        text = "".join(texts)
+        codes, bounds = code_points(text), np.cumsum([0, *map(len, texts)])
+        starts = self.pieces_of(codes, bounds)
+        ends = np.r_[starts[1:], len(codes)][: len(starts)]
+        one, two = hashes(codes, starts, ends)
+        first, of = distinct(one, two)
+
+        def learnt(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = first[fresh]
+            return self.learn([text[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        flat, at, size = self.pieces.runs(one[first], two[first], learnt)
+        ids = ragged(flat, at[of], size[of])
+        edges = np.r_[0, np.cumsum(size[of])][np.searchsorted(starts, bounds)].tolist()
+        return [ids[i:j] for i, j in zip(edges, edges[1:])]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        special = [k for k, t in enumerate(texts) if self.special(t)]
+        plain = list(texts)
+        for k in special:
+            plain[k] = ""
+        for a, b in slices([len(t) for t in plain], FLAT):
+            out += self.encode_flat(plain[a:b])
+        for k in special:
+            out[k] = np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, self.width)
         return out
 
 
@@ -117,9 +158,9 @@ def loaded(path: str) -> Encoder:
 
 
 def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a Spark path, and the path in it."""
-    if "://" not in uri:
-        return pa.fs.LocalFileSystem(), uri.removeprefix("file:")
+    """The file system of a path with its scheme, and the path in it."""
+    if uri.startswith("file:/"):
+        return pa.fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return pa.fs.FileSystem.from_uri(uri)
 
 
@@ -199,18 +240,20 @@ class Reader:
 
 
 def written(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, length: int = SEQUENCE) -> list[dict]:
-    """Write the files into ``folder``; the manifest, a dict a range in order: part,
-    file, index_file, docs, tokens, base (tokens of the ranges before)."""
+    """Write the files into ``folder``, which all machines share; the manifest, a dict a
+    range in order: part, file, index_file, docs, tokens, base (tokens of the ranges
+    before)."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = IdRanges(rows, "doc_id", shuffle_parts(spark))
 
     def encode(batches):
         enc = loaded(path)
-        last = enc.raw([end])
+        last = np.array([end], enc.width).tobytes()
         for b in batches:
-            ids = [x + last for x in enc.encode_batch([t.decode() for t in texts_of(b.column(1))])]
+            ids = [x.tobytes() + last for x in enc.encode_batch([t.decode() for t in texts_of(b.column(1))])]
             yield pa.RecordBatch.from_arrays([pa.array(ranges.of(b.column(0)).astype(np.int32)), b.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
     def write(batches):
@@ -238,6 +281,7 @@ def written(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", tex
 
 def read_back(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
+    folder = qualified(spark, folder)
     shape = "place int, file string, index_file string, base long"
     files = spark.createDataFrame([(k, m["file"], m["index_file"], m["base"]) for k, m in enumerate(manifest)], shape).repartitionById(max(1, len(manifest)), "place")
 

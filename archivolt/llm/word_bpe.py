@@ -1,19 +1,22 @@
 """BPE encoding and decoding with a vocabulary of word ends, in numpy.
 
-A text is split at white space; what is between is encoded once for each
-different string and kept. The new strings of a batch are normalised, cut into
-words, and the words' symbols put into one flat array. A round finds the rank of
-each neighbouring pair by binary search over the sorted pair keys, takes each
-word's lowest rank, and merges that pair throughout the word; words without a
-pair to merge leave the array. Ids and decoded text are those of the tokenizers
-library for the same file (its normaliser is used, its model is not).
+Texts are split at white space in one flat array of code points; what is between is
+encoded once for each different string and kept (``strings.Store``). The new strings
+of a batch are normalised, cut into words, and the different new words' symbols put
+into one flat array. A round finds the rank of each neighbouring pair by binary
+search over the sorted pair keys, takes each word's lowest rank, and merges that pair
+throughout the word; words without a pair to merge leave the array. Ids and decoded
+text are those of the tokenizers library for the same file (its normaliser is used,
+its model is not).
 
 All occurrences of a pair can be merged at once only if a merge never makes a
 pair of a lower rank; the ranks of which this does not hold are found when the
 file is read, and of those the leftmost occurrence alone is merged in a round.
 
 Null text is the empty text, with no ids. Strings of special tokens within a text
-become their ids, as in the library.
+become their ids, as in the library. A text longer than ``FLAT`` is a batch of its own,
+whole. Each row is encoded by itself: repeated rows, ties and null ids make no
+difference; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +28,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from archivolt.llm.common import bound_batches, slices, texts_of
+from archivolt.llm.strings import NUMBER, Store, code_points, contracted, distinct, hashes, kinds_of, ragged, run_starts
 
 NONE = np.iinfo(np.int32).max
-#: Strings kept by a worker before it starts anew; bounds its memory.
-KEPT = 900_000
+#: Strings, and words, that a worker keeps at most; bounds its memory.
+KEPT = 400_000
+#: Code points of a flat array; a longer text has one of its own.
+FLAT = 1 << 21
+#: What \\s is among the code points.
+WHITE = np.zeros(0x3002, bool)
+WHITE[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,12 +77,11 @@ class WordBpe:
         np.minimum.at(lowest, left, rank)
         np.minimum.at(lowest, right, rank)
         self.at_once = lowest[made] > rank
-        self.normal = Tokenizer.from_file(path).normalizer
-        split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
-        self.words = regex.compile(split).findall
+        library = Tokenizer.from_file(path)
+        self.normal, self.kinds = library.normalizer, kinds_of(library.pre_tokenizer.pre_tokenize_str, True)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.width = np.dtype(np.uint16 if len(self.tokens) <= 1 << 16 else np.uint32)
-        self.cache: dict[str, bytes] = {}
+        self.strings, self.words = Store(self.width, KEPT), Store(self.width, KEPT)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -125,56 +132,77 @@ class WordBpe:
         order = np.argsort(wid, kind="stable")
         return np.concatenate(ready_sym)[order], np.bincount(wid, minlength=len(words))
 
-    def learn(self, strings: list[str]) -> None:
-        """Add strings without white space to those kept."""
-        normal = self.normal.normalize_str("\n".join(strings)).split(" ")
-        if len(normal) != len(strings):
-            normal = [self.normal.normalize_str(s) for s in strings]
-        words = [self.pieces(s) for s in normal]
-        known = self.cache
-        different = list({w for ws in words for w in ws}.difference(known))
-        ids, sizes = self.merge([w.encode() for w in different])
-        flat, width = ids.astype(self.width).tobytes(), self.width.itemsize
-        ends = (np.cumsum(sizes) * width).tolist()
-        known.update(zip(different, [flat[a:b] for a, b in zip([0, *ends], ends)]))  # a word's ids are those of itself as a string
-        known.update(zip(strings, [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in words], strict=True))
-
-    def pieces(self, s: str) -> list[str]:
-        """The words of a string without white space."""
-        if s.isalpha():
-            return [s]
-        if s[:-1].isalpha() and s[-1] in ".,;:!?":
-            return [s[:-1], s[-1]]
-        return self.words(s)
-
-    def split(self, text: str) -> list[str]:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # str.split() parts at these, \s does not
-            return [s for s in regex.split(r"\s+", text) if s]
-        return text.split()
+    def normalised(self, strings: list[str]) -> list[str]:
+        """By the library's normaliser; what is ASCII is only lower-cased by it."""
+        if not strings:
+            return []
+        joined = "\n".join(strings)
+        if joined.isascii():
+            return joined.lower().split("\n")
+        out = self.normal.normalize_str(joined).split(" ")
+        return out if len(out) == len(strings) else [self.normal.normalize_str(s) for s in strings]
+
+    def learn(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of strings without white space."""
+        plain = [s.isascii() for s in strings]
+        one, two = (iter(self.normalised([s for s, p in zip(strings, plain, strict=True) if p == which])) for which in (True, False))
+        normal = [next(one) if p else next(two) for p in plain]
+        text = "".join(normal)
+        codes, bounds = code_points(text), np.cumsum([0, *map(len, normal)])
+        kind = self.kinds.of(codes)
+        begins = run_starts(kind, bounds[:-1])
+        begins |= kind == NUMBER
+        contracted(codes, kind, begins, bounds)
+        starts = np.flatnonzero(begins)
+        ends = np.r_[starts[1:], len(codes)][: len(starts)]
+        one, two = hashes(codes, starts, ends)
+        first, of = distinct(one, two)
+
+        def merged(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = first[fresh]
+            return self.merge([text[i:j].encode() for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        flat, at, size = self.words.runs(one[first], two[first], merged)
+        total = np.r_[0, np.cumsum(size[of])]
+        return ragged(flat, at[of], size[of]), np.diff(total[np.searchsorted(starts, bounds)])
+
+    def encode_flat(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens, that fit one flat array."""
+        text = "".join(texts)
+        codes, bounds = code_points(text), np.cumsum([0, *map(len, texts)])
+        inside = np.r_[False, ~WHITE[np.minimum(codes, len(WHITE) - 1)], False]
+        cut = np.zeros(len(codes) + 2, bool)
+        cut[bounds + 1] = True
+        starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[1:-1]))
+        ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[2:])) + 1
+        one, two = hashes(codes, starts, ends)
+        first, of = distinct(one, two)
+
+        def learnt(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = first[fresh]
+            return self.learn([text[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        flat, at, size = self.strings.runs(one[first], two[first], learnt)
+        ids = ragged(flat, at[of], size[of])
+        edges = np.r_[0, np.cumsum(size[of])][np.searchsorted(starts, bounds)].tolist()
+        return [ids[i:j] for i, j in zip(edges, edges[1:])]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as an array of ``width``."""
         out: list[np.ndarray] = []
-        cut, get = self.cut, self.cache.__getitem__
-        parts = [[] if cut and "<|" in t and cut.search(t) else self.split(t) for t in texts]
-        for a, b in slices([len(p) for p in parts], KEPT // 4):
-            self.ensure({s for p in parts[a:b] for s in p})
-            out += [np.frombuffer(b"".join(map(get, p)), self.width) for p in parts[a:b]]
-        for k, t in enumerate(texts):
-            if cut and "<|" in t and cut.search(t):
-                pieces = cut.split(t)
-                plain = iter(self.encode_batch([x for x in pieces if x not in self.special]))
-                out[k] = np.concatenate([np.array([self.special[x]], self.width) if x in self.special else next(plain) for x in pieces])
+        cut = self.cut
+        special = [k for k, t in enumerate(texts) if cut and "<|" in t and cut.search(t)]
+        plain = list(texts)
+        for k in special:
+            plain[k] = ""
+        for a, b in slices([len(t) for t in plain], FLAT):
+            out += self.encode_flat(plain[a:b])
+        for k in special:
+            pieces = cut.split(texts[k])
+            between = iter(self.encode_batch([x for x in pieces if x not in self.special]))
+            out[k] = np.concatenate([np.array([self.special[x]], self.width) if x in self.special else next(between) for x in pieces])
         return out
 
-    def ensure(self, strings: set[str]) -> None:
-        fresh = strings.difference(self.cache)
-        if fresh and len(self.cache) + 2 * len(fresh) > KEPT:
-            self.cache.clear()
-            fresh = strings
-        if fresh:
-            self.learn(list(fresh))
-
     def decode(self, ids: np.ndarray) -> str:
         """The tokens, a space between: the file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -167,10 +167,10 @@ def test_token_files_round_trip(docs, rows, none):
 
 
 def test_sequences_without_a_copy(tmp_path):
-    w = token_files.Writer(str(tmp_path), 0, np.dtype(np.uint16), 8)
+    w = token_files.Writer(f"file:{tmp_path}", 0, np.dtype(np.uint16), 8)
     w.add([1, 2], [np.arange(13, dtype=np.uint16), np.arange(5, dtype=np.uint16)])
     w.close()
-    r = token_files.Reader(str(tmp_path), w.names[0])
+    r = token_files.Reader(f"file:{tmp_path}", w.names[0])
     ids, mask = r.sequence(2)
     assert r.sequence(1)[0].tolist() == [8, 9, 10, 11, 12, 0, 1, 2] and ids.tolist() == [3, 4, 0, 0, 0, 0, 0, 0] and mask.to_pylist() == [True] * 2 + [False] * 6
     assert not ids.flags.owndata and r.tokens(11, 4).tolist() == [11, 12, 0, 1]
