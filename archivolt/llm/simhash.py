@@ -9,9 +9,11 @@ The distinct fingerprints, sorted by population count (of the whole, then of the
 bytes), are cut into tiles of one population count each. Two values within the
 radius differ by no more than the radius in population count, of the whole and
 summed over the bytes; tile pairs beyond that are skipped, the others compared
-in full with exclusive-or and bit counts. A tile pair returns a star for each of
-its groups, never the pairs themselves, so a large group of near copies costs
-its size and not its square. Nothing is sampled or capped.
+in full with exclusive-or and bit counts. Tiles meet in pairs of blocks
+(``block_pairs``), by counts, before any value moves. A block pair returns a star for
+each of its groups, never the pairs themselves, so a large group of near copies costs
+its size and not its square. Nothing is sampled or capped. The comparisons grow with
+the square of the number of different fingerprints, less what the counts exclude.
 
 Null or empty text (and text without words): no shingle, fingerprint zero, linked
 like any other. Repeated rows share a fingerprint and a component. A null id stays
@@ -21,15 +23,24 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from archivolt.llm.common import LOWER, bound_batches, materialise, remove, shuffle_parts, texts_of
 
 TILE = 2048
+#: Tiles of a block at most.
+BLOCK_TILES = 256
+#: Tasks that a star's edges are dealt out to.
+SALTS = 16
 #: Cells of one block of a comparison: 8 bytes each, to stay in the cache.
 BLOCK = 1 << 16
 
@@ -80,8 +91,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def tiles(distinct: DataFrame, size: int = TILE) -> DataFrame:
-    """tile (its smallest value), pop, low and high (of the bytes' population
-    counts), vals (uint64, little-endian). Every value is in one tile."""
+    """tile (its smallest value), level (its population count), low and high (of the
+    bytes' population counts), vals (uint64, little-endian). Every value is in one tile."""
     pops = [F.bit_count(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))).alias(f"b{i}") for i in range(8)]
     keyed = distinct.select("fp", F.bit_count("fp").alias("pop"), *pops)
     order = ["pop", *(f"b{i}" for i in range(8)), "fp"]
@@ -93,9 +104,9 @@ def tiles(distinct: DataFrame, size: int = TILE) -> DataFrame:
 
         def row(vals):
             counts = np.bitwise_count(vals.view(np.uint8).reshape(-1, 8))
-            return {"tile": int(vals.view(np.int64).min()), "pop": pop, "low": counts.min(axis=0).tobytes(), "high": counts.max(axis=0).tobytes(), "vals": vals.tobytes()}
+            return {"tile": int(vals.view(np.int64).min()), "level": pop, "low": counts.min(axis=0).tobytes(), "high": counts.max(axis=0).tobytes(), "vals": vals.tobytes()}
 
-        schema = pa.schema([("tile", pa.int64()), ("pop", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("vals", pa.binary())])
+        schema = pa.schema([("tile", pa.int64()), ("level", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("vals", pa.binary())])
         for b in batches:
             vals, of = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
             rows = []
@@ -113,7 +124,42 @@ def tiles(distinct: DataFrame, size: int = TILE) -> DataFrame:
         if len(held):
             yield pa.RecordBatch.from_pylist([row(held)], schema)
 
-    return dealt.mapInArrow(run, "tile long, pop int, low binary, high binary, vals binary")
+    return dealt.mapInArrow(run, "tile long, level int, low binary, high binary, vals binary")
+
+
+def block_pairs(tiled: DataFrame, reach: int, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str) -> DataFrame:
+    """What ``compare`` finds in all pairs of tiles whose levels differ by ``reach`` at
+    most.
+
+    The tiles of a level are dealt to blocks of some tiles each, and every pair of blocks
+    within reach is a group of its own, so a tile's values move once for each block that
+    it must meet, not once for each tile, and a group holds two blocks. ``compare`` gets
+    the tiles of both (level, tile, ...), and whether they are one and the same block;
+    then each pair of its tiles, and each tile with itself, is its to find once."""
+    spark = tiled.sparkSession
+    parts = shuffle_parts(spark)
+    count = {r["level"]: r["count"] for r in tiled.groupBy("level").count().collect()}  # a row a level, of which there are some hundreds at most
+    # larger blocks move less, smaller ones make more tasks; a block is bounded by BLOCK_TILES
+    side = min(BLOCK_TILES, max(4, -(-sum(count.values()) // (2 * max(1, int(parts**0.5))))))
+    blocks = {k: -(-n // side) for k, n in count.items()}
+    first = dict(zip(sorted(blocks), np.cumsum([0, *(blocks[k] for k in sorted(blocks))]).tolist()))
+    near_levels = {k: [x for x in sorted(blocks) if abs(x - k) <= reach] for k in blocks}
+    # by level: the first and the last block number within reach
+    bounds = spark.createDataFrame([(k, first[k], blocks[k], first[v[0]], first[v[-1]] + blocks[v[-1]] - 1) for k, v in near_levels.items()] or [(0, 0, 1, 0, 0)], "level int, base long, own long, a long, z long")
+    placed = tiled.join(F.broadcast(bounds), "level").withColumn("block", F.col("base") + F.pmod(F.xxhash64("tile"), F.col("own")))
+    met = placed.withColumn("other", F.explode(F.sequence("a", "z")))
+    pairs = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), *tiled.columns)
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group["i"][0] == group["j"][0]
+        second = group["second"]
+        group = group.drop_columns(["i", "j", "second"])
+        left = group.filter(pc.invert(second))
+        right = left if own else group.filter(second)
+        return compare(left, right, own) if left.num_rows and right.num_rows else none
+
+    return pairs.repartition(max(parts, 2 * sum(blocks.values())), "i", "j").groupBy("i", "j").applyInArrow(run, schema)
 
 
 def near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,53 +198,54 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(tiled: DataFrame, count: int, radius: int = 4) -> DataFrame:
+def links(tiled: DataFrame, radius: int = 4) -> DataFrame:
     """Stars (u, v) that connect what is within the radius, over all tile pairs."""
-    parts = 2 * shuffle_parts(tiled.sparkSession)
-    salts = min(4096, max(8, -(-count // 16)))
-    # the tile with fewer bits looks up the counts that the radius reaches; salts deal
-    # the pairs of one count out to many tasks
-    a = tiled.select(F.struct("*").alias("a"), F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)).alias("q"), F.pmod(F.xxhash64("tile"), F.lit(salts)).alias("salt"))
-    b = tiled.select(F.struct("*").alias("b"), F.col("pop").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    pairs = a.repartition(parts, "q", "salt").join(b.repartition(parts, "q", "salt"), ["q", "salt"])
-    pairs = pairs.where("a.pop < b.pop or a.tile <= b.tile").select(
-        *(F.col(f"a.{c}").alias(f"a_{c}") for c in ("low", "high", "vals")), *(F.col(f"b.{c}").alias(f"b_{c}") for c in ("low", "high", "vals"))
-    )
 
-    def run(batches):
-        for batch in batches:
-            us, vs = [], []
-            for a_low, a_high, a_vals, b_low, b_high, b_vals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                al, ah, bl, bh = (np.frombuffer(z, np.uint8).astype(np.int16) for z in (a_low, a_high, b_low, b_high))
-                if np.maximum(0, np.maximum(al - bh, bl - ah)).sum() > radius:
+    def compare(left: pa.Table, right: pa.Table, own: bool) -> pa.Table:
+        a = left.to_pylist()
+        b = a if own else right.to_pylist()
+        for x in (a,) if own else (a, b):
+            for t in x:
+                t["low"], t["high"] = (np.frombuffer(t[k], np.uint8).astype(np.int16) for k in ("low", "high"))
+                t["vals"] = np.frombuffer(t["vals"], np.uint64)
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x in a:
+            for y in b:
+                if own and x["tile"] > y["tile"] or abs(x["level"] - y["level"]) > radius:
+                    continue
+                if np.maximum(0, np.maximum(x["low"] - y["high"], y["low"] - x["high"])).sum() > radius:
                     continue
-                x, y = np.frombuffer(a_vals, np.uint64), np.frombuffer(b_vals, np.uint64)
-                i, j = near(x, y, radius)
-                u, v = x[i].view(np.int64), y[j].view(np.int64)
-                own = u != v
-                if own.any():
-                    s, t = stars(u[own], v[own])
-                    us.append(s)
-                    vs.append(t)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                i, j = near(x["vals"], y["vals"], radius)
+                u, v = x["vals"][i].view(np.int64), y["vals"][j].view(np.int64)
+                different = u != v
+                if different.any():
+                    u, v = stars(u[different], v[different])
+                    us.append(u)
+                    vs.append(v)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(us) > 2:  # the stars of all tile pairs of the group as one set of stars
+            u, v = stars(u, v)
+        return pa.table({"u": u, "v": v})
 
-    return pairs.mapInArrow(run, "u long, v long").distinct()
+    return block_pairs(tiled, radius, compare, "u long, v long")
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest value of its component) of all nodes with a smaller
-    one, by alternating large and small stars until nothing changes. Each round is
-    a table in the shared folder."""
+    one, by alternating large and small stars until nothing changes: some rounds, as
+    their number grows with the logarithm of the size. Each round is a table in the
+    shared folder. The edges of a star's centre are dealt out to ``SALTS`` tasks."""
     spark = edges.sparkSession
     now, path = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), every.alias("salt"))
+        large = both.withColumn("salt", salt).join(least.hint("merge"), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", every.alias("salt"))
+        small = large.withColumn("salt", salt).join(low.hint("merge"), ["u", "salt"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         new, new_path = materialise(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
         remove(spark, path)
         now, path = new, new_path
@@ -214,7 +261,7 @@ def rooted(fps: DataFrame, radius: int = 4) -> DataFrame:
     fingerprint) of the distinct fingerprints of ``fps``."""
     distinct, _ = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     tiled, tile_path = materialise(tiles(distinct), "tiles")
-    roots = connected(links(tiled, tiled.count(), radius))
+    roots = connected(links(tiled, radius))
     remove(fps.sparkSession, tile_path)
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
 
