@@ -1,21 +1,24 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard index of 0.8
-or more, found by bands of MinHash and verified exactly.
-
-``hashed`` gives each row its set of shingles (64 bits of its sorted values), the
-set's size and a key for each band: the minima of ``ROWS`` of the set's
-multiplicative hashes. Two sets of index j share a band with a chance of
-1 - (1 - j^ROWS)^BANDS: 0.9993 at 0.8, 0.99999 at 0.85; that is the recall. The
-precision is 1, as pairs are linked only after their sets were compared in full.
-
-Sets of one band key make a bucket. All pairs of a bucket count that aren't in one
-component yet. To that end some of its sets (the smallest of each class) are
-compared with all others; what is linked is joined into components; and buckets
-whose other sets are still in more than one component go on with four times as
-many classes. So a large group of near copies costs its size and not its square.
-Nothing is sampled or capped.
-
-Texts without a word have the empty set and are copies of each other. A row is its
-id and text, as in ``simhash``. Empty input gives an empty result.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard index of 0.8 or
+more. The tiled SimHash comparison finds candidates, exact comparison decides.
+
+Each row has its set of shingles (64 bits of its sorted values) and a SimHash of 128
+bits over the set. Sets of index 0.8 differ in 15 % of the bits, 19 of 128, give or
+take 4; so ``RADIUS`` bits lose less than one pair in 10,000 (README has the measured
+recall), and most pairs that it lets through have an index over 0.45. Tiles hold sets
+of one class of size. Tile pairs are skipped whose sizes allow no index of 0.8 or whose
+population counts differ beyond the radius; the others are compared in full with
+exclusive-or and bit counts.
+
+Candidates are verified in rounds. First each set with its nearest candidate: so a
+text links the variants that were made of it. What is verified is joined into
+components. Then the candidates, of the sets that had any, that aren't in one
+component yet: 8 a set and tile pair, then 64, and so on, until none is left out. So
+a large group of near copies costs its size, and all pairs count. Nothing is sampled
+or capped.
+
+Sets of fewer than ``LEAST`` shingles are alike only if equal. Texts without a word
+have the empty set and are copies of each other. A row is its id and text, as in
+``simhash``. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import bound_batches, materialise, remove, texts_of
-from archivolt.llm.simhash import connected, first_of, identified, named_rows, shingle_hashes
+from archivolt.llm.common import bound_batches, materialise, remove, shuffle_parts, texts_of
+from archivolt.llm.simhash import BLOCK, TILE, block_pairs, connected, identified, majority, named_rows, shingle_hashes
 
-WIDTH = 5
-BANDS, ROWS = 24, 6
-#: Odd factors of the set's hashes; fixed values.
-FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Shingles of one block of minima.
-BLOCK = 512
-#: Tasks that the members of one bucket, or the pairs of one set, are dealt out to.
+WIDTH, RADIUS = 5, 38
+#: Smallest set that can have an index of 0.8 with a different one: 4 of 5.
+LEAST = 4
+#: Sizes of index 0.8 are in the ratio 1.25 at most: in one class of this base, or the next.
+CLASS = 1.26
+#: Tasks that the members of one set's pairs are dealt out to.
 SALTS = 8
+#: Candidates of a set and tile pair, from the second round on; grows by itself.
+MORE = 8
+#: Beyond all distances.
+FAR = 255
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -47,15 +53,15 @@ def set_id(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), 42)).view(np.int64))
 
 
-def band_keys(values: np.ndarray) -> list[int]:
-    """A key for each band; none of the empty set."""
-    if not len(values):
-        return []
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(values), BLOCK):
-        np.minimum(least, (FACTORS[:, None] * values[None, k : k + BLOCK]).min(axis=1), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64).tolist()
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes made of hashes; odd factors, fixed values."""
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def signature(values: np.ndarray) -> tuple[int, int]:
+    return majority(values), majority(mixed(values))
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -65,18 +71,19 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag, set, n (the set's size), bands of each row."""
+    """doc_id, tag, set, n (the set's size), s0 and s1 (its SimHash) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t) for t in texts_of(b.column(1))]
+            signs = np.array([signature(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "tag", "set", "n", "bands"],
+                [b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signs[:, 0]), pa.array(signs[:, 1])],
+                ["doc_id", "tag", "set", "n", "s0", "s1"],
             )
 
-    return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, tag long, set long, n int, bands array<long>")
+    return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, tag long, set long, n int, s0 long, s1 long")
 
 
 def contents(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,6 +97,129 @@ def contents(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> D
     return named_rows(docs, named, id_col, text_col).select(F.col(text_col).cast("string")).mapInArrow(run, "set long, vals binary")
 
 
+FIELDS = {"set": np.int64, "root": np.int64, "n": np.int32, "s0": np.int64, "s1": np.int64}
+
+
+def tiles(sets: DataFrame) -> DataFrame:
+    """tile, level (the class of size) and the columns of up to ``TILE`` sets as bytes."""
+    keyed = sets.select(F.floor(F.log("n") / float(np.log(CLASS))).cast("int").alias("level"), *FIELDS)
+    order = ["level", "n", "s0", "set"]
+    dealt = keyed.repartitionByRange(shuffle_parts(sets.sparkSession), *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def rows(last):
+            table = pa.Table.from_batches(held)
+            level = table["level"].to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(level)) + 1, len(level)].tolist()
+            out, rest = [], table.slice(len(level))
+            for a, b in zip(edges, edges[1:]):
+                for k in range(a, b, TILE):
+                    part = table.slice(k, min(TILE, b - k))
+                    if not last and b == len(level) and part.num_rows < TILE:
+                        rest = part
+                        break
+                    cells = {c: part[c].to_numpy().astype(t) for c, t in FIELDS.items()}
+                    out.append({"tile": int(cells["set"].min()), "level": int(level[k]), **{c: v.tobytes() for c, v in cells.items()}})
+            held[:] = rest.to_batches()
+            return out
+
+        schema = pa.schema([("tile", pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in FIELDS)])
+        waiting = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                waiting += b.num_rows
+                if waiting >= 4 * TILE:
+                    if out := rows(False):
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                    waiting = sum(x.num_rows for x in held)
+        if held and (out := rows(True)):
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return dealt.mapInArrow(run, "tile long, level int, " + ", ".join(f"{c} binary" for c in FIELDS))
+
+
+class Tile:
+    def __init__(self, row: dict):
+        self.tile = row["tile"]
+        self.set, self.root, self.n, one, two = (np.frombuffer(row[c], t) for c, t in FIELDS.items())
+        self.words = one.view(np.uint64), two.view(np.uint64)
+        self.bits = sum(np.bitwise_count(w).astype(np.int64) for w in self.words)
+        self.least, self.most, self.low, self.high = int(self.n.min()), int(self.n.max()), int(self.bits.min()), int(self.bits.max())
+
+    def out_of_reach(self, other: Tile) -> bool:
+        by_size = 5 * self.most < 4 * other.least or 5 * other.most < 4 * self.least
+        return by_size or self.low - other.high > RADIUS or other.low - self.high > RADIUS
+
+
+def distances(x: Tile, y: Tile):
+    """Blocks (k, d): the differing bits of some sets of x from the k-th on and all of y;
+    ``FAR`` beyond the radius, where sizes allow no index of 0.8, and in one component.
+    Blocks without a candidate are left out."""
+    step = max(1, BLOCK // len(y.n))
+    for k in range(0, len(x.n), step):
+        d = np.zeros((min(step, len(x.n) - k), len(y.n)), np.uint8)
+        for a, b in zip(x.words, y.words, strict=True):
+            d += np.bitwise_count(a[k : k + step, None] ^ b[None, :])
+        hit = d <= RADIUS
+        if not hit.any():
+            continue
+        n, m = x.n[k : k + step, None].astype(np.int64), y.n[None, :].astype(np.int64)
+        hit &= (5 * n >= 4 * m) & (5 * m >= 4 * n)
+        hit &= x.root[k : k + step, None] != y.root[None, :]
+        if hit.any():
+            yield k, np.where(hit, d, np.uint8(FAR))
+
+
+def nearest(x: Tile, y: Tile, most: int):
+    """u, v, d of the nearest candidates: one of each set of both tiles if ``most`` is 1,
+    else ``most`` of each set of x; and a row without v, d of each set of y with any.
+    more: whether u has further ones."""
+    out = []
+    best, of = np.full(len(y.n), FAR, np.uint8), np.zeros(len(y.n), np.int64)
+    for k, d in distances(x, y):
+        low = d.min(axis=0)
+        closer = low < best
+        best[closer], of[closer] = low[closer], k + d.argmin(axis=0)[closer]
+        if most == 1:
+            i = np.flatnonzero(d.min(axis=1) < FAR)
+            j = d[i].argmin(axis=1)
+            out.append((x.set[k + i], y.set[j], d[i, j], np.zeros(len(i), bool)))
+            continue
+        i, j = np.nonzero(d < FAR)
+        order = np.lexsort((j, d[i, j], i))
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        size = np.diff(np.r_[start, len(i)])
+        first = np.arange(len(i)) - np.repeat(start, size) < most
+        out.append((x.set[k + i[first]], y.set[j[first]], d[i, j][first], np.repeat(size > most, size)[first]))
+    there = np.flatnonzero(best < FAR)
+    if most == 1:
+        out.append((y.set[there], x.set[of[there]], best[there], np.zeros(len(there), bool)))
+    elif len(there):
+        out.append((y.set[there], y.set[there], np.full(len(there), FAR, np.uint8), np.zeros(len(there), bool)))
+    return out
+
+
+def candidates(tiled: DataFrame, most: int) -> DataFrame:
+    """u, v, d, more of ``nearest`` over all tile pairs; v is u where it stands for none."""
+
+    def compare(left: pa.Table, right: pa.Table, own: bool) -> pa.Table:
+        a = [Tile(r) for r in left.to_pylist()]
+        b = a if own else [Tile(r) for r in right.to_pylist()]
+        found = [x for p in a for q in b if not (own and p.tile > q.tile or p.out_of_reach(q)) for x in nearest(p, q, most)]
+        u, v, d, more = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (np.int64, np.int64, np.uint8, bool), strict=True))
+        if most == 1 and len(u):  # of the group's candidates the nearest alone
+            order = np.lexsort((v, d, u))
+            order = order[np.r_[True, u[order][1:] != u[order][:-1]]]
+            u, v, d, more = u[order], v[order], d[order], more[order]
+        return pa.table({"u": u, "v": v, "d": d.astype(np.int32), "more": more})
+
+    return block_pairs(tiled, 1, compare, "u long, v long, d int, more boolean")
+
+
 def salt(col: str):
     return F.pmod(F.xxhash64(col), F.lit(SALTS))
 
@@ -99,61 +229,69 @@ def every_salt():
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """u, v of the pairs (center, set) whose sets are alike; ``held`` has their values."""
-    of_set = pairs.join(held.select("set", F.col("vals").alias("x")).hint("merge"), "set").withColumn("salt", salt("set"))
-    of_center = held.join(pairs.select(F.col("center").alias("set")).distinct().hint("merge"), "set", "left_semi").select(F.col("set").alias("center"), F.col("vals").alias("y"), every_salt())
+    """u, v of the pairs whose sets are alike; ``held`` has their values. Pairs of one v
+    are dealt out to ``SALTS`` tasks."""
+    of_u = pairs.join(held.select(F.col("set").alias("u"), F.col("vals").alias("x")).hint("merge"), "u").withColumn("salt", salt("u"))
+    of_v = held.join(pairs.select(F.col("v").alias("set")).distinct().hint("merge"), "set", "left_semi").select(F.col("set").alias("v"), F.col("vals").alias("y"), every_salt())
 
     def run(batches):
         for b in batches:
             hit = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], ["u", "v"])
 
-    return of_set.join(of_center.hint("merge"), ["center", "salt"]).select("center", "set", "x", "y").mapInArrow(run, "u long, v long")
+    return of_u.join(of_v.hint("merge"), ["v", "salt"]).select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def roots(docs: DataFrame, rows: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, root of all sets with a smaller one in their component. ``rows`` (of
-    ``hashed``) and ``firsts`` (set and its first row) are written tables."""
+def roots(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, root of all sets with a smaller one in their component. ``firsts`` (set, n,
+    s0, s1 and the set's first row) is a written table."""
     spark = docs.sparkSession
-    members, all_path = materialise(rows.select("set", "n", F.explode("bands").alias("band")).distinct(), "bands")
-    shared = members.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("band")
-    now, path = materialise(members.join(shared.hint("merge"), "band", "left_semi").withColumns({"root": F.col("set"), "done": F.lit(False)}), "buckets")
-    remove(spark, all_path)
-    held, held_path = materialise(contents(docs, firsts.join(now.select("set").distinct().hint("merge"), "set", "left_semi"), id_col, text_col), "sets")
-    edges, found, classes = None, None, 1
+    found = spark.createDataFrame([], "node long, root long")
+    active, most = firsts.where(F.col("n") >= LEAST).select("set", "n", "s0", "s1").withColumn("root", F.col("set")), 1
+    edges = tested = held = None
+    spent = []
     while True:
-        # the open buckets, and of each class of their sets the smallest that wasn't compared yet
-        todo = now.where("not done")
-        is_open = todo.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-        picks = todo.groupBy("band", F.pmod(F.xxhash64("set", F.lit(classes)), F.lit(classes)).alias("class")).agg(F.min(F.struct("set", "root", "n")).alias("c"))
-        centers, centers_path = materialise(picks.join(is_open.hint("merge"), "band", "left_semi").select("band", F.col("c.set").alias("center"), F.col("c.root").alias("center_root"), F.col("c.n").alias("center_n")), "centers")
-        if centers.isEmpty():
+        tiled, tiles_path = materialise(tiles(active), "tiles")
+        hits, hits_path = materialise(candidates(tiled, most), "hits")
+        remove(spark, tiles_path)
+        spent.append(hits_path)
+        if hits.isEmpty():
             break
-        near = todo.withColumn("salt", salt("set")).join(centers.select("*", every_salt()).hint("merge"), ["band", "salt"])
-        size = (F.least("n", "center_n"), F.greatest("n", "center_n"))
-        pairs, pairs_path = materialise(near.where((F.col("root") != F.col("center_root")) & (5 * size[0] >= 4 * size[1])).select("center", "set").distinct(), "pairs")
+        if most == 1:
+            pairs = hits.groupBy("u").agg(F.min(F.struct("d", "v")).alias("b")).select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
+        else:
+            pairs = hits.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested.hint("merge"), ["u", "v"], "left_anti")
+        pairs, pairs_path = materialise(pairs, "pairs")
+        spent.append(pairs_path)
+        some = hits.select(F.col("u").alias("set")).distinct()
+        if held is None:
+            held, held_path = materialise(contents(docs, firsts.join(some.hint("merge"), "set", "left_semi"), id_col, text_col), "sets")
+            spent.append(held_path)
         new, _ = materialise(verified(pairs, held), "near")
         edges = new if edges is None else edges.unionByName(new)
         found = connected(edges)
-        compared = centers.select("band", F.col("center").alias("set"), F.lit(True).alias("_now"))
-        marked = now.drop("root").join(compared.hint("merge"), ["band", "set"], "left").select("band", "set", "n", (F.col("done") | F.col("_now").isNotNull()).alias("done"))
-        moved = marked.join(found.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        # a bucket that is settled stays so
-        after, after_path = materialise(moved.join(centers.select("band").distinct().hint("merge"), "band", "left_semi"), "buckets")
-        for gone in (path, centers_path, pairs_path):
-            remove(spark, gone)
-        now, path, classes = after, after_path, 4 * classes
-    for gone in (path, centers_path, held_path):
-        remove(spark, gone)
-    return spark.createDataFrame([], "node long, root long") if found is None else found
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if most > 1 and hits.where("more").isEmpty():
+            break
+        rooted = firsts.select("set", "n", "s0", "s1").join(some.hint("merge"), "set", "left_semi").join(found.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left")
+        active, most = rooted.withColumn("root", F.coalesce("root", "set")), MORE * most
+    for path in spent:
+        remove(spark, path)
+    return found
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """set, root, and the set's first row (_null, _key, _tag)."""
+    rows, path = materialise(hashed(docs, id_col, text_col), "hashed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("tag").alias("_tag"))).alias("f")
+    firsts, _ = materialise(rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1")).select("set", "n", "s0", "s1", "f.*"), "firsts")
+    remove(docs.sparkSession, path)
+    found = roots(docs, firsts, id_col, text_col)
+    return firsts.join(found.hint("merge"), firsts["set"] == found["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "_null", "_key", "_tag")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies, all columns: that with the
     smallest id."""
-    rows, _ = materialise(hashed(docs, id_col, text_col), "hashed")
-    firsts, _ = materialise(first_of(rows, "set"), "firsts")
-    found = roots(docs, rows, firsts, id_col, text_col)
-    rooted = firsts.join(found.hint("merge"), firsts["set"] == found["node"], "left").withColumn("root", F.coalesce("root", "set"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("_null", "_key", "_tag")).alias("f")).select("f.*")
+    kept = grouped(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct("_null", "_key", "_tag")).alias("f")).select("f.*")
     return named_rows(docs, kept, id_col, text_col)
