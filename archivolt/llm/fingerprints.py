@@ -6,11 +6,17 @@ entries, scaled back by a power of B, is the hash of the span between them, so a
 two spans are compared in constant time (``Prefixes.equal``) and the longest common
 extension of two places is found by binary search (``Prefixes.extension``).
 
-A fingerprint keeps of this the hash of the whole text, and a ladder: 16 bits of
-the hash of the prefix and of the suffix of each length in a geometric series. The
-likeness of two fingerprints finds by binary search the longest rungs at which the
-prefixes and the suffixes agree, and returns their share of the longer text: a
-lower bound, within a sixth of an octave, of what the texts share from both ends.
+A fingerprint keeps of this the hash of the whole text; a ladder: 16 bits of the hash
+of the prefix and of the suffix of each length in a geometric series; and the length
+and hash of every span between anchors. An anchor is where the hash of the next
+``WINDOW`` code points is one of the lowest, about every ``STRIDE`` code points, so
+texts that share a passage share its anchors, wherever it lies. Spans cover the text.
+
+The likeness of two fingerprints finds by binary search the longest rungs at which the
+prefixes and the suffixes agree, and adds up the lengths of the spans that both have
+(as often as both have them). The greater of the two, as a share of the longer text,
+is a lower bound of what they share: an edit hides one or two spans around it, some
+``STRIDE`` code points each, and at the ends a sixth of an octave at most.
 
 Null text is the empty text. Equal texts have equal fingerprints, whatever their
 id. Rows are ordered by id, nulls first, then by text; each one's next document is
@@ -35,6 +41,9 @@ BASES = (1_000_003, 48_271_639)
 #: Code points hashed in one flat array; a longer text is one of its own.
 FLAT = 1 << 19
 STEPS = 6  # rungs an octave
+WINDOW, STRIDE = 12, 128
+#: An anchor has none so close before it: repetitive text doesn't fill up with them.
+APART = 16
 
 
 def mod(x: np.ndarray) -> np.ndarray:
@@ -116,22 +125,40 @@ def tags(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(48)).astype("<u2")
 
 
+def anchors(flat: Prefixes, doc_of: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The anchors in the flat array, none at a document's start."""
+    if flat.n < WINDOW:
+        return np.empty(0, np.int64)
+    at = np.arange(flat.n - WINDOW + 1)
+    one = flat.span(at, at + WINDOW)[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    low = np.flatnonzero((one >> np.uint64(32)) < np.uint64((1 << 32) // STRIDE))
+    low = low[low + WINDOW <= ends[doc_of[low]]]
+    apart = np.r_[True, (np.diff(low) > APART) | (doc_of[low[1:]] != doc_of[low[:-1]])][: len(low)]
+    return low[apart]
+
+
 def fingerprint_batch(texts: list[str]) -> list[str]:
     out: list[str] = []
     for a, b in slices([len(t) for t in texts], FLAT):
         sizes = np.array([len(t) for t in texts[a:b]], np.int64)
         flat = Prefixes(code_points("".join(texts[a:b])))
-        starts = np.cumsum(sizes) - sizes
-        whole = flat.span(starts, starts + sizes)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        whole = flat.span(starts, ends)
         rungs = np.searchsorted(RUNGS, sizes, side="right")
         doc = np.repeat(np.arange(b - a), rungs)
         length = RUNGS[np.arange(len(doc)) - np.repeat(np.cumsum(rungs) - rungs, rungs)]
-        at, end = starts[doc], starts[doc] + sizes[doc]
+        at, end = starts[doc], ends[doc]
         front, back = tags(*flat.span(at, at + length)).tobytes(), tags(*flat.span(end - length, end)).tobytes()
-        ends = (2 * np.cumsum(rungs)).tolist()
+        marks = (2 * np.cumsum(rungs)).tolist()
+        filled = starts[sizes > 0]
+        opens = np.union1d(filled, anchors(flat, np.repeat(np.arange(b - a), sizes), ends))
+        closes = np.r_[opens[1:], flat.n][: len(opens)]
+        spans = np.column_stack([closes - opens, flat.span(opens, closes)[0]]).astype("<u4").tobytes()
+        places = (8 * np.searchsorted(opens, np.r_[starts, flat.n])).tolist()
         coded = base64.b64encode
-        for n, x, y, i, j in zip(sizes.tolist(), whole[0].tolist(), whole[1].tolist(), [0, *ends], ends):
-            out.append(f"{n:x}.{x:08x}{y:08x}.{coded(front[i:j] + back[i:j]).decode()}")
+        for n, x, y, i, j, k, m in zip(sizes.tolist(), whole[0].tolist(), whole[1].tolist(), [0, *marks], marks, places, places[1:]):
+            out.append(f"{n:x}.{x:08x}{y:08x}.{coded(front[i:j] + back[i:j]).decode()}.{coded(spans[k:m]).decode()}")
     return out
 
 
@@ -144,12 +171,19 @@ def agreeing(a: memoryview, b: memoryview, n: int) -> int:
     return low
 
 
+def in_both(one: str, two: str) -> int:
+    """Code points of the spans that both have, as often as both have them."""
+    (a, n), (b, m) = (np.unique(np.frombuffer(base64.b64decode(x), "<u8"), return_counts=True) for x in (one, two))
+    both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(((both & np.uint64(0xFFFFFFFF)).astype(np.int64) * np.minimum(n[i], m[j])).sum())
+
+
 def likeness(one: str, two: str) -> float:
-    """The share, 0 to 1, of the longer text that both texts have in common from
-    their starts and their ends, by their fingerprints. 1 only for equal texts."""
+    """A lower bound of the share, 0 to 1, of the longer text that both texts have in
+    common, by their fingerprints. 1 only for equal texts."""
     if one == two:
         return 1.0
-    (n, _, x), (m, _, y) = one.split("."), two.split(".")
+    (n, _, x, p), (m, _, y, q) = one.split("."), two.split(".")
     n, m, x, y = int(n, 16), int(m, 16), base64.b64decode(x), base64.b64decode(y)
     if not n or not m:
         return 0.0
@@ -157,7 +191,7 @@ def likeness(one: str, two: str) -> float:
     shared = min(half_x, half_y) // 2
     k, r = agreeing(x[:half_x], y[:half_y], shared), agreeing(x[half_x:], y[half_y:], shared)
     common = (int(RUNGS[k - 1]) if k else 0) + (int(RUNGS[r - 1]) if r else 0)
-    return min(common, n, m, max(n, m) - 1) / max(n, m)
+    return min(max(common, in_both(p, q)), n, m, max(n, m) - 1) / max(n, m)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -242,6 +242,33 @@ def test_spans_and_extensions():
     assert fingerprints.likeness(one, one) == 1 and 0.4 < fingerprints.likeness(one, two) < 0.55
 
 
+@pytest.mark.parametrize("places", [[0], [0.5], [1], [0, 1], [0, 0.3, 0.6, 1], [0.1, 0.2, 0.4, 0.5, 0.7, 0.9]])
+def test_likeness_is_near_what_is_shared(places):
+    rng = random.Random(len(places))
+    step = fingerprints.STRIDE
+    got = []
+    for _ in range(8):
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(4000))
+        at = sorted(min(len(text) - 7, int(len(text) * p)) for p in places)
+        changed = text
+        for i in at:
+            changed = changed[:i] + "XYZ QZX" + changed[i + 7 :]
+        # what is shared, by brute force: all but the code points put in
+        shared = sum(a == b for a, b in zip(text, changed, strict=True)) / len(text)
+        one, two = fingerprints.fingerprint_batch([text, changed])
+        got.append(shared - fingerprints.likeness(one, two))
+    assert min(got) >= -1e-9 and sum(got) / len(got) <= 3 * step * len(places) / 20_000
+
+
+def test_moved_passages_and_strangers():
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    one, two, passage = say(2000), say(2000), say(2000)
+    prints = fingerprints.fingerprint_batch([one + passage, passage + two, one, two, "a" * 50_000, "a" * 49_000])
+    assert 0.42 < fingerprints.likeness(prints[0], prints[1]) < 0.52 and fingerprints.likeness(prints[2], prints[3]) < 0.01
+    assert len(prints[4]) < 2000 and fingerprints.likeness(prints[4], prints[5]) > 0.9
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = classifier.scored(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
