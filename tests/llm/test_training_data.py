@@ -284,24 +284,106 @@ def test_classifier_without_labels(docs, none, spark):
     assert classifier.scored(none, labels).count() == 0 and classifier.passing(docs, labels).columns == docs.columns
 
 
-def test_lm_prefers_what_it_has_seen(spark, docs, none):
-    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    shape = lm_score.Shape(vocabulary=1 << 12, inputs=1 << 8)
-    got = lm_score.scored(real.where("lang = 'en'").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "zq xv qj wk vv " * 40)], "doc_id long, text string")), shape=shape).where("n_words > 50").toPandas()
-    assert got.mean_log_likelihood.mean() > float(np.log(1 / shape.vocabulary)) and (got[got.doc_id == -1].mean_log_likelihood < got.mean_log_likelihood.median()).all()
-    odd = {str(r.doc_id): r for r in lm_score.scored(docs, shape=shape).where("n_words = 0").collect()}
-    assert odd and all(r.log_likelihood == 0 and r.mean_log_likelihood is None for r in odd.values())
-    assert lm_score.scored(none, shape=shape).count() == 0
+LM_SHAPE = lm_score.Shape(words_factor=2.0, hidden=6)
+
+
+def plain_scores(model, texts):
+    """Sums of log-probabilities, a word at a time."""
+    v, p = model.vocabulary, lm_score.split(model.flat, model.vocabulary, model.shape)
+    place = {int(h): k for k, h in enumerate(v.words)}
+    split = [t.encode().split() for t in texts]
+
+    def hashed(word):
+        w = lm_score.Words([word])
+        return int(w.hash[0]), int(w.second[0])
+
+    seen = {w: hashed(w) for ws in split for w in ws}
+    spans = []
+    for ws in split:
+        cuts = [0, *(k + 1 for k, w in enumerate(ws[:-1]) if seen[w][1] % lm_score.SPAN == 0), len(ws)]
+        spans.append([(a, b) for a, b in zip(cuts, cuts[1:]) if a < b])
+    often = {}
+    for ws, ss in zip(split, spans, strict=True):
+        for a, b in ss:
+            often[tuple(ws[a:b])] = often.get(tuple(ws[a:b]), 0) + 1
+    out = []
+    for ws, ss in zip(split, spans, strict=True):
+        index, total = [place.get(seen[w][0], v.size) for w in ws], 0.0
+        for a, b in ss:
+            others = max((k for k in lm_score.OTHERS if k < often[tuple(ws[a:b])]), default=0)
+            for k in range(a, b):
+                around = [index[k + o] if 0 <= k + o < len(ws) else v.size + 1 for o in lm_score.OFFSETS]
+                x = np.concatenate([p["e"][i] for i in around]).astype(float)
+                z = np.tanh(x @ p["w"] + p["b"]) @ p["u"] + p["c"]
+                prob = np.exp(z[v.of[index[k]]]) / np.exp(z).sum() * np.exp(v.share[index[k]])
+                if index[k] == v.size:
+                    word = [lm_score.START, *ws[k], lm_score.START]
+                    prob *= np.exp(sum(v.spelling[i * lm_score.BYTES + j] for i, j in zip(word, word[1:])))
+                total += np.log(prob / (others + 1) + others / (others + 1))
+        out.append(total)
+    return out
+
+
+def test_lm_scores_are_the_sums_of_log_probabilities(spark, docs, rows, none):
+    model = lm_score.fitted(docs.select("doc_id", "text"), LM_SHAPE)
+    got = lm_score.scored(docs, shape=LM_SHAPE, model=model).collect()
+    texts = [t or "" for _, t in rows]
+    want = [(str(i), len(t.encode().split()), s) for (i, _), t, s in zip(rows, texts, plain_scores(model, texts), strict=True)]
+    have = [(str(r.doc_id), r.n_words, r.log_likelihood) for r in got]
+    assert sorted(x[:2] for x in have) == sorted(x[:2] for x in want)
+    assert np.allclose(sorted(x[2] for x in have), sorted(x[2] for x in want), rtol=1e-4, atol=1e-2)
+    assert all((r.mean_log_likelihood is None) == (r.n_words == 0) and (r.n_words or r.log_likelihood == 0) for r in got)
+    assert lm_score.scored(none, shape=LM_SHAPE).count() == 0
+    # the model's probabilities of classes, shares and spellings are distributions
+    v = model.vocabulary
+    assert np.allclose(np.bincount(v.of[:-1], np.exp(v.share[:-1]), minlength=v.classes)[:-1], 1)
+    assert np.allclose(np.exp(v.spelling).reshape(lm_score.BYTES, -1).sum(axis=1), 1)
+
+
+def test_lm_counts_are_those_of_all_words(docs, rows):
+    counts = {r.word: r.n for r in lm_score.word_counts(docs.select("doc_id", "text")).collect()}
+    want = {}
+    for _, t in rows:
+        for w in (t or "").encode().split():
+            h = int(lm_score.Words([w]).hash.view(np.int64)[0])
+            want[h] = want.get(h, 0) + 1
+    assert counts == want
+
+
+def test_lm_beats_the_unigrams_and_is_alike_however_the_table_is_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    sample = [(r.text or "").encode() for r in docs.where(held).collect()]
+    w = lm_score.Words(sample)
+    means = []
+    for parts in (4, 32):
+        model = lm_score.fitted(docs.where(~held).repartition(parts))
+        v, log = model.vocabulary, model.log_probabilities(w)
+        mass = np.bincount(v.of[:-1], v.count, minlength=v.classes)
+        mass[-1] = v.total - v.count.sum()
+        index = v.index(w.hash)
+        # the same but for the class, which unigrams take by its mass
+        unigram = log - log_class(model, w) + np.log(mass / mass.sum())[v.of[index]]
+        assert log.mean() > unigram.mean() + 0.5
+        means.append(np.bincount(w.doc, log, minlength=len(sample)) / np.maximum(w.n, 1))
+    assert np.abs(means[0] - means[1]).mean() < 0.25  # of about 11
+
+
+def log_class(model, w):
+    v, p = model.vocabulary, lm_score.split(model.flat, model.vocabulary, model.shape)
+    index = v.index(w.hash)
+    z = lm_score.forward(p, lm_score.contexts(index, w.n, v.size + 1))[2]
+    return z[np.arange(len(z)), v.of[index]] - np.log(np.exp(z).sum(axis=1))
 
 
 def test_gradient_step_lowers_the_loss():
-    shape = lm_score.Shape(vocabulary=64, inputs=32, classes=4, embedding=3, hidden=5)
-    flat = lm_score.start(shape)
-    p = shape.split(flat)
+    v = lm_score.Vocabulary(np.arange(7, dtype=np.uint64), np.ones(7), 7, of=np.r_[np.arange(7) % 4, 4], classes=5)
+    shape = lm_score.Shape(embedding=3, hidden=5)
+    p = lm_score.split(lm_score.start(v, shape), v, shape)
     ids = np.arange(400) % 7
-    context, target = lm_score.contexts(ids, np.array([400]), shape), ids % 4
+    context, target = lm_score.contexts(ids, np.array([400]), 8), ids % 4
     loss = lambda: -np.mean([z[t] - np.log(np.exp(z).sum()) for z, t in zip(lm_score.forward(p, context)[2], target, strict=True)])
-    before, squares = loss(), {k: np.zeros_like(v) for k, v in p.items()}
+    before, squares = loss(), {k: np.zeros_like(x) for k, x in p.items()}
     for _ in range(60):
         lm_score.step(p, squares, context, target, 0.1)
     assert loss() < 0.2 * before
