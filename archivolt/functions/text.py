@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -23,47 +25,74 @@ def flags(rules: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("|", *(F.when(c, F.lit(n)) for n, c in rules))
 
 
-#: Stage phrases in order of preference, with the edits allowed.
-PHRASES = (("dpf", 0), ("hpf", 0), ("dfp", 0), ("hfp", 0), ("somites", 0), ("somite", 0), ("days post fertilisation", 2), ("days post-fertilisation", 2), ("hours post fertilisation", 2), ("hours post-fertilisation", 2), ("hour", 0))
-NUMBER = regex.compile(r"\d+(?:\.\d+)?")
-
-
-def parts(phrase: str, edits: int) -> list[str]:
-    """One more piece than edits: a match of the phrase has one of them unchanged."""
-    n, k = len(phrase), edits + 1
-    return [phrase[i * n // k : (i + 1) * n // k] for i in range(k)]
-
-
-def approximate(phrase: str, edits: int, text: str) -> regex.Match | None:
-    """The match with fewest edits, of equals the first; only the surroundings of
-    unchanged pieces are searched."""
-    pattern = regex.compile(rf"(?bi)\b(?:{phrase}){{e<={edits}}}")
-    low, reach = text.lower(), 2 * len(phrase)
-    if len(low) != len(text):
-        return pattern.search(text)
-    spans: list[list[int]] = []
-    for at in sorted(m.start() for x in parts(phrase, edits) for m in regex.finditer(regex.escape(x), low)):
+#: Patterns of stage phrases, in order, with the edits allowed and a
+#: plain spelling of each.
+PHRASES = (
+    ("dpf|dfp", 0, "dpf"),
+    ("hpf|hfp", 0, "hpf"),
+    ("somites?", 2, "somite"),
+    ("days? post[- ]?fertili[sz]ation", 2, "day post-fertilisation"),
+    ("hours? post[- ]?fertili[sz]ation", 2, "hour post-fertilisation"),
+    ("hour", 1, "hour"),
+)
+NUMBER = r"(?P<number>\d+\.?\d*)"
+
+
+@lru_cache(maxsize=None)
+def compiled(pattern: str, edits: int) -> regex.Pattern:
+    return regex.compile(rf"(?b)(?:{pattern}){{e<={edits}}}" if edits else pattern)
+
+
+#: Pieces of which any match of a pattern holds one unchanged: those of its fixed letters.
+PIECES = {
+    "somites?": ("so", "mi", "te"),
+    "days? post[- ]?fertili[sz]ation": ("da", "post", "fert", "ation"),
+    "hours? post[- ]?fertili[sz]ation": ("hour", "post", "fert", "ation"),
+    "hour": ("ho", "ur"),
+}
+
+
+def approximate(pattern: str, edits: int, plain: str, text: str) -> str | None:
+    """The match with fewest edits, of equals the first. With edits only the surroundings
+    of unchanged pieces are searched."""
+    if exact := compiled(pattern, 0).search(text):
+        return exact.group()
+    if not edits:
+        return None
+    reach, spans = 2 * len(plain) + 4, []
+    for at in sorted(m.start() for x in PIECES[pattern] for m in regex.finditer(x, text)):
         if spans and at - reach <= spans[-1][1]:
             spans[-1][1] = at + reach
         else:
             spans.append([max(0, at - reach), at + reach])
-    found = [m for a, b in spans if (m := pattern.search(text, a, b))]
-    return min(found, key=lambda m: (sum(m.fuzzy_counts), m.start()), default=None)
+    for e in range(1, edits + 1):
+        for a, b in spans:
+            if m := compiled(pattern, e).search(text, a, b):
+                return m.group().strip()
+    return None
 
 
 def classify_stage(text: str | None) -> tuple[float | None, str | None]:
-    """The stage phrase of a text, as written there, and the number that belongs to it:
-    of the numbers the one nearest to the phrase, before it rather than behind."""
-    for phrase, edits in PHRASES if text else ():
-        m = approximate(phrase, edits, text) if edits else regex.search(rf"(?i)\b{phrase}\b", text)
-        if not m:
-            continue
-        found = m.group().strip()
-        start = m.start() + len(m.group()) - len(m.group().lstrip())
-        near = [(abs(start - n.end()) if n.end() <= start else n.start() - m.end() + 1, float(n.group())) for n in NUMBER.finditer(text) if n.end() <= start or n.start() >= m.end()]
-        if near:
-            return min(near)[1], found
-    return None, None
+    """The number and the stage phrase, as written there, that belong together best.
+
+    A phrase takes the first number that stands before it with no digit between, and the
+    first behind it. Each such pair counts the length of the phrase less the distance
+    between the starts of both; of equals the first found stays, in the order of
+    ``PHRASES``."""
+    best: tuple[int, float, str] | None = None
+    if text and regex.search(r"\d", text):
+        for pattern, edits, plain in PHRASES:
+            phrase = approximate(pattern, edits, plain, text)
+            if not phrase:
+                continue
+            said = f"(?P<phrase>{regex.escape(phrase)})"
+            for both in (rf"{NUMBER}\D*?{said}", rf"{said}\D*?{NUMBER}"):
+                m = regex.search(both, text)
+                if m:
+                    worth = len(phrase) - abs(m.start("number") - m.start("phrase"))
+                    if best is None or worth > best[0]:
+                        best = (worth, float(m["number"]), phrase)
+    return best[1:] if best else (None, None)
 
 
 def _stages(texts: pd.Series) -> pd.DataFrame:

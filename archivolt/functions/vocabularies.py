@@ -76,14 +76,38 @@ BULK = ["bulk", "detct", "slamseq"]
 THREE_PRIME = ["10x", "celseq", "marsseq", "dropseq", "droncseq", "indrops", "lexogen", "quartzseq", "cytoseq"]
 FULL_LENGTH = ["smartseq", "fluidigm"]
 PAIRED = ["10x", "dropseq", "droncseq", "marsseq", "celseq", "indrops", "splitseq", "scirnaseq"]
+#: technology: class
 CLASSES = {
-    "single_cell_droplet": ["10x", "dropseq", "indrops", "droncseq"],
-    "single_cell_plate": ["smartseq", "fluidigm", "celseq", "marsseq", "quartzseq", "scirnaseq", "splitseq", "microwellseq", "strtseq", "cytoseq", "seqwell", "icell8", "matqseq", "superseq", "scslamseq"],
-    "single_cell_generic": ["generic-scrnaseq-only"],
-    "bulk": ["bulk", "detct", "slamseq"],
-    "clip": ["iclip"],
-    "other_seq": ["scartrace", "454"],
+    "10x": "single_cell_droplet",
+    "dropseq": "single_cell_droplet",
+    "indrops": "single_cell_droplet",
+    "droncseq": "single_cell_droplet",
+    "smartseq": "single_cell_plate",
+    "fluidigm": "single_cell_plate",
+    "celseq": "single_cell_plate",
+    "marsseq": "single_cell_plate",
+    "quartzseq": "single_cell_plate",
+    "scirnaseq": "single_cell_plate",
+    "splitseq": "single_cell_plate",
+    "microwellseq": "single_cell_plate",
+    "strtseq": "single_cell_plate",
+    "cytoseq": "single_cell_plate",
+    "seqwell": "single_cell_plate",
+    "icell8": "single_cell_plate",
+    "matqseq": "single_cell_plate",
+    "superseq": "single_cell_plate",
+    "generic-scrnaseq-only": "single_cell_generic",
+    "bulk": "bulk",
+    "detct": "bulk",
+    "slamseq": "bulk",
+    "scslamseq": "single_cell_plate",
+    "iclip": "clip",
+    "scartrace": "other_seq",
+    "454": "other_seq",
+    "unknown": "unknown",
 }
+#: Columns that several patterns add up to: at a tie they come behind all others, in this order.
+MERGED = ["10x", "generic-scrnaseq", "smartseq", "trueseq", "lexogen"]
 
 #: (column, pattern, edits allowed); patterns of one column add up.
 TECHNOLOGIES = [

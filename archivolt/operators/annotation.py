@@ -24,7 +24,9 @@ GENERIC = "generic-scrnaseq"
 
 
 def names(kind: str) -> list[str]:
-    return list(dict.fromkeys(n for n, *_ in KINDS[kind]))
+    """The columns of a kind, in the order that decides ties."""
+    every = dict.fromkeys(n for n, *_ in KINDS[kind])
+    return [*(n for n in every if n not in V.MERGED), *(n for n in V.MERGED if n in every)]
 
 
 def closest(pattern: str, edits: int, text: str) -> int:
@@ -88,7 +90,7 @@ def resolved(df: DataFrame) -> DataFrame:
 
     A named single-cell method that is seen in an experiment or closer outweighs any
     sign of bulk. The general single-cell patterns only decide where no method is named.
-    Of equal scores the first in the list wins."""
+    Of equal scores the first in the order of ``names`` wins."""
     score = lambda k, n: F.coalesce(F.col(f"`{k}:{n}`"), F.lit(0))
     added = lambda cs: reduce(lambda a, b: a + b, cs)
     tech = [n for n in names("tech") if n != GENERIC]
@@ -97,7 +99,6 @@ def resolved(df: DataFrame) -> DataFrame:
     only = F.when((general > 0) & (added([score("tech", n) for n in tech]) == 0), general + 1).otherwise(0)
     ranked = [(n, F.when(single >= 10, 0).otherwise(score("tech", n)) if n == "bulk" else score("tech", n)) for n in tech]
     best = arg_max([(n, c.cast("long")) for n, c in [*ranked, (f"{GENERIC}-only", only)]])
-    group = {t: c for c, ts in V.CLASSES.items() for t in ts}
     source, chosen = F.col("source_class"), F.col("selection_class")
     hints = reduce(lambda c, n: c.when(score("hint", n) > 0, n), names("hint"), F.when(F.lit(False), "")).otherwise(chosen)
     first = df.withColumn("_best", best)
@@ -108,11 +109,12 @@ def resolved(df: DataFrame) -> DataFrame:
         "read_bias": F.when(score("bias", "bias_5prime") > 0, "5prime").when(score("bias", "bias_3prime") > 0, "3prime").when(score("bias", "bias_fullength") > 0, "full_length").otherwise("unknown"),
         "selection_class": F.when(chosen.isin("unknown", "cdna_unspecified", "other"), hints).otherwise(chosen),
         "prep_kit": arg_max([(n, score("kit", n).cast("long")) for n in names("kit")]),
-    }).drop("_best").withColumn("tech_class", lookup(F.col("technology"), group, "unknown"))
+    }).drop("_best").withColumn("tech_class", lookup(F.col("technology"), V.CLASSES, "unknown"))
 
 
 def contradictions(df: DataFrame) -> Column:
-    """Names of all signals that disagree, a bar between; "" if none do."""
+    """Names of all signals that disagree, a bar between; "" if none do. The names are
+    fixed values, and so is their order."""
     tech, source, bias, selection = (F.col(c) for c in ("technology", "source_class", "read_bias", "selection_class"))
     single = tech.isin(V.SINGLE_CELL)
     return flags([

@@ -73,8 +73,9 @@ def share_text(df: DataFrame, index: str, column: str, values: list[str], value:
 
 
 def mean_error(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean and standard error of each group."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"))
+    """Mean and standard error of each group; a single value has an error of 0."""
+    n = F.count(value)
+    return df.groupBy(*by).agg(n.alias("n"), F.avg(value).alias("mean"), F.when(n > 1, F.stddev_samp(value) / F.sqrt(n)).when(n == 1, 0.0).alias("sem"))
 
 
 def capped(df: DataFrame, by: str, key: str, least: int, most: int) -> DataFrame:
@@ -137,6 +138,7 @@ def outcomes(df: DataFrame, by: list[str], said: Column, true: Column) -> DataFr
 
 
 def exceeding(df: DataFrame, fences: DataFrame, by: list[str], entity: str, value: str) -> DataFrame:
-    """Entities of which any value lies outside its group's fences (``lower``, ``upper``)."""
-    out = df.join(fences, by).where((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
+    """Entities of which any value reaches its group's fences (``lower``, ``upper``) or
+    lies beyond."""
+    out = df.join(fences, by).where((F.col(value) <= F.col("lower")) | (F.col(value) >= F.col("upper")))
     return out.groupBy(entity).agg(F.count(F.lit(1)).alias("n_outside"))

@@ -242,12 +242,12 @@ def token_difference(spark, d):
 
 # --- count matrices
 
-MATRIX_SQL = "m AS (SELECT l_suppkey % 40 AS sample, l_partkey % 200 AS gene, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"
+MATRIX_SQL = "m AS (SELECT l_suppkey AS sample, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 
 
 def counts(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    return li.groupBy((F.col("l_suppkey") % 40).alias("sample"), (F.col("l_partkey") % 200).alias("gene")).agg(F.sum("l_quantity").alias("value"))
+    """The whole of lineitem as a sparse matrix."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
 
 
 @query(f"WITH {MATRIX_SQL} SELECT sample, gene, round(log2(value / sum(value) OVER (PARTITION BY sample) * 1e6 + 1), 6) AS log_cpm FROM m")
@@ -257,29 +257,54 @@ def cpm_log(spark, d):
 
 @query(f"""WITH {MATRIX_SQL}, a AS (SELECT * FROM m WHERE value <> 0), b AS (SELECT * FROM a WHERE sample IN (SELECT sample FROM a GROUP BY 1 HAVING max(value) >= 60)),
 c AS (SELECT * FROM b WHERE gene IN (SELECT gene FROM b GROUP BY 1 HAVING max(value) >= 60)), s AS (SELECT count(DISTINCT sample) AS s, count(DISTINCT gene) AS g FROM c)
-SELECT * FROM c WHERE sample IN (SELECT sample FROM c GROUP BY 1 HAVING (SELECT g FROM s) - count(*) <= 0.5 * (SELECT g FROM s)) AND gene IN (SELECT gene FROM c GROUP BY 1 HAVING (SELECT s FROM s) - count(*) <= 0.5 * (SELECT s FROM s))""")
+SELECT * FROM c WHERE sample IN (SELECT sample FROM c GROUP BY 1 HAVING (SELECT g FROM s) - count(*) <= 0.98 * (SELECT g FROM s)) AND gene IN (SELECT gene FROM c GROUP BY 1 HAVING (SELECT s FROM s) - count(*) <= 0.98 * (SELECT s FROM s))""")
 def filter_explicit(spark, d):
-    return matrix.filtered(counts(spark, d), 60, 0.5).select("sample", "gene", "value")
+    return matrix.filtered(counts(spark, d), 60, 0.98).select("sample", "gene", "value")
 
 
-@query(f"WITH {MATRIX_SQL} SELECT sample, gene, CASE WHEN stddev_pop(value) OVER w = 0 THEN 0 ELSE round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) END AS z FROM m WINDOW w AS (PARTITION BY gene)")
+def z_sql(by: str, other: str) -> str:
+    return f"""WITH {MATRIX_SQL}, n AS (SELECT count(DISTINCT {other}) AS n FROM m), s AS (SELECT {by}, sum(value) / any_value(n) AS mean, sum(value * value) / any_value(n) AS q FROM m, n GROUP BY 1),
+d AS (SELECT {by}, mean, CASE WHEN q - mean * mean > 1e-12 * q THEN sqrt(q - mean * mean) END AS sd FROM s)
+SELECT sample, gene, round(coalesce((value - mean) / sd, 0), 5) AS z, round(coalesce(-mean / sd, 0), 5) AS z_absent FROM m JOIN d USING ({by})"""
+
+
+@query(z_sql("gene", "sample"))
 def zscore_gene(spark, d):
-    return matrix.zscore(counts(spark, d)).select("sample", "gene", F.round("z", 5).alias("z"))
+    return matrix.zscore(counts(spark, d)).select("sample", "gene", F.round("z", 5).alias("z"), F.round("z_absent", 5).alias("z_absent"))
+
 
+@query(z_sql("sample", "gene"))
+def zscore_sample(spark, d):
+    return matrix.zscore(counts(spark, d), "sample").select("sample", "gene", F.round("z", 5).alias("z"), F.round("z_absent", 5).alias("z_absent"))
 
-@query(f"""WITH {MATRIX_SQL}, z AS (SELECT sample, sum(value) AS lib, quantile_cont(value, 0.75) / sum(value) AS f FROM m GROUP BY 1),
-r AS (SELECT sample AS ref, lib AS rl FROM z ORDER BY round(abs(f - (SELECT avg(f) FROM z)), 12), sample LIMIT 1),
+
+TMM_SQL = f"""{MATRIX_SQL}, g AS (SELECT count(DISTINCT gene) AS g FROM m), zr AS (SELECT sample, value, row_number() OVER (PARTITION BY sample ORDER BY value, gene) - 1 AS r, count(*) OVER (PARTITION BY sample) AS c FROM m),
+z AS (SELECT sample, sum(value) AS lib, sum(sqrt(value)) AS roots, (coalesce(max(value) FILTER (r = floor((g - 1) * 0.75) - (g - c)), 0) * (1 - ((any_value(g) - 1) * 0.75 - floor((any_value(g) - 1) * 0.75))) + coalesce(max(value) FILTER (r = ceil((g - 1) * 0.75) - (g - c)), 0) * ((any_value(g) - 1) * 0.75 - floor((any_value(g) - 1) * 0.75))) / sum(value) AS f FROM zr, g GROUP BY 1),
+r AS (SELECT sample AS ref, lib AS rl FROM z ORDER BY CASE WHEN (SELECT max(f) FROM z) > 0 THEN round(abs(f - (SELECT avg(f) FROM z)), 12) ELSE -round(roots, 6) END, sample LIMIT 1),
 b AS (SELECT m.sample, m.gene, m.value AS v, q.value AS rv, lib, rl FROM m JOIN z USING (sample) JOIN m q ON q.gene = m.gene JOIN r ON q.sample = r.ref WHERE m.value > 0 AND q.value > 0),
 x AS (SELECT sample, gene, log2((v / lib) / (rv / rl)) AS mm, (log2(v / lib) + log2(rv / rl)) / 2 AS a, (lib - v) / lib / v + (rl - rv) / rl / rv AS w FROM b),
 y AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, row_number() OVER (PARTITION BY sample ORDER BY round(mm, 9), gene) AS rm, row_number() OVER (PARTITION BY sample ORDER BY round(a, 9), gene) AS ra FROM x),
 k AS (SELECT sample, sum(mm / w) / sum(1 / w) AS lf FROM y WHERE rm > floor(n * 0.3) AND rm <= n - floor(n * 0.3) AND ra > floor(n * 0.05) AND ra <= n - floor(n * 0.05) GROUP BY 1),
-e AS (SELECT sample, coalesce(lf, 0) AS lf FROM z LEFT JOIN k USING (sample))
-SELECT sample, round(pow(2, lf - avg(lf) OVER ()), 5) AS factor FROM e""")
+e AS (SELECT sample, lib, coalesce(lf, 0) AS lf FROM z LEFT JOIN k USING (sample)), t AS (SELECT sample, lib, pow(2, lf - avg(lf) OVER ()) AS factor FROM e)"""
+
+
+@query(f"WITH {TMM_SQL} SELECT sample, round(factor, 5) AS factor FROM t")
 def tmm_factors(spark, d):
     return matrix.tmm_factors(counts(spark, d)).select("sample", F.round("factor", 5).alias("factor"))
 
 
-@query(f"WITH {MATRIX_SQL} SELECT a.sample AS a, b.sample AS b, round(corr(a.value, b.value), 5) AS r, count(*) AS n FROM m a JOIN m b ON a.gene = b.gene AND a.sample < b.sample GROUP BY 1, 2")
+@query(f"WITH {TMM_SQL} SELECT sample, gene, round(log2(value / (lib * factor) * 1e6 + 0.25), 5) AS value FROM m JOIN t USING (sample)")
+def tmm_cpm(spark, d):
+    return matrix.scaled(counts(spark, d), "logtmm").withColumn("value", F.round("value", 5))
+
+
+def r_sql(cells: str, of: str, by: str) -> str:
+    return f"""WITH {MATRIX_SQL}, {cells}, n AS (SELECT count(DISTINCT {by}) AS n FROM m), s AS (SELECT {of} AS k, sum(value) AS s, sum(value * value) AS q FROM c GROUP BY 1),
+p AS (SELECT x.{of} AS a, y.{of} AS b, sum(x.value * y.value) AS xy, count(*) AS n FROM c x JOIN c y ON x.{by} = y.{by} AND x.{of} < y.{of} GROUP BY 1, 2)
+SELECT a, b, round((xy - u.s * v.s / n.n) / sqrt(nullif((u.q - u.s * u.s / n.n) * (v.q - v.s * v.s / n.n), 0)), 5) AS r, p.n AS n FROM p JOIN s u ON u.k = a JOIN s v ON v.k = b, n"""
+
+
+@query(r_sql("c AS (SELECT * FROM m)", "sample", "gene"))
 def correlation_pearson(spark, d):
     return matrix.correlation(counts(spark, d)).withColumn("r", F.round("r", 5))
 
@@ -514,10 +539,9 @@ def nonzero_median(spark, d):
     return share.groupBy("gene").agg(F.round(F.median(F.col("cpm") / 100), 6).alias("median"))
 
 
-@query(f"WITH {MATRIX_SQL}, r AS (SELECT sample, gene, rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2 AS value FROM m) SELECT a.sample AS a, b.sample AS b, round(corr(a.value, b.value), 5) AS r, count(*) AS n FROM r a JOIN r b ON a.gene = b.gene AND a.sample < b.sample GROUP BY 1, 2")
+@query(r_sql("g AS (SELECT count(DISTINCT gene) AS g FROM m), c AS (SELECT sample, gene, rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2 + CASE WHEN g > count(*) OVER (PARTITION BY sample) THEN (g - count(*) OVER (PARTITION BY sample) - 1) / 2 ELSE 0 END AS value FROM m, g)", "sample", "gene"))
 def correlation_spearman(spark, d):
-    ranks = relational.average_rank(counts(spark, d), "value", ["sample"]).select("sample", "gene", F.col("rank").alias("value"))
-    return matrix.correlation(ranks).withColumn("r", F.round("r", 5))
+    return matrix.correlation(matrix.rank_values(counts(spark, d))).withColumn("r", F.round("r", 5))
 
 
 @query()

@@ -160,7 +160,7 @@ def cpu_hours(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.sum(F.col("l_quantity") * F.col("l_extendedprice") / 3600000), 4).alias("cpu_hours"))
 
 
-@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem FROM events GROUP BY 1")
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) WHEN count(value) = 1 THEN 0 END, 6) AS sem FROM events GROUP BY 1")
 def mean_error(spark, d):
     return shaping.mean_error(table(spark, d, "events"), ["event_type"], "value").withColumns({c: F.round(c, 6) for c in ("mean", "sem")})
 
@@ -192,7 +192,7 @@ def outcome_accuracy(spark, d):
 
 
 @query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS l, quantile_cont(l_extendedprice, 0.99) AS h FROM lineitem GROUP BY 1)
-SELECT l_partkey, count(*) AS n_outside FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice < l OR l_extendedprice > h GROUP BY 1""")
+SELECT l_partkey, count(*) AS n_outside FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice <= l OR l_extendedprice >= h GROUP BY 1""")
 def exceeds_fence(spark, d):
     li = table(spark, d, "lineitem")
     return shaping.exceeding(li, statistics.fences(li, "l_extendedprice", ["l_returnflag"], "quantile"), ["l_returnflag"], "l_partkey", "l_extendedprice")

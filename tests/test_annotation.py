@@ -39,6 +39,14 @@ def test_labels_and_contradictions(spark):
     assert got[2].flags == ""
 
 
+def test_merged_columns_come_last_at_ties(spark):
+    rows = [(1, "10x Genomics and Drop-seq"), (2, "TruSeq or NEBNext"), (3, "Smart-seq2, 10x Genomics")]
+    df = spark.createDataFrame(rows, "run long, title string")
+    both = annotation.weighted(df.select("run"), {"run": df}).withColumns({c: F.lit("unknown") for c in ("source_class", "selection_class")})
+    got = {r.run: r for r in annotation.resolved(both).collect()}
+    assert got[1].technology == "dropseq" and got[2].prep_kit == "nebnext" and got[3].technology == "10x"
+
+
 def test_names(spark):
     df = spark.createDataFrame([("'a b.12'", "x, y;z|w", "Zika virus - infected", "<SPOT_LENGTH>150</SPOT_LENGTH><READ_SPEC></READ_SPEC><READ_SPEC></READ_SPEC>"), (None, None, None, None)], "i string, l string, s string, d string")
     got, none = df.select(names.normal_id(F.col("i"), True).alias("i"), names.list_cell(F.col("l")).alias("l"), names.scrubbed(F.col("s"), ["virus", "infected"]).alias("s"), *names.spot_layout(F.col("d"))).collect()

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,18 +12,18 @@ from archivolt.sources import text_formats
 @pytest.mark.parametrize(
     "text, value, phrase",
     [
-        ("Example with hfp 2.5", 2.5, "hfp"),
-        ("Example with dfp 2.5", 2.5, "dfp"),
-        ("Example with 0.75mm length but also with 2.5 dfp", 2.5, "dfp"),
-        ("Example with 0.75mm length but also with 1.5 hpf", 1.5, "hpf"),
-        ("Example with 0.75mm length but also with 1.5 hour", 1.5, "hour"),
-        ("Example with 0.75mm length but also with 15 somites", 15, "somites"),
-        ("Example with 0.75mm length but 4 somite stage", 4, "somite"),
-        ("collected at 48 hours post-fertlilization", 48, "hours post-fertlilization"),
-        ("digestion of whole embryos at 48 hours post-fertlization.", 48, "hours post-fertlization"),
-        ("larvae at 3 days post fertilisation were pooled", 3, "days post fertilisation"),
-        ("analysis of 3 days post fertlisation whole wild-type", 3, "days post fertlisation"),
+        ("larva, hfp 2.5", 2.5, "hfp"),
+        ("a fish of 0.75mm, at 2.5 dfp", 2.5, "dfp"),
+        ("fin of 0.75mm cut at 1.5 hour", 1.5, "hour"),
+        ("seen with 4 somite pairs", 4, "somite"),
+        ("taken 48 hours post-fertlilization", 48, "hours post-fertlilization"),
+        ("pools of 3 days post fertilisation", 3, "days post fertilisation"),
+        # the longer phrase that is nearer to its number wins over all
+        ("embryos at 24 hpf, later fixed at the stage of 15 somites", 15, "somites"),
+        ("2 hours post fertilization and 5 dpf", 2, "hours post fertilization"),
         ("no stage at all", None, None),
+        ("hpf without a number", None, None),
+        ("", None, None),
         (None, None, None),
     ],
 )
@@ -28,6 +31,30 @@ def test_stage(text, value, phrase):
     assert classify_stage(text) == (value, phrase)
 
 
+def test_misspelt_somites():
+    assert classify_stage("5 somitse stage")[0] == 5
+
+
+def test_absent_cells_are_zeros(spark):
+    rng = random.Random(1)
+    dense = {(s, g): float(rng.randrange(1, 9)) if rng.random() < 0.3 else 0.0 for s in range(8) for g in range(30)}
+    m = spark.createDataFrame([(s, g, v) for (s, g), v in dense.items() if v], "sample int, gene int, value double")
+    x = np.array([[dense[s, g] for g in range(30)] for s in range(8)])[:, [any(dense[s, g] for s in range(8)) for g in range(30)]]
+    genes = [g for g in range(30) if any(dense[s, g] for s in range(8))]
+    for by, axis in (("gene", 0), ("sample", 1)):
+        z = (x - x.mean(axis=axis, keepdims=True)) / x.std(axis=axis, keepdims=True)
+        for r in matrix.zscore(m, by).collect():
+            assert r.z == pytest.approx(z[r["sample"], genes.index(r.gene)])
+    c = np.corrcoef(x)
+    ranks = np.corrcoef([[(row < v).sum() + (row == v).sum() / 2 for v in row] for row in x])
+    for want, got in ((c, matrix.correlation(m)), (ranks, matrix.correlation(matrix.rank_values(m)))):
+        assert all(r.r == pytest.approx(want[r.a, r.b]) for r in got.collect()) and got.count() > 20
+    for r in matrix.correlation(m, "gene").collect():
+        assert r.r == pytest.approx(np.corrcoef(x.T)[genes.index(r.a), genes.index(r.b)])
+    for r in matrix.upper_quartiles(m).collect():
+        assert r.q == pytest.approx(np.quantile(x[r["sample"]], 0.75))
+
+
 def test_null_keys_match_only_where_asked(spark):
     a, b = spark.createDataFrame([(1, None), (2, "x")], "i int, k string"), spark.createDataFrame([(None,), ("x",)], "k string")
     assert {r.i for r in relational.null_safe(a, b, ["k"]).collect()} == {1, 2}
@@ -111,9 +138,13 @@ def test_all_members_drawn(spark):
 def test_pieces_find_what_a_full_search_finds():
     import regex
 
-    from archivolt.functions.text import approximate
+    from archivolt.functions.text import PHRASES, approximate
 
-    for text in ("at 3 days post fertlisation, or days post fertilisation", "hours only", "x" * 500 + " 48 hours pst fertilizaton " + "y" * 500, ""):
-        for phrase in ("days post fertilisation", "hours post fertilisation"):
-            full, got = regex.search(rf"(?bi)\b(?:{phrase}){{e<=2}}", text), approximate(phrase, 2, text)
-            assert (full and full.group()) == (got and got.group())
+    texts = ("at 3 days post fertlisation, or days post fertilisation", "hours only, or huors", "x" * 500 + " 48 hours pst fertilizaton " + "y" * 500, "some tes, somitse", "")
+    for text in texts:
+        for pattern, edits, plain in PHRASES:
+            full, got = regex.search(rf"(?b)(?:{pattern}){{e<={edits}}}", text), approximate(pattern, edits, plain, text)
+            assert (full is None) == (got is None)
+            if full:
+                again = regex.fullmatch(rf"(?b)\s*(?:{pattern}){{e<={edits}}}\s*", got)
+                assert sum(again.fuzzy_counts) <= sum(full.fuzzy_counts)
