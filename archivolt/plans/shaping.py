@@ -59,10 +59,10 @@ def variable_genes(spark, d):
     return shaping.variable(counts(spark, d), "gene", "sample", "value", 50)
 
 
-@query(f"WITH {MATRIX_SQL} SELECT sample, min(value) AS least, count(*) AS genes FROM m WHERE value > 0 AND NOT starts_with(CAST(gene AS VARCHAR), '11') GROUP BY 1 HAVING min(value) >= 2")
+@query(f"WITH {MATRIX_SQL} SELECT sample, min(value) AS least, count(*) AS genes FROM m WHERE value > 0 AND NOT starts_with(CAST(gene AS VARCHAR), '11') GROUP BY 1 HAVING min(value) >= 1")
 def expressed_samples(spark, d):
     m = counts(spark, d).where("value > 0").where(~F.col("gene").cast("string").startswith("11"))
-    return m.groupBy("sample").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("genes")).where("least >= 2")
+    return m.groupBy("sample").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("genes")).where("least >= 1")
 
 
 @query(f"""WITH {MATRIX_SQL} SELECT sample, sum(value) AS total, count(*) AS columns, round(100 * coalesce(sum(value) FILTER (gene < 20), 0) / sum(value), 6) AS pct_marked FROM m GROUP BY 1
