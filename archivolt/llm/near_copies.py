@@ -1,18 +1,19 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard index of 0.8 or
 more. The tiled SimHash comparison finds candidates, exact comparison decides.
 
-Each row has its set of shingles (64 bits of its sorted values) and a SimHash of 128
-bits over the set. Sets of index 0.8 differ in 15 % of the bits, 19 of 128, give or
-take 4; so ``RADIUS`` bits lose less than one pair in 10,000 (README has the measured
-recall), and most pairs that it lets through have an index over 0.45. Tiles hold sets
-of one class of size. Tile pairs are skipped whose sizes allow no index of 0.8 or whose
-population counts differ beyond the radius; the others are compared in full with
-exclusive-or and bit counts.
+Each row has its set of shingles (64 bits of its sorted values) and a SimHash of 512
+bits over the set. Sets of index 0.8 differ in 15 % of the bits: 78 of 512, give or
+take 8, and 19 of the first 128, give or take 4; so ``RADIUS`` loses less than one pair
+in 10,000 (README has the measured recall), and most pairs that it lets through have
+an index over 0.6. Tiles hold sets of one class of size. Tile pairs are skipped whose
+sizes allow no index of 0.8 or whose population counts differ beyond the radius; of the
+others the first 128 bits are compared in full with exclusive-or and bit counts, and of
+what is near in these the rest.
 
 Candidates are verified in rounds. First each set with its nearest candidate: so a
 text links the variants that were made of it. What is verified is joined into
 components. Then the candidates, of the sets that had any, that aren't in one
-component yet: 8 a set and tile pair, then 64, and so on, until none is left out. So
+component yet: 32 a set and tile pair, then 1024, and so on, until none is left out. So
 a large group of near copies costs its size, and all pairs count. Nothing is sampled
 or capped.
 
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.common import bound_batches, materialise, remove, shuffle_parts, texts_of
-from archivolt.llm.simhash import BLOCK, TILE, block_pairs, connected, identified, majority, named_rows, shingle_hashes
+from archivolt.llm.simhash import BLOCK, TILE, block_pairs, connected, identified, named_rows, shingle_hashes
 
-WIDTH, RADIUS = 5, 38
+WIDTH = 5
+#: Words of a SimHash, those compared first, and the bits that may differ in these and in all.
+WORDS, FIRST, RADIUS_FIRST, RADIUS = 8, 2, 38, 110
 #: Smallest set that can have an index of 0.8 with a different one: 4 of 5.
 LEAST = 4
 #: Sizes of index 0.8 are in the ratio 1.25 at most: in one class of this base, or the next.
@@ -40,9 +43,11 @@ CLASS = 1.26
 #: Tasks that the members of one set's pairs are dealt out to.
 SALTS = 8
 #: Candidates of a set and tile pair, from the second round on; grows by itself.
-MORE = 8
+MORE = 32
+#: Added to the hashes to make others; fixed values.
+STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Beyond all distances.
-FAR = 255
+FAR = 1 << 14
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -53,15 +58,17 @@ def set_id(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), 42)).view(np.int64))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Hashes made of hashes; odd factors, fixed values."""
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def signature(values: np.ndarray) -> tuple[int, int]:
-    return majority(values), majority(mixed(values))
+def signature(values: np.ndarray) -> bytes:
+    """The bits that more than half of the set's hashes have: of the hashes themselves, and
+    of hashes made of them."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(values), 255):
+        x = values[k : k + 255, None] + STEPS
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        # up to 255 rows can be added up in bytes
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(values), bitorder="little").tobytes()
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -71,19 +78,18 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag, set, n (the set's size), s0 and s1 (its SimHash) of each row."""
+    """doc_id, tag, set, n (the set's size), sign (its SimHash) of each row."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t) for t in texts_of(b.column(1))]
-            signs = np.array([signature(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signs[:, 0]), pa.array(signs[:, 1])],
-                ["doc_id", "tag", "set", "n", "s0", "s1"],
+                [b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary())],
+                ["doc_id", "tag", "set", "n", "sign"],
             )
 
-    return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, tag long, set long, n int, s0 long, s1 long")
+    return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, tag long, set long, n int, sign binary")
 
 
 def contents(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,57 +103,45 @@ def contents(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> D
     return named_rows(docs, named, id_col, text_col).select(F.col(text_col).cast("string")).mapInArrow(run, "set long, vals binary")
 
 
-FIELDS = {"set": np.int64, "root": np.int64, "n": np.int32, "s0": np.int64, "s1": np.int64}
-
-
 def tiles(sets: DataFrame) -> DataFrame:
-    """tile, level (the class of size) and the columns of up to ``TILE`` sets as bytes."""
-    keyed = sets.select(F.floor(F.log("n") / float(np.log(CLASS))).cast("int").alias("level"), *FIELDS)
-    order = ["level", "n", "s0", "set"]
+    """tile, level (the class of size) and, as bytes, set, root, n and sign of up to
+    ``TILE`` sets."""
+    keyed = sets.select(F.floor(F.log("n") / float(np.log(CLASS))).cast("int").alias("level"), "set", "root", "n", "sign")
+    order = ["level", "n", "set"]
     dealt = keyed.repartitionByRange(shuffle_parts(sets.sparkSession), *order).sortWithinPartitions(*order)
+    schema = pa.schema([("tile", pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in ("set", "root", "n", "sign"))])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def rows(last):
-            table = pa.Table.from_batches(held)
-            level = table["level"].to_numpy()
-            edges = np.r_[0, np.flatnonzero(np.diff(level)) + 1, len(level)].tolist()
-            out, rest = [], table.slice(len(level))
-            for a, b in zip(edges, edges[1:]):
-                for k in range(a, b, TILE):
-                    part = table.slice(k, min(TILE, b - k))
-                    if not last and b == len(level) and part.num_rows < TILE:
-                        rest = part
-                        break
-                    cells = {c: part[c].to_numpy().astype(t) for c, t in FIELDS.items()}
-                    out.append({"tile": int(cells["set"].min()), "level": int(level[k]), **{c: v.tobytes() for c, v in cells.items()}})
-            held[:] = rest.to_batches()
-            return out
-
-        schema = pa.schema([("tile", pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in FIELDS)])
-        waiting = 0
+        held: list[tuple] = []
+
+        def row():
+            level, sets, roots, n, sign = zip(*held, strict=True)
+            made = {"tile": min(sets), "level": level[0], "set": np.array(sets, np.int64).tobytes(), "root": np.array(roots, np.int64).tobytes(), "n": np.array(n, np.int32).tobytes(), "sign": b"".join(sign)}
+            held.clear()
+            return made
+
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                waiting += b.num_rows
-                if waiting >= 4 * TILE:
-                    if out := rows(False):
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                    waiting = sum(x.num_rows for x in held)
-        if held and (out := rows(True)):
-            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (held[0][0] != x[0] or len(held) == TILE):
+                    out.append(row())
+                held.append(x)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([row()], schema)
 
-    return dealt.mapInArrow(run, "tile long, level int, " + ", ".join(f"{c} binary" for c in FIELDS))
+    return dealt.mapInArrow(run, "tile long, level int, set binary, root binary, n binary, sign binary")
 
 
 class Tile:
     def __init__(self, row: dict):
         self.tile = row["tile"]
-        self.set, self.root, self.n, one, two = (np.frombuffer(row[c], t) for c, t in FIELDS.items())
-        self.words = one.view(np.uint64), two.view(np.uint64)
-        self.bits = sum(np.bitwise_count(w).astype(np.int64) for w in self.words)
-        self.least, self.most, self.low, self.high = int(self.n.min()), int(self.n.max()), int(self.bits.min()), int(self.bits.max())
+        self.set, self.root, self.n = (np.frombuffer(row[c], t) for c, t in (("set", np.int64), ("root", np.int64), ("n", np.int32)))
+        self.sign = np.frombuffer(row["sign"], np.uint64).reshape(-1, WORDS)
+        self.first = [np.ascontiguousarray(self.sign[:, k]) for k in range(FIRST)]
+        bits = np.bitwise_count(self.sign).sum(axis=1, dtype=np.int64)
+        self.least, self.most, self.low, self.high = int(self.n.min()), int(self.n.max()), int(bits.min()), int(bits.max())
 
     def out_of_reach(self, other: Tile) -> bool:
         by_size = 5 * self.most < 4 * other.least or 5 * other.most < 4 * self.least
@@ -160,17 +154,21 @@ def distances(x: Tile, y: Tile):
     Blocks without a candidate are left out."""
     step = max(1, BLOCK // len(y.n))
     for k in range(0, len(x.n), step):
-        d = np.zeros((min(step, len(x.n) - k), len(y.n)), np.uint8)
-        for a, b in zip(x.words, y.words, strict=True):
-            d += np.bitwise_count(a[k : k + step, None] ^ b[None, :])
-        hit = d <= RADIUS
-        if not hit.any():
+        near = np.zeros((min(step, len(x.n) - k), len(y.n)), np.uint8)
+        for a, b in zip(x.first, y.first, strict=True):
+            near += np.bitwise_count(a[k : k + step, None] ^ b[None, :])
+        i, j = np.nonzero(near <= RADIUS_FIRST)
+        if not len(i):
             continue
-        n, m = x.n[k : k + step, None].astype(np.int64), y.n[None, :].astype(np.int64)
-        hit &= (5 * n >= 4 * m) & (5 * m >= 4 * n)
-        hit &= x.root[k : k + step, None] != y.root[None, :]
-        if hit.any():
-            yield k, np.where(hit, d, np.uint8(FAR))
+        n, m = x.n[k + i].astype(np.int64), y.n[j].astype(np.int64)
+        ok = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (x.root[k + i] != y.root[j])
+        i, j = i[ok], j[ok]
+        bits = np.bitwise_count(x.sign[k + i] ^ y.sign[j]).sum(axis=1, dtype=np.int16)
+        ok = bits <= RADIUS
+        if ok.any():
+            d = np.full(near.shape, FAR, np.int16)
+            d[i[ok], j[ok]] = bits[ok]
+            yield k, d
 
 
 def nearest(x: Tile, y: Tile, most: int):
@@ -178,7 +176,7 @@ def nearest(x: Tile, y: Tile, most: int):
     else ``most`` of each set of x; and a row without v, d of each set of y with any.
     more: whether u has further ones."""
     out = []
-    best, of = np.full(len(y.n), FAR, np.uint8), np.zeros(len(y.n), np.int64)
+    best, of = np.full(len(y.n), FAR, np.int16), np.zeros(len(y.n), np.int64)
     for k, d in distances(x, y):
         low = d.min(axis=0)
         closer = low < best
@@ -199,7 +197,7 @@ def nearest(x: Tile, y: Tile, most: int):
     if most == 1:
         out.append((y.set[there], x.set[of[there]], best[there], np.zeros(len(there), bool)))
     elif len(there):
-        out.append((y.set[there], y.set[there], np.full(len(there), FAR, np.uint8), np.zeros(len(there), bool)))
+        out.append((y.set[there], y.set[there], np.full(len(there), FAR, np.int16), np.zeros(len(there), bool)))
     return out
 
 
@@ -210,7 +208,7 @@ def candidates(tiled: DataFrame, most: int) -> DataFrame:
         a = [Tile(r) for r in left.to_pylist()]
         b = a if own else [Tile(r) for r in right.to_pylist()]
         found = [x for p in a for q in b if not (own and p.tile > q.tile or p.out_of_reach(q)) for x in nearest(p, q, most)]
-        u, v, d, more = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (np.int64, np.int64, np.uint8, bool), strict=True))
+        u, v, d, more = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (np.int64, np.int64, np.int16, bool), strict=True))
         if most == 1 and len(u):  # of the group's candidates the nearest alone
             order = np.lexsort((v, d, u))
             order = order[np.r_[True, u[order][1:] != u[order][:-1]]]
@@ -244,10 +242,10 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def roots(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, root of all sets with a smaller one in their component. ``firsts`` (set, n,
-    s0, s1 and the set's first row) is a written table."""
+    sign and the set's first row) is a written table."""
     spark = docs.sparkSession
     found = spark.createDataFrame([], "node long, root long")
-    active, most = firsts.where(F.col("n") >= LEAST).select("set", "n", "s0", "s1").withColumn("root", F.col("set")), 1
+    active, most = firsts.where(F.col("n") >= LEAST).select("set", "n", "sign").withColumn("root", F.col("set")), 1
     edges = tested = held = None
     spent = []
     while True:
@@ -273,7 +271,7 @@ def roots(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> Dat
         tested = pairs if tested is None else tested.unionByName(pairs)
         if most > 1 and hits.where("more").isEmpty():
             break
-        rooted = firsts.select("set", "n", "s0", "s1").join(some.hint("merge"), "set", "left_semi").join(found.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left")
+        rooted = firsts.select("set", "n", "sign").join(some.hint("merge"), "set", "left_semi").join(found.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left")
         active, most = rooted.withColumn("root", F.coalesce("root", "set")), MORE * most
     for path in spent:
         remove(spark, path)
@@ -284,7 +282,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """set, root, and the set's first row (_null, _key, _tag)."""
     rows, path = materialise(hashed(docs, id_col, text_col), "hashed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("tag").alias("_tag"))).alias("f")
-    firsts, _ = materialise(rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1")).select("set", "n", "s0", "s1", "f.*"), "firsts")
+    firsts, _ = materialise(rows.groupBy("set").agg(least, F.first("n").alias("n"), F.first("sign").alias("sign")).select("set", "n", "sign", "f.*"), "firsts")
     remove(docs.sparkSession, path)
     found = roots(docs, firsts, id_col, text_col)
     return firsts.join(found.hint("merge"), firsts["set"] == found["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "_null", "_key", "_tag")
