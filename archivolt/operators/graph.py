@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's folder; one of its own only in tests."""
-    sc = df.sparkSession.sparkContext
+    """A reliable checkpoint, in the folder that the cluster names. Without one only local
+    mode, as in tests, gets a temporary folder; on a cluster that is an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archivolt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("no folder that all machines share: set spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="archivolt-"))
     return df.checkpoint()
 
 
@@ -34,14 +39,27 @@ def strength(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def percentile_layer(neighbours: DataFrame, name: str, share: float) -> DataFrame:
+    """The pairs whose absolute similarity reaches the given quantile of all pairs', as a
+    fraction or, over 1, in per cent."""
+    share = share / 100 if share > 1 else share
+    e = neighbours.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("similarity").alias("weight"))
+    bound = F.broadcast(e.agg(F.percentile(F.abs("weight"), share).alias("_t")))  # one row
+    return e.crossJoin(bound).where(F.abs("weight") >= F.col("_t")).select("a", "b", F.lit(name).alias("type"), "weight")
+
+
+def label_propagation(edges: DataFrame) -> DataFrame:
     """node, community: each round a node takes the label with the largest weight
-    among its neighbours and itself, of equals the smallest."""
+    among its neighbours and itself, of equals the smallest, until the labels, or
+    alternating ones, come again."""
     both = cut(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    now = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    now, seen = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), set()
+    while True:
         votes = both.join(now, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "community", "weight").unionByName(now.withColumn("weight", F.lit(1e-6)))
         total = votes.groupBy("node", "community").agg(F.sum("weight").alias("w"))
         w = Window.partitionBy("node").orderBy(F.desc(F.round("w", 9)), "community")
         now = cut(total.withColumn("k", F.row_number().over(w)).where("k = 1").select("node", "community"))
-    return now
+        state = tuple(now.agg(F.bit_xor(F.xxhash64("node", "community")), F.sum(F.xxhash64("community", "node").cast("decimal(38,0)"))).first())
+        if state in seen:
+            return now
+        seen.add(state)

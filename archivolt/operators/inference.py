@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -70,13 +70,16 @@ def split(df: DataFrame, key: str, label: str, share: float = 0.8) -> DataFrame:
     return df.withColumn("train", F.row_number().over(order) <= F.floor(F.count(F.lit(1)).over(w) * share))
 
 
-def linear_svm(df: DataFrame, vector: str, label: Column, rounds: int = 20) -> DataFrame:
-    """y, prediction, n of the rows not in ``train``; classes weigh the same."""
+def linear_svm(df: DataFrame, vector: str, label: Column, rounds: int = 20, several: bool = False) -> DataFrame:
+    """y, prediction, n of the rows not in ``train``; classes weigh the same. ``several``
+    classes (0, 1, ...) are each set against the others."""
     rows = df.select(array_to_vector(vector).alias("raw"), label.cast("double").alias("y"), "train")
     n = rows.where("train").groupBy("y").count()
     weights = F.broadcast(n.select("y", (1.0 / F.col("count")).alias("weight")))
     train = rows.where("train").join(weights, "y")
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
-    model = LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=rounds).fit(scaler.transform(train))
-    held = model.transform(scaler.transform(rows.where("not train")))
+    machine = LinearSVC(featuresCol="x", labelCol="y", weightCol="weight", maxIter=rounds)
+    if several:
+        machine = OneVsRest(classifier=machine, featuresCol="x", labelCol="y", weightCol="weight")
+    held = machine.fit(scaler.transform(train)).transform(scaler.transform(rows.where("not train")))
     return held.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,46 @@ def ranked(u: DataFrame, query: DataFrame) -> DataFrame:
     return u.crossJoin(F.broadcast(query)).select("id", F.round(dot(F.col("v"), F.col("q")), 6).alias("similarity"))
 
 
+#: Rows of a block of vectors.
+BLOCK = 1024
+
+
+def blocks(u: DataFrame, prefix: str) -> DataFrame:
+    """The vectors as matrices of up to ``BLOCK`` rows: their ids and values as bytes."""
+
+    def run(batches):
+        for b in batches:
+            ids, values = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            for k in range(0, len(ids), BLOCK):
+                part = values.slice(k, BLOCK)
+                yield pa.RecordBatch.from_pylist([{"i": ids[k : k + BLOCK].astype(np.int64).tobytes(), "m": part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()}], schema)
+
+    schema = pa.schema([("i", pa.binary()), ("m", pa.binary())])
+    return u.where("v is not null").select("id", "v").mapInArrow(run, "i binary, m binary").select(F.col("i").alias(f"{prefix}i"), F.col("m").alias(f"{prefix}m"))
+
+
 def neighbours(u: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """id, other, similarity, rank: each query row's k most similar other rows.
 
-    The query rows are a stated set: each is compared with all rows, and only its
-    best k of a partition leave it (a partial top k) before the final ranking.
-    """
-    q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    s = u.join(q, F.col("id") != F.col("qid")).select(F.col("qid").alias("id"), F.col("id").alias("other"), F.round(dot(F.col("v"), F.col("qv")), 6).alias("similarity"))
+    The query rows are a stated set. Blocks of them meet blocks of all rows, one matrix
+    product a pair of blocks, and only each query's best k of a pair leave it; the final
+    ranking is of these. Of equal (rounded) similarities the smaller id comes first."""
+
+    def run(batches):
+        for b in batches:
+            for qi, qm, ui, um in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q, x = np.frombuffer(qi, np.int64), np.frombuffer(ui, np.int64)
+                s = np.round(np.frombuffer(qm).reshape(len(q), -1) @ np.frombuffer(um).reshape(len(x), -1).T, 6)
+                s[q[:, None] == x[None, :]] = -np.inf
+                best = np.lexsort((np.broadcast_to(x, s.shape), -s))[:, :k]
+                at = np.repeat(np.arange(len(q)), best.shape[1])
+                found = s[at, best.ravel()]
+                keep = found > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(q[at][keep]), pa.array(x[best.ravel()][keep]), pa.array(found[keep])], ["id", "other", "similarity"])
+
+    near = blocks(queries, "q").join(blocks(u, "u").hint("shuffle_replicate_nl")).mapInArrow(run, "id long, other long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def symmetric(edges: DataFrame, least: float) -> DataFrame:
@@ -54,12 +86,14 @@ def symmetric(edges: DataFrame, least: float) -> DataFrame:
 
 
 def overlap(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Shared neighbours of two neighbour tables: n, union, jaccard."""
+    """Shared neighbours of two neighbour tables: how many, those of either, Jaccard index,
+    overlap coefficient, and which, in order."""
     a = one.groupBy("id").agg(F.collect_set("other").alias("x"))
     b = two.groupBy("id").agg(F.collect_set("other").alias("y"))
     both = a.join(b, "id")
     shared, joined = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
-    return both.select("id", shared.cast("long").alias("shared"), joined.cast("long").alias("joined"), F.round(shared / joined, 6).alias("jaccard"))
+    listed = F.array_join(F.transform(F.array_sort(F.array_intersect("x", "y")), lambda i: i.cast("string")), ";")
+    return both.select("id", shared.cast("long").alias("shared"), joined.cast("long").alias("joined"), F.round(shared / joined, 6).alias("jaccard"), F.round(shared / F.least(F.size("x"), F.size("y")), 6).alias("coefficient"), listed.alias("both"))
 
 
 def drawn(u: DataFrame, draw: Column, target: DataFrame) -> DataFrame:

@@ -227,11 +227,14 @@ def fuzzy_stage(spark, d):
 
 
 @query("""WITH w AS (SELECT lang, unnest(string_split(lower(text), ' ')) AS w FROM documents), n AS (SELECT lang, w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2)
-SELECT lang, w AS token, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) + 1 AS INTEGER) AS id FROM n WHERE n >= 20""")
+SELECT lang, w AS token, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) + 1 AS INTEGER) AS id FROM n WHERE n >= 20
+UNION ALL SELECT lang, t, CAST(0 AS BIGINT), i FROM (SELECT DISTINCT lang FROM n WHERE n >= 20), (VALUES ('<pad>', 0), ('<mask>', 1)) v(t, i)""")
 def vocabulary(spark, d):
     w = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("token")).where("token <> ''")
     n = w.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-    return n.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token")) + 1)
+    numbered = n.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token")) + 1)
+    special = n.select("lang").distinct().select("lang", F.inline(F.array(F.struct(F.lit("<pad>").alias("token"), F.lit(0).alias("id")), F.struct(F.lit("<mask>").alias("token"), F.lit(1).alias("id")))))
+    return numbered.unionByName(special.withColumn("n", F.lit(0).cast("long")))
 
 
 @query("""WITH a AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM benchmark), b AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents) SELECT token FROM a WHERE token NOT IN (SELECT token FROM b)""")
@@ -461,7 +464,7 @@ def half_spaces(spark, d):
 
 
 @query(f"""WITH {HALVES_SQL}, l AS (SELECT id, list(other) FILTER (s = 1) AS p, list(other) FILTER (s = 2) AS q FROM k GROUP BY 1)
-SELECT id, len(list_intersect(p, q)) AS shared, len(list_distinct(list_concat(p, q))) AS joined, round(len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))), 6) AS jaccard FROM l""")
+SELECT id, len(list_intersect(p, q)) AS shared, len(list_distinct(list_concat(p, q))) AS joined, round(len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))), 6) AS jaccard, round(len(list_intersect(p, q)) / least(len(p), len(q)), 6) AS coefficient, array_to_string(list_sort(list_intersect(p, q)), ';') AS both FROM l""")
 def neighbour_overlap(spark, d):
     return vectors.overlap(*half_spaces(spark, d))
 
@@ -480,6 +483,11 @@ def forced_edges_strength(spark, d):
     return graph.strength(graph.forced(near, graph.layer(near, "x", 0.4))).withColumn("strength", F.round("strength", 6))
 
 
+@query(f"""WITH {KNN_SQL}, e AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS weight FROM k GROUP BY 1, 2), t AS (SELECT quantile_cont(abs(weight), 0.75) AS t FROM e) SELECT a, b, 'near' AS type, weight FROM e, t WHERE abs(weight) >= t""")
+def percentile_edges(spark, d):
+    return graph.percentile_layer(knn(spark, d), "near", 75)
+
+
 @query()
 def label_propagation(spark, d):
     return graph.label_propagation(graph.layer(knn(spark, d), "x", 0.1))
