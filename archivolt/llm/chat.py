@@ -72,6 +72,20 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(inner, "hash", "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
+def prefixes(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, within: each conversation that is left out, and the maximal one with the
+    smallest id that continues it or equals it."""
+    hashes, _ = materialise(turn_hashes(turns_of(chats, conv, turn, role, text)), "turns")
+    inner = hashes.where("not last").select("hash").distinct()
+    least = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("first")
+    kept = hashes.where("last").groupBy("hash").agg(least).join(inner, "hash", "left_anti").select("hash", F.col("first.conv_id").alias("within"), F.col("first.none").alias("none"))
+    own = hashes.join(kept.select(F.col("within").alias("_id"), "none"), hashes["conv_id"].eqNullSafe(F.col("_id"))).where("not last")
+    longer = own.groupBy("hash").agg(least).select("hash", F.col("first.conv_id").alias("within"))
+    ends = hashes.where("last").select("conv_id", "hash")
+    covered = ends.join(longer.unionByName(kept.select("hash", "within")), "hash")
+    return covered.where(~F.col("conv_id").eqNullSafe(F.col("within"))).select("conv_id", "within")
+
+
 def formatted(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, n_copies, chat (the rendered text) of each maximal one."""
     turns = turns_of(chats, conv, turn, role, text)

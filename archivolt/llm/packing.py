@@ -7,8 +7,9 @@ levels holds these numbers. When a task's documents end, the windows not yet ful
 are closed without padding: the emptiest are taken apart to fill the fullest, cut
 where needed, and the last one is cut into sequences whose lengths are powers of two.
 
-Every task packs what it reads; no shuffle, and the memory is that of the open
-windows. Sequence ids are those of the task, 2^32 apart; a task run again gives the
+Every task packs what it reads; no shuffle. The memory is that of the open windows: of
+the ids that a task has read at most, two bytes each, as where all remainders are over
+half a window no two of them fit together; the split of the input bounds it. Sequence ids are those of the task, 2^32 apart; a task run again gives the
 same. Null text is the empty text: one end id. Repeated rows and null ids are
 packed like any other; an empty table gives an empty result; other columns are
 ignored.

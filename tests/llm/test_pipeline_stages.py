@@ -66,3 +66,58 @@ def test_near_copies_are_those_of_similarity_0_8(spark):
 def test_no_near_copies(spark):
     assert near_copies.one_of_each(table(spark, [(1, sentence(1)), (2, sentence(2))])).count() == 2
     assert near_copies.one_of_each(table(spark, [(1, "a")]).where("false")).count() == 0
+
+
+def tables(spark, folder, rows, labels, schema=SCHEMA):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [])).count() == 0
+
+
+def test_pipeline_with_nulls_repeats_and_other_columns(spark, tmp_path):
+    own = [(k, sentence(k), "en", "s", 1, "x", 2.0) for k in range(30)]
+    odd = [(None, None, None, None, None, None, None), (None, sentence(200), None, None, None, None, None), (31, "", "en", "s", 0, "x", None), (5, sentence(5), "en", "s", 1, "x", 2.0), (6, sentence(300), "en", "s", 1, "y", 1.0), (40, sentence(7), "de", "t", 1, "x", 2.0)]
+    labels = [(k, 1, 0) for k in range(8)]
+    schema = f"{SCHEMA}, tag string, root double"
+    folder = tables(spark, tmp_path, own + odd, labels, schema)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.schema == spark.read.parquet(f"{folder}/documents.parquet").schema
+        docs = docs.cache()
+    # quality rules: null and empty go; no fitted classifier: all are kept; near copies: 40 and the repeated row go
+    left = sorted((str(r.doc_id), r.text) for r in docs.collect())
+    assert left == sorted([(str(k), sentence(k)) for k in range(30)] + [("None", sentence(200)), ("6", sentence(300))])
+    packed = corpus_pipeline.run(spark, folder).toPandas()
+    assert len(packed[packed.length == packed.doc_tokens].doc_id) <= len(left) and packed.length.sum() > 0
+    by_doc = packed.drop_duplicates(["doc_id", "doc_tokens"])
+    assert len(by_doc) == len(left)
+
+
+def test_distances_are_those_of_all_pairs():
+    import numpy as np
+
+    rng = random.Random(9)
+    base = sentence(1, 120)
+    texts = [changed(base, set(rng.sample(range(120), rng.randrange(0, 6)))) for _ in range(40)] + [sentence(k, 100 + k) for k in range(20)]
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    row = {"tile": 0, "level": 0, "set": np.arange(60).tobytes(), "root": np.arange(60).tobytes(), "n": np.array([len(s) for s in sets], np.int32).tobytes(), "sign": b"".join(map(near_copies.signature, sets))}
+    tile = near_copies.Tile(row)
+    seen = {}
+    for k, d in near_copies.distances(tile, tile):
+        for i, j in zip(*np.nonzero(d < near_copies.FAR)):
+            seen[k + i, j] = int(d[i, j])
+    signs = [int.from_bytes(near_copies.signature(s), "little") for s in sets]
+    for i in range(60):
+        for j in range(60):
+            d = (signs[i] ^ signs[j]).bit_count()
+            sizes = 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+            first = ((signs[i] ^ signs[j]) & (1 << 128) - 1).bit_count()
+            assert seen.get((i, j)) == (d if i != j and sizes and d <= near_copies.RADIUS and first <= near_copies.RADIUS_FIRST else None)
+            # nothing that is alike is missed
+            if i != j and near_copies.alike(sets[i], sets[j]):
+                assert (i, j) in seen

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from archivolt.llm import chat, classifier, fingerprints, line_dedup, lm_score, packing, quality_rules, queries, simhash, token_files, word_bpe
+from archivolt.llm import chat, classifier, common, fingerprints, line_dedup, lm_score, packing, quality_rules, queries, simhash, strings, token_files, word_bpe
 
 SF = "/root/testdata/sf0.001"
 WORDS = "der Fluss ran über the stone mill, año «nuevo» & café 12 it's we'll λόγος ΣΑΣ naïve".split()
@@ -398,6 +398,97 @@ def test_chat_collapse(spark):
     assert chat.formatted(chats.limit(0)).count() == 0
 
 
+def test_prefixes_of_chats(spark):
+    rows = [(1, 1, "hi"), (2, 1, "hi"), (2, 2, "yo"), (3, 1, "hi"), (3, 2, "yo"), (3, 3, "so"), (4, 1, "hi"), (4, 2, "no"), (5, 1, "hi"), (5, 2, "no"), (6, 1, "x")]
+    chats = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.within) for r in chat.prefixes(chats).collect()} == {(1, 3), (2, 3), (5, 4)}
+    assert {r.conv_id for r in chat.formatted(chats).collect()} == {3, 4, 6} and chat.prefixes(chats.limit(0)).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    turns = spark.range(20_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    got = chat.formatted(turns.repartition(5)).collect()
+    assert len(got) == 1 and got[0].n_turns == 20_000 and got[0].chat.startswith("<|u|>\nt0<|end|>\n<|u|>\nt1<|end|>")
+
+
+def test_shared_folder_or_an_error(spark):
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder, self._jsc = master, folder, spark.sparkContext._jsc
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        def __init__(self, context, **conf):
+            self.sparkContext, self.conf, self._jvm = context, Conf(**conf), spark._jvm
+
+    with pytest.raises(RuntimeError, match="share"):
+        common.shared_dir(Session(Context("spark://host:7077")))
+    # a path without a scheme is where Spark's default file system has it
+    assert common.shared_dir(Session(Context("spark://host:7077"), **{"spark.checkpoint.dir": "/shared/x/"})) == "file:/shared/x"
+    assert common.shared_dir(Session(Context("yarn", "/kept"))) == "file:/kept"
+
+
+def test_classifier_scores_odd_texts(spark):
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(90)]
+    bad = [" ".join(rng.choice(["buy", "now", "$$$", "click"]) for _ in range(60)) for _ in range(90)]
+    texts = [*good, *bad, None, "", "x", good[0] * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 90)) for k in range(180)] + [(0, 0), (None, 1), (1, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in classifier.scored(docs, labels).collect()}
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values())
+    # contradicted labels teach nothing: as if the row had none
+    without = {r.doc_id: r.score for r in classifier.scored(docs, labels.where("doc_id <> 0")).collect()}
+    assert all(got[k].score == pytest.approx(v) for k, v in without.items())
+    assert sum(got[k].score > 0.5 for k in range(90)) > 80 > sum(got[k].score > 0.5 for k in range(90, 180)) + 60
+    # of the fitted curve, by hand
+    model = classifier.trained(docs, labels)
+    two = [len(c.compress(good[3].encode())) for c in classifier.compressors(model)]
+    n = len(good[3].encode()) + 1
+    x = [(two[0] - two[1]) / sum(two), two[1] / n, min(two[1] / n, 0.3), np.log(n)]
+    z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+    assert got[3].score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_encoders_on_odd_texts(seed):
+    rng = random.Random(seed)
+    parts = list("abstmrvlÀé'  \n\t..!,19²Ⅷ½") + ["'s", "'re", "''", " 've", "'she", "́", "\x1c", "\x85", "\xa0", "ß", "İ", "ſ", "中", "😀", "​", "　", "ΑΣ", "<|", "|>", "don't", " mill, ", "\u0000", "<|endoftext|>", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 5, 30, 200]))) for _ in range(300)]
+    for name, made in ((queries.WORD_BPE, word_bpe.WordBpe), (queries.BYTE_BPE, token_files.Encoder)):
+        path = public_tokenizers.path(name)
+        lib, own = Tokenizer.from_file(path), made(path)
+        for _ in range(2):  # the second time from what was kept
+            assert [x.tolist() for x in own.encode_batch(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_store_forgets_and_stays_right():
+    rng = np.random.default_rng(4)
+    store, told = strings.Store(np.dtype(np.uint16), 500), lambda h: np.arange(int(h) % 4, dtype=np.int64) + int(h) % 1000
+    for _ in range(40):
+        one = np.unique(rng.integers(0, 3000, 200, dtype=np.uint64))
+
+        def learn(fresh, one=one):
+            runs = [told(h) for h in one[fresh]]
+            return np.concatenate(runs), np.array([len(r) for r in runs])
+
+        flat, at, size = store.runs(one, one * np.uint64(3), learn)
+        assert [flat[a : a + n].tolist() for a, n in zip(at, size, strict=True)] == [told(h).tolist() for h in one]
+        assert len(store) <= 700
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
