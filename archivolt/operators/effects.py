@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.operators.inference import adjusted, hypergeometric
+from archivolt.operators.ordered import beside, quantiles
 from archivolt.operators.statistics import distances, dominance, trimmed_mean
 
 #: Coefficients of the complementary error function's fit, relative error 1.2e-7.
@@ -27,10 +28,15 @@ def two_sided_p(z: Column) -> Column:
 def glass(df: DataFrame, value: str, flag: str, by: list[str], least: float = 1e-12) -> DataFrame:
     """median_diff of the flagged side less the other; scale: the other side's scaled MAD,
     that of both together where it is none, else 1; delta, their ratio."""
-    v = F.col(value)
-    med = df.groupBy(*by).agg(F.median(F.when(F.col(flag), v)).alias("_f"), F.median(F.when(~F.col(flag), v)).alias("_c"), F.median(v).alias("_a"))
-    off = df.join(med, by)
-    d = off.groupBy(*by).agg(F.first(F.col("_f") - F.col("_c")).alias("median_diff"), (1.4826 * F.median(F.when(~F.col(flag), F.abs(v - F.col("_c"))))).alias("_mad"), (1.4826 * F.median(F.abs(v - F.col("_a")))).alias("_pooled"))
+    v, f = F.col(value), F.col(flag)
+    rows = df.select(*by, flag, value).where(v.isNotNull())
+    med = quantiles(rows, [*by, flag], value, {"_m": 0.5})
+    sides = med.groupBy(*by).agg(F.max(F.when(f, F.col("_m"))).alias("_f"), F.max(F.when(~f, F.col("_m"))).alias("_c"))
+    centres = beside(sides, quantiles(rows, by, value, {"_a": 0.5}), by)
+    off = beside(rows, centres, by)
+    mad = quantiles(off.where(~f).select(*by, F.abs(v - F.col("_c")).alias("_off")), by, "_off", {"_mad": 0.5})
+    pooled = quantiles(off.select(*by, F.abs(v - F.col("_a")).alias("_off")), by, "_off", {"_pooled": 0.5})
+    d = beside(beside(centres, mad, by), pooled, by).withColumns({"_mad": 1.4826 * F.col("_mad"), "_pooled": 1.4826 * F.col("_pooled"), "median_diff": F.col("_f") - F.col("_c")})
     scale = F.when(F.col("_mad") > least, F.col("_mad")).when(F.col("_pooled") > least, F.col("_pooled")).otherwise(1.0)
     return d.select(*by, "median_diff", scale.alias("scale"), (F.col("median_diff") / scale).alias("delta_star"))
 
@@ -39,10 +45,9 @@ def detection(df: DataFrame, value: str, flag: str, by: list[str], threshold: fl
     """The share of each side over a threshold, and the median of those that are."""
     v, f = F.col(value), F.col(flag)
     over = v > threshold
-    out = []
-    for name, on in (("in", f), ("out", ~f)):
-        out += [(F.count_if(on & over) / F.count_if(on)).alias(f"rate_{name}"), F.median(F.when(on & over, v)).alias(f"positive_median_{name}")]
-    return df.groupBy(*by).agg(*out)
+    rates = df.groupBy(*by).agg(*((F.count_if(on & over) / F.count_if(on)).alias(f"rate_{name}") for name, on in (("in", f), ("out", ~f))))
+    med = quantiles(df.where(over), [*by, flag], value, {"_m": 0.5}).groupBy(*by).agg(F.max(F.when(f, F.col("_m"))).alias("positive_median_in"), F.max(F.when(~f, F.col("_m"))).alias("positive_median_out"))
+    return rates.join(med, by, "left")
 
 
 def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float = 0.2, threshold: float = 0.0, steps: int = 9) -> DataFrame:
@@ -51,10 +56,11 @@ def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float =
     side are left out. ``by`` may be a grid of several columns: all its cells at once."""
     v, f = F.col(value), F.col(flag)
     df = df.where(v.isNotNull())
-    qs = [k / (steps + 1) for k in range(1, steps + 1)]
-    at = F.array(*(F.lit(q) for q in qs))
-    sides = df.groupBy(*by).agg(F.count_if(f).alias("n_in"), F.count_if(~f).alias("n_out"), F.percentile(F.when(f, v), at).alias("_i"), F.percentile(F.when(~f, v), at).alias("_o")).where("n_in > 0 and n_out > 0")
-    shift = sides.select(*by, "n_in", "n_out", F.zip_with("_i", "_o", lambda a, b: a - b).alias("shift"))
+    sizes = df.groupBy(*by).agg(F.count_if(f).alias("n_in"), F.count_if(~f).alias("n_out")).where("n_in > 0 and n_out > 0")
+    names = [f"_q{k}" for k in range(1, steps + 1)]
+    q = quantiles(df, [*by, flag], value, {n: k / (steps + 1) for k, n in enumerate(names, 1)})
+    moved = q.groupBy(*by).agg(F.array(*(F.max(F.when(f, F.col(n))) - F.max(F.when(~f, F.col(n))) for n in names)).alias("shift"))
+    shift = sizes.join(moved, by)
     trimmed = trimmed_mean(df, value, [*by, flag], trim).groupBy(*by).agg((F.max(F.when(f, F.col("trimmed"))) - F.max(F.when(~f, F.col("trimmed")))).alias("trimmed_diff"))
     parts = [glass(df, value, flag, by), trimmed, dominance(df, value, flag, by).select(*by, "a", "delta"), distances(df, value, flag, by).select(*by, "wasserstein"), detection(df, value, flag, by, threshold)]
     return reduce(lambda x, y: x.join(y, by), parts, shift)
@@ -107,7 +113,7 @@ def balanced(df: DataFrame, key: str, value: str, flag: str, by: list[str], roun
 def inner_range_fences(df: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95, reach: float = 1.5) -> DataFrame:
     """lower and upper: the median less and plus ``reach`` times the range between two
     quantiles."""
-    q = df.groupBy(*by).agg(F.median(value).alias("_m"), (F.percentile(value, high) - F.percentile(value, low)).alias("_r"))
+    q = quantiles(df, by, value, {"_m": 0.5, "_l": low, "_h": high}).withColumn("_r", F.col("_h") - F.col("_l"))
     return q.select(*by, (F.col("_m") - reach * F.col("_r")).alias("lower"), (F.col("_m") + reach * F.col("_r")).alias("upper"))
 
 

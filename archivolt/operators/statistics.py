@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.operators.relational import average_rank
+from archivolt.operators.ordered import beside, counted, quantiles, running
 
 
 def two_medians(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """Median of both sides, their difference, and the other side's scaled MAD."""
-    med = df.groupBy(*by, flag).agg(F.median(value).alias("m"))
-    dev = df.join(med, [*by, flag]).groupBy(*by, flag).agg((F.median(F.abs(F.col(value) - F.col("m"))) * 1.4826).alias("mad"), F.first("m").alias("m"))
+    med = quantiles(df, [*by, flag], value, {"m": 0.5})
+    off = beside(df.select(*by, flag, value), med, [*by, flag]).withColumn(value, F.abs(F.col(value) - F.col("m"))).drop("m")
+    both = beside(med, quantiles(off, [*by, flag], value, {"d": 0.5}), [*by, flag])
     one, two = (F.max(F.when(F.col(flag) == side, F.col("m"))) for side in (True, False))
-    return dev.groupBy(*by).agg(one.alias("med_in"), two.alias("med_out"), (one - two).alias("diff"), F.max(F.when(~F.col(flag), F.col("mad"))).alias("mad_out"))
+    return both.groupBy(*by).agg(one.alias("med_in"), two.alias("med_out"), (one - two).alias("diff"), F.max(F.when(~F.col(flag), F.col("d") * 1.4826)).alias("mad_out"))
 
 
 def trimmed_mean(df: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
     """Mean without the floor(share n) smallest and largest values of each group."""
-    w = Window.partitionBy(*by)
-    r = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    cut = F.floor(F.col("_n") * share)
-    return r.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*by).agg(F.avg(value).alias("trimmed"))
+    r = running(counted(df, by, value), by, value, ["n"])
+    cut = F.floor(F.col("total_n") * share)
+    kept = F.greatest(F.least(F.col("before_n") + F.col("n"), F.col("total_n") - cut) - F.greatest(F.col("before_n"), cut), F.lit(0))
+    return r.groupBy(*by).agg((F.sum(kept * F.col(value)) / F.sum(kept)).alias("trimmed"))
+
+
+def two_sides(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
+    """The different values of each group, with the rows of both sides (a: flagged, b) at
+    and below each."""
+    sides = counted(df, by, value, a=F.col(flag).cast("long"), b=(~F.col(flag)).cast("long"))
+    return running(sides, by, value, ["a", "b"])
 
 
 def dominance(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """Vargha-Delaney A of the flagged side, Cliff's delta, U and z of the rank sum."""
-    ranked = average_rank(df, value, by)
-    side = ranked.groupBy(*by).agg(F.sum(F.when(F.col(flag), F.col("rank"))).alias("r"), F.sum(F.col(flag).cast("long")).alias("n"), F.sum((~F.col(flag)).cast("long")).alias("m"))
+    r = two_sides(df, value, flag, by)
+    rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / 2
+    side = r.groupBy(*by).agg(F.sum(F.col("a") * rank).alias("r"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     u = F.col("r") - F.col("n") * (F.col("n") + 1) / 2
     pairs = F.col("n") * F.col("m")
     sd = F.sqrt(pairs * (F.col("n") + F.col("m") + 1) / 12)
@@ -36,21 +45,21 @@ def dominance(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
 
 def distances(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """1-Wasserstein and Kolmogorov-Smirnov distances of both sides of each group."""
-    steps = df.groupBy(*by, value).agg(F.sum(F.col(flag).cast("long")).alias("a"), F.sum((~F.col(flag)).cast("long")).alias("b"))
-    up, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole))
-    wide = F.coalesce(F.lead(value).over(up) - F.col(value), F.lit(0.0))
-    return steps.select(*by, gap.alias("_gap"), wide.alias("_wide")).groupBy(*by).agg(F.sum(F.col("_gap") * F.col("_wide")).alias("wasserstein"), F.max("_gap").alias("ks"))
+    r = two_sides(df, value, flag, by)
+    upto = lambda k: (F.col(f"before_{k}") + F.col(k)) / F.col(f"total_{k}")
+    gap, wide = F.abs(upto("a") - upto("b")), F.coalesce(F.col("next") - F.col(value), F.lit(0.0))
+    return r.groupBy(*by).agg(F.sum(gap * wide).alias("wasserstein"), F.max(gap).alias("ks"))
 
 
 def fences(df: DataFrame, value: str, by: list[str], kind: str) -> DataFrame:
     """lower and upper bound of each group: tukey, mad or quantile."""
     if kind == "mad":
-        m = df.groupBy(*by).agg(F.median(value).alias("_m"))
-        d = df.join(m, by).groupBy(*by).agg(F.first("_m").alias("_m"), (3 * 1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("_d"))
+        m = quantiles(df, by, value, {"_m": 0.5})
+        off = beside(df.select(*by, value), m, by).withColumn(value, F.abs(F.col(value) - F.col("_m"))).drop("_m")
+        d = beside(m, quantiles(off, by, value, {"_d": 0.5}), by).withColumn("_d", 3 * 1.4826 * F.col("_d"))
         return d.select(*by, (F.col("_m") - F.col("_d")).alias("lower"), (F.col("_m") + F.col("_d")).alias("upper"))
     low, high = (0.25, 0.75) if kind == "tukey" else (0.01, 0.99)
-    q = df.groupBy(*by).agg(F.percentile(value, low).alias("l"), F.percentile(value, high).alias("h"))
+    q = quantiles(df, by, value, {"l": low, "h": high})
     reach = (F.col("h") - F.col("l")) * (1.5 if kind == "tukey" else 0.0)
     return q.select(*by, (F.col("l") - reach).alias("lower"), (F.col("h") + reach).alias("upper"))
 
@@ -62,19 +71,36 @@ def welch(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     return s.select(*by, ((F.col("m0") - F.col("m1")) / F.sqrt(a + b)).alias("t"), ((a + b) ** 2 / (a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1))).alias("df"))
 
 
+def curve_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """A row for each different score: rows, positives and negatives at it (n, tp, fp), and
+    precision, recall and fpr of what scores so high or higher."""
+    s = counted(df, [], score, tp=positive.cast("long"), fp=(~positive).cast("long"))
+    r = running(s, [], score, ["tp", "fp"])
+    above = lambda k: F.col(f"total_{k}") - F.col(f"before_{k}")
+    return r.select(score, "tp", "fp", (above("tp") / (above("tp") + above("fp"))).alias("precision"), (above("tp") / F.col("total_tp")).alias("recall"), (above("fp") / F.col("total_fp")).alias("fpr"), "total_tp", "total_fp")
+
+
 def curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Average precision and area under ROC over distinct scores, in one row."""
-    s = df.groupBy(score).agg(F.sum(positive.cast("long")).alias("tp"), F.sum((~positive).cast("long")).alias("fp"))
-    down, whole = Window.orderBy(F.desc(score)), Window.partitionBy()
-    c = s.select("tp", "fp", F.sum("tp").over(down).alias("ctp"), F.sum("fp").over(down).alias("cfp"), F.sum("tp").over(whole).alias("p"), F.sum("fp").over(whole).alias("n"))
-    return c.agg(F.sum(F.col("tp") / F.col("p") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("ap"), F.sum(F.col("fp") / F.col("n") * (F.col("ctp") - F.col("tp") / 2) / F.col("p")).alias("auc"))
+    """Average precision, the same between chance and 1, and area under ROC over distinct
+    scores, in one row."""
+    c = curve_points(df, score, positive)
+    share = F.col("tp") / F.col("total_tp")
+    ap = F.sum(share * F.col("precision"))
+    chance = F.max(F.col("total_tp") / (F.col("total_tp") + F.col("total_fp")))
+    return c.agg(ap.alias("ap"), ((ap - chance) / (1 - chance)).alias("normalised_ap"), F.sum(F.col("fp") / F.col("total_fp") * (F.col("recall") - share / 2)).alias("auc"))
 
 
 def cramer_von_mises(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """The two-sample statistic T of each group, ties at their mean rank."""
-    r = average_rank(df, value, by).withColumn("_i", F.row_number().over(Window.partitionBy(*by, flag).orderBy(value)))
-    off = (F.col("rank") - F.col("_i")) * (F.col("rank") - F.col("_i"))
-    s = r.groupBy(*by).agg(F.count_if(F.col(flag)).alias("n"), F.count_if(~F.col(flag)).alias("m"), F.sum(F.when(F.col(flag), off)).alias("x"), F.sum(F.when(~F.col(flag), off)).alias("y"))
+    r = two_sides(df, value, flag, by)
+    rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / 2
+
+    def off(k):
+        """Summed squares of rank less place, over the k rows of one value."""
+        c, n = (rank - F.col(f"before_{k}")).cast("double"), F.col(k).cast("double")
+        return n * c * c - c * n * (n + 1) + n * (n + 1) * (2 * n + 1) / 6
+
+    s = r.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum(off("a")).alias("x"), F.sum(off("b")).alias("y"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     return s.where("n > 0 and m > 0").select(*by, ((n * F.col("x") + m * F.col("y")) / (n * m * (n + m)) - (4 * n * m - 1) / (6 * (n + m))).alias("t"))
 
@@ -82,9 +108,10 @@ def cramer_von_mises(df: DataFrame, value: str, flag: str, by: list[str]) -> Dat
 def anderson_darling(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """The two-sample statistic A2 of each group in its form for ties, over the distinct
     values."""
-    v = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("l"), F.sum(F.col(flag).cast("double")).alias("a"))
-    up, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    c = v.select(*by, "l", (F.sum("l").over(up) - F.col("l") / 2).alias("b"), (F.sum("a").over(up) - F.col("a") / 2).alias("ca"), F.sum("l").over(whole).alias("n"), F.sum("a").over(whole).alias("na"))
+    d = lambda c: c.cast("double")
+    r = two_sides(df, value, flag, by)
+    l, n = d(F.col("a") + F.col("b")), d(F.col("total_a") + F.col("total_b"))  # noqa: E741
+    c = r.select(*by, l.alias("l"), (d(F.col("before_a") + F.col("before_b")) + l / 2).alias("b"), (d(F.col("before_a")) + d(F.col("a")) / 2).alias("ca"), n.alias("n"), d(F.col("total_a")).alias("na"))
     below = F.col("b") * (F.col("n") - F.col("b")) - F.col("n") * F.col("l") / 4
     term = lambda mine, size: F.col("l") / F.col("n") * (F.col("n") * mine - size * F.col("b")) ** 2 / below / size
     both = term(F.col("ca"), F.col("na")) + term(F.col("b") - F.col("ca"), F.col("n") - F.col("na"))
@@ -118,18 +145,19 @@ def markers(m: DataFrame, groups: DataFrame) -> DataFrame:
 
 def winsorised(df: DataFrame, value: str, by: list[str], low: float, high: float) -> DataFrame:
     """Values beyond their group's ``low`` and ``high`` quantiles set to these."""
-    q = df.groupBy(*by).agg(F.percentile(value, low).alias("_low"), F.percentile(value, high).alias("_high"))
-    return df.join(q, by).withColumn(value, F.greatest(F.least(value, "_high"), "_low")).drop("_low", "_high")
+    near = beside(df, quantiles(df, by, value, {"_low": low, "_high": high}), by)
+    return near.withColumn(value, F.greatest(F.least(value, "_high"), "_low")).drop("_low", "_high")
 
 
 def robust_scaled(df: DataFrame, value: str, by: list[str], least: float = 1e-12) -> DataFrame:
     """Values less their group's median, over its scaled MAD; over its standard deviation
     where that is none. Groups with neither are left out."""
-    m = df.groupBy(*by).agg(F.median(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    near = df.join(m, by)
-    d = near.groupBy(*by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("_d"))
+    spread = df.groupBy(*by).agg(F.stddev_samp(value).alias("_s"))
+    near = beside(beside(df, quantiles(df, by, value, {"_m": 0.5}), by), spread, by)
+    off = near.select(*by, F.abs(F.col(value) - F.col("_m")).alias("_off"))
+    d = quantiles(off, by, "_off", {"_d": 0.5}).withColumn("_d", 1.4826 * F.col("_d"))
     scale = F.when(F.col("_d") > least, F.col("_d")).when(F.col("_s") > least, F.col("_s"))
-    scaled = near.join(d, by).withColumn("_scale", scale).where("_scale is not null")
+    scaled = beside(near, d, by).withColumn("_scale", scale).where("_scale is not null")
     return scaled.withColumn(value, (F.col(value) - F.col("_m")) / F.col("_scale")).drop("_m", "_s", "_d", "_scale")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as T
-from archivolt.operators import graph, inference, matrix, relational, statistics, vectors
+from archivolt.operators import graph, inference, matrix, ordered, relational, statistics, vectors
 from archivolt.plans.registry import query
 from archivolt.sources import text_formats
 from archivolt.sources.tables import table
@@ -354,9 +354,10 @@ def distribution_distance(spark, d):
 
 @query(f"""WITH {SIDE_SQL}, q AS (SELECT g, unnest([1, 3, 5, 7, 9]) AS decile, quantile_cont(value, [0.1, 0.3, 0.5, 0.7, 0.9]) FILTER (side) AS a, quantile_cont(value, [0.1, 0.3, 0.5, 0.7, 0.9]) FILTER (NOT side) AS b FROM e GROUP BY g) SELECT g, decile, round(a[(decile + 1) // 2] - b[(decile + 1) // 2], 5) AS shift FROM q""")
 def shift_function(spark, d):
-    at = F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))
-    q = sides(spark, d).groupBy("g").agg(F.percentile(F.when(F.col("side"), F.col("value")), at).alias("a"), F.percentile(F.when(~F.col("side"), F.col("value")), at).alias("b"))
-    return q.select("g", F.posexplode(F.zip_with("a", "b", lambda x, y: F.round(x - y, 5))).alias("p", "shift")).select("g", (2 * F.col("p") + 1).alias("decile"), "shift")
+    q = ordered.quantiles(sides(spark, d), ["g", "side"], "value", {f"q{k}": k / 10 for k in (1, 3, 5, 7, 9)})
+    moved = lambda c: F.max(F.when(F.col("side"), F.col(c))) - F.max(F.when(~F.col("side"), F.col(c)))
+    wide = q.groupBy("g").agg(F.array(*(F.struct(F.lit(k).alias("decile"), F.round(moved(f"q{k}"), 5).alias("shift")) for k in (1, 3, 5, 7, 9))).alias("s"))
+    return wide.select("g", F.inline("s"))
 
 
 @query(f"WITH {SIDE_SQL} SELECT g, round(avg(CAST(value > 50 AS INTEGER)) FILTER (side) - avg(CAST(value > 50 AS INTEGER)) FILTER (NOT side), 6) AS rate_diff FROM e GROUP BY 1")
@@ -385,10 +386,17 @@ _fence_query("mad", "WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS
 
 
 @query("""WITH s AS (SELECT n_chars, count_if(quality = 1) AS t, count_if(quality <> 1) AS f FROM documents JOIN labels USING (doc_id) GROUP BY 1), c AS (SELECT t, f, sum(t) OVER w AS ct, sum(f) OVER w AS cf, sum(t) OVER () AS p, sum(f) OVER () AS n FROM s WINDOW w AS (ORDER BY n_chars DESC))
-SELECT round(sum(t / p * ct / (ct + cf)), 6) AS ap, round(sum(f / n * (ct - t / 2) / p), 6) AS auc FROM c""")
+SELECT round(sum(t / p * ct / (ct + cf)), 6) AS ap, round((sum(t / p * ct / (ct + cf)) - max(p / (p + n))) / (1 - max(p / (p + n))), 6) AS normalised_ap, round(sum(f / n * (ct - t / 2) / p), 6) AS auc FROM c""")
 def ranking_curves(spark, d):
     j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return statistics.curve(j, "n_chars", F.col("quality") == 1).select(F.round("ap", 6).alias("ap"), F.round("auc", 6).alias("auc"))
+    return statistics.curve(j, "n_chars", F.col("quality") == 1).select(*(F.round(c, 6).alias(c) for c in ("ap", "normalised_ap", "auc")))
+
+
+@query("""WITH s AS (SELECT n_chars, count_if(quality = 1) AS t, count_if(quality <> 1) AS f FROM documents JOIN labels USING (doc_id) GROUP BY 1), c AS (SELECT n_chars, sum(t) OVER w AS ct, sum(f) OVER w AS cf, sum(t) OVER () AS p, sum(f) OVER () AS n FROM s WINDOW w AS (ORDER BY n_chars DESC))
+SELECT n_chars, round(ct / (ct + cf), 6) AS precision, round(ct / p, 6) AS recall, round(cf / n, 6) AS fpr FROM c""")
+def curve_points(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return statistics.curve_points(j, "n_chars", F.col("quality") == 1).select("n_chars", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "fpr")))
 
 
 @query("""SELECT quality, toxic, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY quality), 4) AS pct FROM labels GROUP BY 1, 2""")
@@ -544,7 +552,7 @@ def grouped_sample(spark, d):
 @query(f"WITH {MATRIX_SQL} SELECT gene, round(median(value / total * 10000), 6) AS median FROM (SELECT *, sum(value) OVER (PARTITION BY sample) AS total FROM m) WHERE value > 0 GROUP BY 1")
 def nonzero_median(spark, d):
     share = matrix.cpm(counts(spark, d)).where("value > 0")
-    return share.groupBy("gene").agg(F.round(F.median(F.col("cpm") / 100), 6).alias("median"))
+    return ordered.quantiles(share.withColumn("cpm", F.col("cpm") / 100), ["gene"], "cpm", {"median": 0.5}).withColumn("median", F.round("median", 6))
 
 
 @query(r_sql("g AS (SELECT count(DISTINCT gene) AS g FROM m), c AS (SELECT sample, gene, rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2 + CASE WHEN g > count(*) OVER (PARTITION BY sample) THEN (g - count(*) OVER (PARTITION BY sample) - 1) / 2 ELSE 0 END AS value FROM m, g)", "sample", "gene"))
