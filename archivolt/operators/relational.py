@@ -3,11 +3,14 @@ analyses they serve."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.operators.ordered import quantiles
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in ``order``, which should be total."""
@@ -94,11 +97,54 @@ def mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return top_k(n, by, [F.desc("n"), F.asc(value)], 1).drop("rank")
 
 
+def left_chain(first: DataFrame, levels: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Left joins of one level after the other: (name, table, key). A level's columns that
+    are there already get its name behind theirs; absent levels give nulls."""
+    out = first
+    for name, table, key in levels:
+        clash = {c: f"{c}_{name}" for c in table.columns if c != key and c in out.columns}
+        out = out.join(table.withColumnsRenamed(clash), key, "left")
+    return out
+
+
+def merged(frames: list[DataFrame], key: list[str], order: list[Column]) -> DataFrame:
+    """All rows, of equal keys that of the first table that has it, and there the first by
+    ``order``."""
+    every = reduce(lambda a, b: a.unionByName(b), [f.withColumn("_at", F.lit(k)) for k, f in enumerate(frames)])
+    return keep_first(every, key, [F.col("_at"), *order]).drop("_at")
+
+
+def edges(df: DataFrame, value: str, rule: str, n: int = 10) -> list[float]:
+    """Edges of bins: "even" (n of one width), "freedman" (of one width, by the range
+    between the quartiles and the number of rows), "quantile" (n of about as many rows
+    each) or "values" (the different values, n at most, else an error). One row comes to
+    the driver."""
+    v = F.col(value)
+    if rule == "values":
+        found = [r[0] for r in df.where(v.isNotNull()).select(value).distinct().limit(n + 1).collect()]
+        if len(found) > n:
+            raise ValueError(f"more than {n} different values")
+        return sorted(map(float, found))
+    if rule == "quantile":
+        q = quantiles(df, [], value, {f"q{k}": k / n for k in range(n + 1)}).first()
+        return sorted({float(x) for x in q}) if q and q[0] is not None else []
+    one = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")).first()
+    if not one["n"]:
+        return []
+    low, high = float(one["low"]), float(one["high"])
+    if rule == "freedman":
+        q = quantiles(df, [], value, {"a": 0.25, "b": 0.75}).first()
+        width = 2 * (q["b"] - q["a"]) / one["n"] ** (1 / 3)
+        n = max(1, math.ceil((high - low) / width)) if width > 0 else 1
+    return [*(low + k * (high - low) / n for k in range(n)), high]
+
+
 def bins(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     """Counts in right-closed bins (the first also holds its left edge), their share,
     and the share up to each."""
     v = F.col(value)
-    place = reduce(lambda c, k: c.when(v <= edges[k], k), range(1, len(edges)), F.when(v < edges[0], None))
+    inner = F.array(*map(F.lit, map(float, edges[1:-1]))) if len(edges) > 2 else F.array().cast("array<double>")
+    place = F.when((v >= edges[0]) & (v <= edges[-1]), 1 + F.size(F.filter(inner, lambda e: v > e)))
     n = df.select(place.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(1, len(edges)).select(F.col("id").cast("int").alias("bin"))
     full = every.join(n, "bin", "left").na.fill(0, ["n"])

@@ -103,3 +103,14 @@ def drawn(u: DataFrame, draw: Column, target: DataFrame) -> DataFrame:
     whole = parts.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"))
     q = F.broadcast(target.select(F.col("v").alias("q")))  # one row
     return whole.select("draw", unit(F.transform("p", lambda p: p["x"])).alias("c")).join(q).select("draw", F.round(dot(F.col("c"), F.col("q")), 6).alias("similarity"))
+
+
+def random_sets(u: DataFrame, target: DataFrame, draws: int, size: int) -> DataFrame:
+    """draw, similarity: for each draw the mean direction of ``size`` vectors, the first by
+    a hash of draw and id, against the vector of ``target``, one row. A partition keeps
+    the first ``size`` of a draw before any rows move."""
+    drawn_rows = u.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    mixed = F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary"))
+    w = Window.partitionBy("draw").orderBy(mixed, "id")
+    kept = drawn_rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size)
+    return drawn(kept.drop("_k"), F.col("draw"), target)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivolt.operators import cleaning
+from archivolt.operators import cleaning, matrix, relational, vectors
 from archivolt.plans.annotation import _list, _pick
-from archivolt.plans.catalog import MATRIX_SQL, counts
+from archivolt.plans.catalog import MATRIX_SQL, UNIT_SQL, counts, unit_rows
 from archivolt.plans.registry import query
 from archivolt.sources.tables import table
 
@@ -236,3 +236,72 @@ def tree_leaves(spark, d):
 @query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 5) AS r, round(avg(abs(l_quantity - l_discount * 100)), 5) AS gap FROM lineitem GROUP BY 1")
 def group_features(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 5).alias("r"), F.round(F.avg(F.abs(F.col("l_quantity") - F.col("l_discount") * 100)), 5).alias("gap"))
+
+
+# --- orders, merges, bins, draws
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def keep_last(spark, d):
+    return relational.keep_first(table(spark, d, "events"), ["user_id"], [F.desc("event_id")]).select("event_id", "user_id")
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, 'c' || c_custkey AS who, 0 AS place, c_custkey AS i FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey, 's' || s_suppkey, 1, s_suppkey FROM supplier)
+SELECT k, who FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place, i) AS n FROM a) WHERE n = 1""")
+def stable_merge(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("who"), F.col("c_custkey").alias("i"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("who"), F.col("s_suppkey").alias("i"))
+    return relational.merged([c, s], ["k"], [F.col("i")]).select("k", "who")
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS INTEGER) AS place FROM orders")
+def category_order(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", relational.ordered_rank(["P", "O"], F.col("o_orderstatus")).alias("place"))
+
+
+@query("SELECT s_suppkey, s.name AS name, n.n_name AS name_nation, r_name AS name_region FROM (SELECT s_suppkey, s_nationkey AS nation, s_name AS name FROM supplier) s LEFT JOIN nation n ON nation = n_nationkey AND n_nationkey < 20 LEFT JOIN region ON n.n_regionkey = r_regionkey")
+def suffixed_chain(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    n = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"))
+    return relational.left_chain(s, [("nation", n, "nation"), ("region", r, "region")]).select("s_suppkey", "name", "name_nation", "name_region")
+
+
+@query(f"WITH {MATRIX_SQL} SELECT sample, gene, round(value / total * 10000, 6) AS value FROM (SELECT *, sum(value) OVER (PARTITION BY sample) AS total FROM m) JOIN part ON gene = p_partkey WHERE value > 0 AND p_type IN ('PROMO', 'ECONOMY')")
+def scaled_counts(spark, d):
+    """Values over their sample's total, of the genes of some types."""
+    kinds = table(spark, d, "part").where(F.col("p_type").isin("PROMO", "ECONOMY")).select(F.col("p_partkey").alias("gene"))
+    return matrix.cpm(counts(spark, d)).where("value > 0").join(kinds, "gene", "left_semi").select("sample", "gene", F.round(F.col("cpm") / 100, 6).alias("value"))
+
+
+def binned_sql(edges: str) -> str:
+    return f"""WITH v AS (SELECT o_totalprice AS x FROM orders), o AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM v), e AS ({edges}),
+p AS (SELECT unnest(range(1, len(e))) AS bin, e FROM e), c AS (SELECT bin, count(x) AS n FROM p LEFT JOIN v ON (x > e[bin] OR bin = 1) AND x <= e[bin + 1] GROUP BY 1)
+SELECT CAST(bin AS INTEGER) AS bin, n, round(n / sum(n) OVER (), 6) AS share, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) AS cumulative FROM c"""
+
+
+def binned(spark, d, rule, n=10):
+    o = table(spark, d, "orders")
+    return relational.bins(o, "o_totalprice", relational.edges(o, "o_totalprice", rule, n))
+
+
+@query(binned_sql("SELECT list_append(list_transform(range(0, 12), lambda k: lo + k * (hi - lo) / 12), hi) AS e FROM o"))
+def bins_even(spark, d):
+    return binned(spark, d, "even", 12)
+
+
+@query(binned_sql("SELECT list_append(list_transform(range(0, k), lambda i: lo + i * (hi - lo) / k), hi) AS e FROM (SELECT lo, hi, CAST(ceil((hi - lo) / (2 * (b - a) / pow(n, 1.0 / 3))) AS BIGINT) AS k FROM o)"))
+def bins_freedman(spark, d):
+    return binned(spark, d, "freedman")
+
+
+@query(binned_sql("SELECT quantile_cont(x, [0, 0.25, 0.5, 0.75, 1]) AS e FROM v"))
+def bins_quantile(spark, d):
+    return binned(spark, d, "quantile", 4)
+
+
+@query(f"""WITH {UNIT_SQL}, d AS (SELECT draw, id, v, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || ':' || id), id) AS k FROM u, (SELECT unnest(range(1, 11)) AS draw)), e AS (SELECT draw, unnest(v) AS y, unnest(range(1, len(v) + 1)) AS p FROM d WHERE k <= 5),
+s AS (SELECT draw, list(y ORDER BY p) AS q FROM (SELECT draw, p, sum(y) AS y FROM e GROUP BY 1, 2) GROUP BY 1) SELECT CAST(draw AS INTEGER) AS draw, round(list_cosine_similarity(q, v), 6) AS similarity FROM s, u WHERE id = 7""")
+def random_sets(spark, d):
+    u = unit_rows(spark, d)
+    return vectors.random_sets(u, u.where("id = 7"), 10, 5)
