@@ -10,12 +10,14 @@ sizes allow no index of 0.8 or whose population counts differ beyond the radius;
 others the first 128 bits are compared in full with exclusive-or and bit counts, and of
 what is near in these the rest.
 
-Candidates are verified in rounds. First each set with its nearest candidate: so a
-text links the variants that were made of it. What is verified is joined into
-components. Then the candidates, of the sets that had any, that aren't in one
-component yet: 32 a set and tile pair, then 1024, and so on, until none is left out. So
-a large group of near copies costs its size, and all pairs count. Nothing is sampled
-or capped.
+The first search returns each set's nearest candidate alone, a row a set. These pairs are
+verified and joined into components: so a text links the variants that were made of
+it. The second search takes the sets that had a candidate, with their values, in tiles
+of bounded bytes. It verifies, nearest first, all candidates that aren't in one
+component yet, there and then, and returns what links components. So no search returns
+more than a row a set and block, a group whose texts are alike costs little more than
+its size, and all pairs count. Texts that are near, not alike and not linked otherwise
+cost a comparison each pair. Nothing is sampled or capped.
 
 Sets of fewer than ``LEAST`` shingles are alike only if equal. Texts without a word
 have the empty set and are copies of each other. A row is its id and text, as in
@@ -42,8 +44,10 @@ LEAST = 4
 CLASS = 1.26
 #: Tasks that the members of one set's pairs are dealt out to.
 SALTS = 8
-#: Candidates of a set and tile pair, from the second round on; grows by itself.
-MORE = 32
+#: Bytes of sets of a tile, and tiles of a block, of the second search: what a task holds.
+TILE_BYTES, SIDE = 4 << 20, 8
+#: Candidates that are verified before components are looked up again.
+CHUNK = 4096
 #: Added to the hashes to make others; fixed values.
 STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Beyond all distances.
@@ -105,33 +109,39 @@ def contents(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> D
 
 def tiles(sets: DataFrame) -> DataFrame:
     """tile, level (the class of size) and, as bytes, set, root, n and sign of up to
-    ``TILE`` sets."""
-    keyed = sets.select(F.floor(F.log("n") / float(np.log(CLASS))).cast("int").alias("level"), "set", "root", "n", "sign")
+    ``TILE`` sets; where ``sets`` has their values, these too (vals, end to end), up to
+    ``TILE_BYTES`` (a larger set is a tile of its own)."""
+    columns = ["set", "root", "n", "sign", *(["vals"] if "vals" in sets.columns else [])]
+    keyed = sets.select(F.floor(F.log("n") / float(np.log(CLASS))).cast("int").alias("level"), *columns)
     order = ["level", "n", "set"]
     dealt = keyed.repartitionByRange(shuffle_parts(sets.sparkSession), *order).sortWithinPartitions(*order)
-    schema = pa.schema([("tile", pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in ("set", "root", "n", "sign"))])
+    schema = pa.schema([("tile", pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in columns)])
 
     def run(batches):
         held: list[tuple] = []
+        weight = 0
 
         def row():
-            level, sets, roots, n, sign = zip(*held, strict=True)
-            made = {"tile": min(sets), "level": level[0], "set": np.array(sets, np.int64).tobytes(), "root": np.array(roots, np.int64).tobytes(), "n": np.array(n, np.int32).tobytes(), "sign": b"".join(sign)}
+            level, sets, roots, n, *rest = zip(*held, strict=True)
+            made = {"tile": min(sets), "level": level[0], "set": np.array(sets, np.int64).tobytes(), "root": np.array(roots, np.int64).tobytes(), "n": np.array(n, np.int32).tobytes()}
             held.clear()
-            return made
+            return made | {c: b"".join(x) for c, x in zip(columns[3:], rest, strict=True)}
 
         for b in batches:
             out = []
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (held[0][0] != x[0] or len(held) == TILE):
+                size = len(x[-1])
+                if held and (held[0][0] != x[0] or len(held) == TILE or weight + size > TILE_BYTES):
                     out.append(row())
+                    weight = 0
                 held.append(x)
+                weight += size
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
         if held:
             yield pa.RecordBatch.from_pylist([row()], schema)
 
-    return dealt.mapInArrow(run, "tile long, level int, set binary, root binary, n binary, sign binary")
+    return dealt.mapInArrow(run, "tile long, level int, " + ", ".join(f"{c} binary" for c in columns))
 
 
 class Tile:
@@ -141,6 +151,7 @@ class Tile:
         self.sign = np.frombuffer(row["sign"], np.uint64).reshape(-1, WORDS)
         self.first = [np.ascontiguousarray(self.sign[:, k]) for k in range(FIRST)]
         bits = np.bitwise_count(self.sign).sum(axis=1, dtype=np.int64)
+        self.vals = np.split(np.frombuffer(row["vals"], np.uint64), np.cumsum(self.n[:-1])) if "vals" in row else None
         self.least, self.most, self.low, self.high = int(self.n.min()), int(self.n.max()), int(bits.min()), int(bits.max())
 
     def out_of_reach(self, other: Tile) -> bool:
@@ -171,51 +182,83 @@ def distances(x: Tile, y: Tile):
             yield k, d
 
 
-def nearest(x: Tile, y: Tile, most: int):
-    """u, v, d of the nearest candidates: one of each set of both tiles if ``most`` is 1,
-    else ``most`` of each set of x; and a row without v, d of each set of y with any.
-    more: whether u has further ones."""
+def nearest(x: Tile, y: Tile) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """u, v, d: the nearest candidate of each set of both tiles that has any."""
     out = []
     best, of = np.full(len(y.n), FAR, np.int16), np.zeros(len(y.n), np.int64)
     for k, d in distances(x, y):
         low = d.min(axis=0)
         closer = low < best
         best[closer], of[closer] = low[closer], k + d.argmin(axis=0)[closer]
-        if most == 1:
-            i = np.flatnonzero(d.min(axis=1) < FAR)
-            j = d[i].argmin(axis=1)
-            out.append((x.set[k + i], y.set[j], d[i, j], np.zeros(len(i), bool)))
-            continue
-        i, j = np.nonzero(d < FAR)
-        order = np.lexsort((j, d[i, j], i))
-        i, j = i[order], j[order]
-        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        size = np.diff(np.r_[start, len(i)])
-        first = np.arange(len(i)) - np.repeat(start, size) < most
-        out.append((x.set[k + i[first]], y.set[j[first]], d[i, j][first], np.repeat(size > most, size)[first]))
+        i = np.flatnonzero(d.min(axis=1) < FAR)
+        j = d[i].argmin(axis=1)
+        out.append((x.set[k + i], y.set[j], d[i, j]))
     there = np.flatnonzero(best < FAR)
-    if most == 1:
-        out.append((y.set[there], x.set[of[there]], best[there], np.zeros(len(there), bool)))
-    elif len(there):
-        out.append((y.set[there], y.set[there], np.full(len(there), FAR, np.int16), np.zeros(len(there), bool)))
+    out.append((y.set[there], x.set[of[there]], best[there]))
     return out
 
 
-def candidates(tiled: DataFrame, most: int) -> DataFrame:
-    """u, v, d, more of ``nearest`` over all tile pairs; v is u where it stands for none."""
+def met(left: pa.Table, right: pa.Table, own: bool):
+    """The pairs of tiles of two blocks that are to be compared."""
+    a = [Tile(r) for r in left.to_pylist()]
+    b = a if own else [Tile(r) for r in right.to_pylist()]
+    return a, b, [(p, q) for p in a for q in b if not (own and p.tile > q.tile or p.out_of_reach(q))]
+
+
+def candidates(tiled: DataFrame) -> DataFrame:
+    """u, v, d: each set's nearest candidate, once for each pair of blocks."""
 
     def compare(left: pa.Table, right: pa.Table, own: bool) -> pa.Table:
-        a = [Tile(r) for r in left.to_pylist()]
-        b = a if own else [Tile(r) for r in right.to_pylist()]
-        found = [x for p in a for q in b if not (own and p.tile > q.tile or p.out_of_reach(q)) for x in nearest(p, q, most)]
-        u, v, d, more = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, (np.int64, np.int64, np.int16, bool), strict=True))
-        if most == 1 and len(u):  # of the group's candidates the nearest alone
-            order = np.lexsort((v, d, u))
-            order = order[np.r_[True, u[order][1:] != u[order][:-1]]]
-            u, v, d, more = u[order], v[order], d[order], more[order]
-        return pa.table({"u": u, "v": v, "d": d.astype(np.int32), "more": more})
+        found = [x for p, q in met(left, right, own)[2] for x in nearest(p, q)]
+        u, v, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16))
+        order = np.lexsort((v, d, u))
+        order = order[np.r_[True, u[order][1:] != u[order][:-1]][: len(order)]]
+        return pa.table({"u": u[order], "v": v[order], "d": d[order].astype(np.int32)})
+
+    return block_pairs(tiled, 1, compare, "u long, v long, d int")
+
+
+class Joined:
+    """Components of some roots, as pairs are joined."""
 
-    return block_pairs(tiled, 1, compare, "u long, v long, d int, more boolean")
+    def __init__(self, roots: np.ndarray):
+        self.roots = np.unique(roots)
+        self.label = np.arange(len(self.roots))
+
+    def of(self, roots: np.ndarray) -> np.ndarray:
+        return self.label[np.searchsorted(self.roots, roots)]
+
+    def join(self, i: int, j: int) -> None:
+        low, high = sorted((int(self.label[i]), int(self.label[j])))
+        self.label[self.label == high] = low
+
+
+def linking(tiled: DataFrame) -> DataFrame:
+    """u, v: roots of sets that are alike and weren't joined; of each pair of blocks no more
+    than join its components."""
+
+    def compare(left: pa.Table, right: pa.Table, own: bool) -> pa.Table:
+        a, b, pairs = met(left, right, own)
+        joined = Joined(np.concatenate([t.root for t in (a if own else a + b)]))
+        us, vs = [], []
+        for p, q in pairs:
+            p.now, q.now = (np.searchsorted(joined.roots, t.root) for t in (p, q))
+            for k, d in distances(p, q):
+                i, j = np.nonzero(d < FAR)
+                order = np.argsort(d[i, j], kind="stable")
+                i, j = k + i[order], j[order]
+                for at in range(0, len(i), CHUNK):
+                    x, y = i[at : at + CHUNK], j[at : at + CHUNK]
+                    open_pairs = joined.label[p.now[x]] != joined.label[q.now[y]]
+                    for s, t in zip(x[open_pairs].tolist(), y[open_pairs].tolist(), strict=True):
+                        m, n = int(p.now[s]), int(q.now[t])
+                        if joined.label[m] != joined.label[n] and alike(p.vals[s], q.vals[t]):
+                            joined.join(m, n)
+                            us.append(int(p.root[s]))
+                            vs.append(int(q.root[t]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return block_pairs(tiled, 1, compare, "u long, v long", SIDE)
 
 
 def salt(col: str):
@@ -244,38 +287,20 @@ def roots(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> Dat
     """node, root of all sets with a smaller one in their component. ``firsts`` (set, n,
     sign and the set's first row) is a written table."""
     spark = docs.sparkSession
-    found = spark.createDataFrame([], "node long, root long")
-    active, most = firsts.where(F.col("n") >= LEAST).select("set", "n", "sign").withColumn("root", F.col("set")), 1
-    edges = tested = held = None
-    spent = []
-    while True:
-        tiled, tiles_path = materialise(tiles(active), "tiles")
-        hits, hits_path = materialise(candidates(tiled, most), "hits")
-        remove(spark, tiles_path)
-        spent.append(hits_path)
-        if hits.isEmpty():
-            break
-        if most == 1:
-            pairs = hits.groupBy("u").agg(F.min(F.struct("d", "v")).alias("b")).select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
-        else:
-            pairs = hits.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested.hint("merge"), ["u", "v"], "left_anti")
-        pairs, pairs_path = materialise(pairs, "pairs")
-        spent.append(pairs_path)
-        some = hits.select(F.col("u").alias("set")).distinct()
-        if held is None:
-            held, held_path = materialise(contents(docs, firsts.join(some.hint("merge"), "set", "left_semi"), id_col, text_col), "sets")
-            spent.append(held_path)
-        new, _ = materialise(verified(pairs, held), "near")
-        edges = new if edges is None else edges.unionByName(new)
-        found = connected(edges)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if most > 1 and hits.where("more").isEmpty():
-            break
-        rooted = firsts.select("set", "n", "sign").join(some.hint("merge"), "set", "left_semi").join(found.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left")
-        active, most = rooted.withColumn("root", F.coalesce("root", "set")), MORE * most
-    for path in spent:
+    every = firsts.where(F.col("n") >= LEAST).select("set", "n", "sign").withColumn("root", F.col("set"))
+    tiled, tiles_path = materialise(tiles(every), "tiles")
+    hits, hits_path = materialise(candidates(tiled).groupBy("u").agg(F.min(F.struct("d", "v")).alias("b")).select("u", F.col("b.v").alias("v")), "hits")
+    remove(spark, tiles_path)
+    pairs, pairs_path = materialise(hits.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    held, held_path = materialise(contents(docs, firsts.join(hits.select(F.col("u").alias("set")).hint("merge"), "set", "left_semi"), id_col, text_col), "sets")
+    near, _ = materialise(verified(pairs, held), "near")
+    found = connected(near)
+    own = held.join(every.select("set", "n", "sign").hint("merge"), "set").join(found.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left")
+    again, again_path = materialise(tiles(own.withColumn("root", F.coalesce("root", "set"))), "tiles")
+    more, _ = materialise(linking(again), "near")
+    for path in (hits_path, pairs_path, held_path, again_path):
         remove(spark, path)
-    return found
+    return connected(near.unionByName(more))
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -127,7 +127,7 @@ def tiles(distinct: DataFrame, size: int = TILE) -> DataFrame:
     return dealt.mapInArrow(run, "tile long, level int, low binary, high binary, vals binary")
 
 
-def block_pairs(tiled: DataFrame, reach: int, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str) -> DataFrame:
+def block_pairs(tiled: DataFrame, reach: int, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, most: int = BLOCK_TILES) -> DataFrame:
     """What ``compare`` finds in all pairs of tiles whose levels differ by ``reach`` at
     most.
 
@@ -139,8 +139,8 @@ def block_pairs(tiled: DataFrame, reach: int, compare: Callable[[pa.Table, pa.Ta
     spark = tiled.sparkSession
     parts = shuffle_parts(spark)
     count = {r["level"]: r["count"] for r in tiled.groupBy("level").count().collect()}  # a row a level, of which there are some hundreds at most
-    # larger blocks move less, smaller ones make more tasks; a block is bounded by BLOCK_TILES
-    side = min(BLOCK_TILES, max(4, -(-sum(count.values()) // (2 * max(1, int(parts**0.5))))))
+    # larger blocks move less, smaller ones make more tasks; ``most`` tiles bound a block's memory
+    side = min(most, max(4, -(-sum(count.values()) // (2 * max(1, int(parts**0.5))))))
     blocks = {k: -(-n // side) for k, n in count.items()}
     first = dict(zip(sorted(blocks), np.cumsum([0, *(blocks[k] for k in sorted(blocks))]).tolist()))
     near_levels = {k: [x for x in sorted(blocks) if abs(x - k) <= reach] for k in blocks}
