@@ -80,6 +80,25 @@ def test_simhash_groups(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_links_over_many_blocks(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 6))) for b in base for _ in range(2)] + [0, 1, (1 << 64) - 1]
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    fps = spark.createDataFrame([(k, v) for k, v in enumerate(signed)], "doc_id long, fp long")
+    tiled = simhash.tiles(fps.select("fp"), 8).cache()
+    assert tiled.count() > 40 and sorted(v for r in tiled.collect() for v in np.frombuffer(r.vals, np.int64).tolist()) == signed
+    got = {r.node: r.root for r in simhash.connected(simhash.links(tiled)).collect()}
+    root = {v: v for v in signed}
+    for v in signed:
+        for w in signed:
+            if (v ^ w).bit_count() <= 4 if v >= 0 and w >= 0 else ((v ^ w) & (1 << 64) - 1).bit_count() <= 4:
+                a, b = root[v], root[w]
+                if a != b:
+                    root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert {v: got.get(v, v) for v in signed} == root and len(set(root.values())) < len(signed) - 100
+
+
 def test_near_pairs_in_blocks():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
