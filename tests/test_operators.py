@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archivolt.functions.text import arg_max, classify_stage
-from archivolt.operators import matrix, relational, statistics, vectors
+from archivolt.operators import matrix, ordered, relational, statistics, vectors
 from archivolt.sources import text_formats
 
 
@@ -148,3 +148,30 @@ def test_pieces_find_what_a_full_search_finds():
             if full:
                 again = regex.fullmatch(rf"(?b)\s*(?:{pattern}){{e<={edits}}}\s*", got)
                 assert sum(again.fuzzy_counts) <= sum(full.fuzzy_counts)
+
+
+def test_edges_of_bins(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 1, 2, 5, 8)] + [(None,)], "v double")
+    assert relational.edges(df, "v", "even", 4) == [0, 2, 4, 6, 8] and relational.edges(df, "v", "values", 5) == [0, 1, 2, 5, 8]
+    assert relational.edges(df, "v", "quantile", 2) == [0, 1.5, 8] and relational.edges(df.where("v > 9"), "v", "even") == []
+    with pytest.raises(ValueError, match="more than 3"):
+        relational.edges(df, "v", "values", 3)
+    got = [(r.bin, r.n) for r in relational.bins(df, "v", [0, 1, 2, 8]).orderBy("bin").collect()]
+    assert got == [(1, 3), (2, 1), (3, 2)]
+
+
+def test_quantiles_of_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, rng.randrange(8), rng.random() * 100])) for g in ("a", "b", None) for _ in range(200)] + [("c", 4.0), ("d", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
+    got = {r.g: r for r in ordered.quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5, "high": 0.93}).collect()}
+    assert set(got) == {"a", "b", None, "c"}
+    for g, r in got.items():
+        mine = [v for h, v in rows if h == g and v is not None]
+        assert (r.low, r.mid, r.high) == pytest.approx(tuple(np.quantile(mine, [0.1, 0.5, 0.93])))
+    sums = ordered.running(ordered.counted(df.where("g = 'a'"), ["g"], "v"), ["g"], "v", ["n"]).orderBy("v").collect()
+    below = 0
+    for k, r in enumerate(sums):
+        assert r.before_n == below and r.next == (sums[k + 1].v if k + 1 < len(sums) else None)
+        below += r.n
+    assert all(r.total_n == below for r in sums)
