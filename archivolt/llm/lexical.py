@@ -11,15 +11,14 @@ searched again.
 
 ``search`` takes as queries all given rows, in blocks of about ``AT_ONCE``; with a block's
 rows go its queries' weights, so nothing is broadcast by hand. In each shard and block of
-queries the lists of a query stand in order of their next document. The pivot is the first
-document that the lists' maximum impacts up to there could lift to the threshold; then only
-the shallow pointers move, over borders of blocks, to the blocks that hold the pivot. Where
-the maximum impacts of these blocks fall short, all documents up to the nearest border are
-skipped and nothing is decompressed; otherwise the blocks are, and the documents up to that
-border are scored. The threshold is the tenth best score of the shard so far, and from the
-start the best of the terms' tenth highest block maxima over all shards: ten documents reach
-that by this one term. It never excludes an equal score. Shards yield ten rows a query at
-most; a window with a limit merges them.
+queries the lists' shallow pointers move over the borders of their blocks, in order of the
+documents, ``STRIDE`` stretches between borders at a time. A stretch in which the maximum
+impacts of the blocks under all pointers can't reach the threshold is skipped; a block
+that lies in such stretches only is never decompressed. The documents of the others are
+scored. The threshold is the tenth best score of the shard so far, and from the start the
+best of the terms' tenth highest block maxima over all shards: ten documents reach that by
+this one term. It never excludes an equal score. Shards yield ten rows a query at most; a
+window with a limit merges them.
 
 The weight of a term is floor(1000 ln((2N + 2) / (2 df + 1))); a document scores the sum of
 weight times (10^9 tf) div (1000 tf + 8 m) over the query's terms, repeats included, with
@@ -35,10 +34,8 @@ texts make a shard of their own. Other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +48,8 @@ from archivolt.llm.common import bound_batches, materialise, texts_of
 BLOCK = 128
 SHARD_BYTES = 16 << 20
 AT_ONCE = 256
+#: Stretches between borders that all pointers pass at a time.
+STRIDE = 256
 #: Upper and lower case, and the pattern of terms.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -208,24 +207,24 @@ class Lists:
         self.ids = np.frombuffer(docs, "<i8", size)
         self.m = shortness(np.frombuffer(docs, "<i8", size, 8 * size).astype(np.int64), n, total)
         self.known = np.frombuffer(docs, np.uint8, size, 16 * size)
-        self.first: list[list[int]] = []
-        self.last: list[list[int]] = []
-        self.most: list[list[int]] = []
-        self.top: list[int] = []
-        self.ends: list[list[int]] = []
+        self.first: list[np.ndarray] = []
+        self.last: list[np.ndarray] = []
+        self.most: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
         self.data: list[bytes] = []
         self.deep: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, first: list[int], last: list[int], most: list[int], ends: list[int], data: bytes) -> int:
-        for held, x in ((self.first, first), (self.last, last), (self.most, most), (self.top, max(most)), (self.ends, ends), (self.data, data)):
-            held.append(x)
+        for held, x in ((self.first, first), (self.last, last), (self.most, most), (self.ends, ends)):
+            held.append(np.asarray(x, np.int64))
+        self.data.append(data)
         return len(self.data) - 1
 
     def block(self, t: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and impacts of one block."""
         if (t, b) not in self.deep:
-            begin = self.ends[t][b - 1] if b else 0
-            pairs = unpacked(np.frombuffer(self.data[t], np.uint8, self.ends[t][b] - begin, begin)).reshape(-1, 2)
+            begin = int(self.ends[t][b - 1]) if b else 0
+            pairs = unpacked(np.frombuffer(self.data[t], np.uint8, int(self.ends[t][b]) - begin, begin)).reshape(-1, 2)
             doc, tf = np.cumsum(pairs[:, 0]), pairs[:, 1]
             self.deep[t, b] = doc, 1_000_000_000 * tf // (1000 * tf + 8 * self.m[doc])
         return self.deep[t, b]
@@ -233,60 +232,46 @@ class Lists:
     def best(self, weights: list[tuple[int, int]], need: int, k: int) -> list[tuple[int, int]]:
         """(score, document) of the k best documents of at least ``need``, of equals the
         first; ``weights`` are those of the query's terms by number."""
-        heap: list[tuple[int, int]] = []
-        weight = dict(weights)
-        at = dict.fromkeys(weight, 0)  # the block of each list's shallow pointer
-        order = sorted((self.first[t][0], t) for t in weight)  # and its next document
-        while order:
-            reach, pivot = 0, -1
-            for doc, t in order:
-                reach += weight[t] * self.top[t]
-                if reach >= need:
-                    pivot = doc
-                    break
-            if pivot < 0:
-                break
-            reach, end, here, moved = 0, 1 << 62, [], []
-            for doc, t in order:
-                if doc > pivot:
-                    end = min(end, doc - 1)
-                    break
-                moved.append(t)
-                last = self.last[t]
-                b = at[t] = bisect_left(last, pivot, at[t])
-                if b == len(last):
-                    continue
-                if self.first[t][b] > pivot:
-                    end = min(end, self.first[t][b] - 1)
-                else:
-                    reach += weight[t] * self.most[t][b]
-                    end = min(end, last[b])
-                    here.append((t, b))
-            if reach >= need:
-                scores = np.zeros(end - pivot + 1, np.int64)
-                for t, b in here:
-                    docs, impact = self.block(t, b)
-                    low, high = np.searchsorted(docs, (pivot, end + 1))
-                    scores[docs[low:high] - pivot] += weight[t] * impact[low:high]
-                for c in np.flatnonzero(scores >= need).tolist():
-                    score = int(scores[c])
-                    if score < need:
-                        continue
-                    if len(heap) < k:
-                        heappush(heap, (score, -(pivot + c)))
-                    else:
-                        heapreplace(heap, (score, -(pivot + c)))
-                    if len(heap) == k:
-                        need = max(need, heap[0][0] + 1)  # those to come have larger ids
-            order = order[len(moved) :]
-            for t in moved:
-                b, last = at[t], self.last[t]
-                if b < len(last) and last[b] <= end:
-                    b = at[t] = b + 1
-                if b < len(last):
-                    order.append((max(end + 1, self.first[t][b]), t))
-            order.sort()
-        return [(score, -doc) for score, doc in heap]
+        terms, weight = [t for t, _ in weights], np.array([w for _, w in weights], np.int64)
+        if not terms:
+            return []
+        size = [len(self.last[t]) for t in terms]
+        owner = np.repeat(np.arange(len(terms)), size)
+        number = np.concatenate([np.arange(n) for n in size])
+        first, stop = np.concatenate([self.first[t] for t in terms]), np.concatenate([self.last[t] for t in terms]) + 1
+        reach = weight[owner] * np.concatenate([self.most[t] for t in terms])
+        # between two borders no list's shallow pointer moves to another block
+        borders = np.unique(np.concatenate([first, stop]))
+        begin, end = np.searchsorted(borders, first), np.searchsorted(borders, stop)
+        bound = np.zeros(len(borders), np.int64)
+        np.add.at(bound, begin, reach)
+        np.subtract.at(bound, end, reach)
+        bound = np.cumsum(bound)
+        scores, docs = np.empty(0, np.int64), np.empty(0, np.int64)
+        for s in range(0, len(borders) - 1, STRIDE):
+            e = min(s + STRIDE, len(borders) - 1)
+            alive = bound[s:e] >= need
+            if not alive.any():
+                continue
+            low, high = int(borders[s]), int(borders[e])
+            before = np.r_[0, np.cumsum(alive)]
+            wanted = before[np.clip(end, s, e) - s] > before[np.clip(begin, s, e) - s]
+            sums = np.zeros(high - low, np.int64)
+            for j in np.flatnonzero(wanted).tolist():
+                t = owner[j]
+                doc, impact = self.block(terms[t], int(number[j]))
+                if first[j] < low or stop[j] > high:
+                    a, z = doc.searchsorted((low, high))
+                    doc, impact = doc[a:z], impact[a:z]
+                sums[doc - low] += weight[t] * impact
+            # the sums of stretches that were skipped aren't whole
+            at = np.flatnonzero((sums >= need) & np.repeat(alive, np.diff(borders[s : e + 1])))
+            scores, docs = np.concatenate([scores, sums[at]]), np.concatenate([docs, at + low])
+            if len(scores) >= k:
+                top = np.lexsort((docs, -scores))[:k]
+                scores, docs = scores[top], docs[top]
+                need = max(need, int(scores[-1]) + 1)  # those to come have larger ids
+        return list(zip(scores.tolist(), docs.tolist(), strict=True))
 
 
 def asked(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:

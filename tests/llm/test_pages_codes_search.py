@@ -180,6 +180,8 @@ def library():
 @pytest.mark.parametrize("shard_bytes", [1, 5_000, 16 << 20])
 def test_search(spark, library, monkeypatch, shard_bytes):
     docs, items = library
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    monkeypatch.setattr(lexical, "STRIDE", 5)
     monkeypatch.setattr(lexical, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(lexical, "AT_ONCE", 12)
     if shard_bytes == 1:
@@ -192,21 +194,45 @@ def test_search(spark, library, monkeypatch, shard_bytes):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_search(docs, items)
 
 
-def test_search_skips_blocks(library):
+def test_search_skips_blocks(monkeypatch):
     """Blocks that can't reach the threshold aren't decompressed, and results stay."""
     rng = np.random.default_rng(4)
+    monkeypatch.setattr(lexical, "STRIDE", 8)
     shard = lexical.Shard()
     for k in range(6000):
-        shard.add(k, b"common " * int(rng.integers(1, 3)) + (b"rare " * 5 if k in (100, 900) else b"") + f"w{k}".encode())
+        shard.add(k, b"common " * int(rng.integers(1, 3)) + (b"rare " * 5 if k in (100, 300) else b"") + f"w{k}".encode())
     rows = [r for b in shard.rows(0, 6000, 12_000) for r in b.to_pylist()]
     head = next(r for r in rows if r["is_docs"])
     lists = lexical.Lists(head["data"], head["df"], 6000, 12_000)
     at = {r["term"]: lists.add(r["first"], r["last"], r["most"], r["ends"], r["data"]) for r in rows if r["term"] in (b"common", b"rare")}
     found = lists.best([(at[b"common"], 1), (at[b"rare"], 9000)], 1, 2)
-    assert sorted(d for _, d in found) == [100, 900]
+    assert sorted(d for _, d in found) == [100, 300]
     assert len(lists.deep) < 10 < len(lists.last[at[b"common"]])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_of_a_shard(monkeypatch, seed):
+    """With small blocks and strides, many ties and any sound threshold to begin with."""
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    monkeypatch.setattr(lexical, "STRIDE", 3)
+    rng = random.Random(seed)
+    docs = [[f"t{min(int(rng.expovariate(0.4)), 9)}" for _ in range(rng.randrange(1, 7))] for _ in range(150)]
+    n, total = len(docs), sum(map(len, docs))
+    shard = lexical.Shard()
+    for k, d in enumerate(docs):
+        shard.add(k, " ".join(d).encode())
+    rows = [r for b in shard.rows(0, n, total) for r in b.to_pylist()]
+    head = next(r for r in rows if r["is_docs"])
+    for _ in range(20):
+        query = {f"t{t}": rng.choice([1, 3, 50]) for t in rng.sample(range(10), rng.randrange(1, 6))}
+        score = lambda d: sum(w * (1_000_000_000 * d.count(t) // (1000 * d.count(t) + 8 * (25 + 75 * len(d) * n // total))) for t, w in query.items() if t in d)  # noqa: B023, E731
+        want = sorted(((score(d), k) for k, d in enumerate(docs) if score(d)), key=lambda x: (-x[0], x[1]))[:5]
+        lists = lexical.Lists(head["data"], head["df"], n, total)
+        weights = [(lists.add(r["first"], r["last"], r["most"], r["ends"], r["data"]), query[r["term"].decode()]) for r in rows if r["term"].decode(errors="replace") in query]
+        for need in (1, want[-1][0] if len(want) == 5 else 1):
+            assert lists.best(weights, need, 5) == want
+
+
 def test_packed_values():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28 - 1, 2**31 - 1, 5])
     raw, ends = lexical.packed(values)
