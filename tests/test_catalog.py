@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from archivolt.plans import annotation, catalog, effects, learning, shaping, tidying  # noqa: F401 - these register their queries
+from archivolt.plans import annotation, catalog, effects, learning, networks, shaping, tidying  # noqa: F401 - these register their queries
 from archivolt.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
