@@ -14,8 +14,7 @@ a round that overshoots (several nodes that join one community at a time) does n
 Then each community is refined: its nodes start alone and merge with neighbours inside it,
 tails into heads by a hash, where that gains modularity. What merged is connected, and
 becomes a node of the next level, which begins with the communities found so far; a node
-there may still leave. A resolution is done when a level makes it no better and nothing
-merges any more, or after two such levels.
+there may still leave. A resolution is done when a level makes it no better.
 
 Every round reads and writes tables in the shared folder; only a row for each resolution
 comes to the driver. Sums over a community or a node of many edges are partial sums before
@@ -140,25 +139,21 @@ def found(edges: DataFrame, resolutions: Sequence[float] = (1.0,)) -> DataFrame:
     maps: list[DataFrame] = []  # from each level's nodes to the next one's
     ends: dict[int, DataFrame] = {}  # by level, of the resolutions that ended there
     quality: dict[int, float] = {}
-    turn, left, tired = 0, set(range(len(gammas))), set()
+    turn, left = 0, set(range(len(gammas)))
     while left:
         state, q, better, turn = settled(store, links, state, m2, turn)
         quality |= q
-        settled_at, level = store.table(state, "state"), len(maps)
-        state, any_merged = settled_at, set()
-        for _ in range(2):  # tails and heads by another hash
+        state, level = store.table(state, "state"), len(maps)
+        if done := left - better:
+            ends[level] = state.where(F.col("r").isin(list(done))).select("r", "node", "c")
+            left = left & better
+            links, state = links.where(F.col("r").isin(list(left))), state.where(F.col("r").isin(list(left)))
+        for _ in range(2 if left else 0):  # tails and heads by another hash
             to = store.table(merged(links, state, m2, turn), "merge")
-            any_merged |= {row["r"] for row in to.groupBy("r").agg(F.count_if(F.col("node") != F.col("super")).alias("n")).where("n > 0").collect()}  # a row for each resolution
             links, state = coarse(links, state, to)
             links, state = store.table(links, "links"), store.table(state, "nodes")
             maps.append(to)
             turn += 1
-        done = [r for r in left if r not in better and (r not in any_merged or r in tired)]
-        tired = left - better
-        if done:
-            ends[level] = settled_at.where(F.col("r").isin(done)).select("r", "node", "c")
-            left -= set(done)
-            links, state = links.where(F.col("r").isin(list(left))), state.where(F.col("r").isin(list(left)))
     # down to the first level's nodes
     labels = None
     for level in range(max(ends), -1, -1):
