@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.operators.inference import adjusted, hypergeometric
-from archivolt.operators.ordered import beside, quantiles
-from archivolt.operators.statistics import distances, dominance, trimmed_mean
+from archivolt.operators.ordered import beside, counted, quantiles, running
+from archivolt.operators.statistics import distances, dominance
+from archivolt.operators.stored import Stored
 
 #: Coefficients of the complementary error function's fit, relative error 1.2e-7.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -50,20 +51,68 @@ def detection(df: DataFrame, value: str, flag: str, by: list[str], threshold: fl
     return rates.join(med, by, "left")
 
 
-def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float = 0.2, threshold: float = 0.0, steps: int = 9) -> DataFrame:
+def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float = 0.2, threshold: float = 0.0, steps: int = 9, least: float = 1e-12) -> DataFrame:
     """All effect sizes of each group: counts, median and trimmed differences, the robust
     delta, dominance, distance, shift of the deciles, detection. Groups without either
-    side are left out. ``by`` may be a grid of several columns: all its cells at once."""
+    side are left out. ``by`` may be a grid of several columns: all its cells at once.
+
+    The rows are counted once, by value and side. One order of these gives all but the
+    deviations from the medians, which are orders of the counted table too."""
     v, f = F.col(value), F.col(flag)
-    df = df.where(v.isNotNull())
-    sizes = df.groupBy(*by).agg(F.count_if(f).alias("n_in"), F.count_if(~f).alias("n_out")).where("n_in > 0 and n_out > 0")
-    names = [f"_q{k}" for k in range(1, steps + 1)]
-    q = quantiles(df, [*by, flag], value, {n: k / (steps + 1) for k, n in enumerate(names, 1)})
-    moved = q.groupBy(*by).agg(F.array(*(F.max(F.when(f, F.col(n))) - F.max(F.when(~f, F.col(n))) for n in names)).alias("shift"))
-    shift = sizes.join(moved, by)
-    trimmed = trimmed_mean(df, value, [*by, flag], trim).groupBy(*by).agg((F.max(F.when(f, F.col("trimmed"))) - F.max(F.when(~f, F.col("trimmed")))).alias("trimmed_diff"))
-    parts = [glass(df, value, flag, by), trimmed, dominance(df, value, flag, by).select(*by, "a", "delta"), distances(df, value, flag, by).select(*by, "wasserstein"), detection(df, value, flag, by, threshold)]
-    return reduce(lambda x, y: x.join(y, by), parts, shift)
+    n = counted(df.where(f.isNotNull()), by, value, a=f.cast("long"), b=(~f).cast("long"))
+    r = running(n, by, value, ["a", "b"])
+    x = v.cast("double")
+    names = {"a": "in", "b": "out"}
+    out: list[Column] = []
+
+    def quantile(side: str, total: Column, skip: Column, q: float) -> Column:
+        place = (total - 1) * F.lit(float(q))
+        at = lambda k: F.max(F.when((F.col(f"before_{side}") <= skip + k) & (skip + k < F.col(f"before_{side}") + F.col(side)), x))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    qs = [k / (steps + 1) for k in range(1, steps + 1)]
+    for side in "ab":
+        total, before = F.col(f"total_{side}"), F.col(f"before_{side}")
+        cut = F.floor(total * trim)
+        kept = F.greatest(F.least(before + F.col(side), total - cut) - F.greatest(before, cut), F.lit(0))
+        out += [F.first(total).alias(f"n_{names[side]}"), (F.sum(kept * x) / F.sum(kept)).alias(f"_t{side}"), quantile(side, total, F.lit(0), 0.5).alias(f"_m{side}")]
+        out += [F.sum(F.when(v > threshold, F.col(side)).otherwise(0)).alias(f"_o{side}"), F.sum(F.when(v > threshold, 0).otherwise(F.col(side))).alias(f"_s{side}")]
+        out += [quantile(side, total, F.lit(0), q).alias(f"_q{k}{side}") for k, q in enumerate(qs)]
+    rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / 2
+    upto = lambda k: (F.col(f"before_{k}") + F.col(k)) / F.col(f"total_{k}")
+    out += [F.sum(F.col("a") * rank).alias("_r"), F.sum(F.abs(upto("a") - upto("b")) * F.coalesce(F.col("next") - v, F.lit(0.0))).alias("wasserstein")]
+    g = r.where("total_a > 0 and total_b > 0").groupBy(*by).agg(*out)
+    g = Stored(df.sparkSession).table(g, "compared", keep=True)  # a row for each group
+    over = beside(r, g.select(*by, *(f"_{k}{side}" for side in "ab" for k in "os")), by)
+    positive = over.groupBy(*by).agg(*(quantile(side, F.col(f"_o{side}"), F.col(f"_s{side}"), 0.5).alias(f"_p{side}") for side in "ab"))
+    # the counted values' deviations from the other side's median, and from that of all
+    both = running(r.select(*by, value, (F.col("a") + F.col("b")).alias("n")), by, value, ["n"])
+    whole = both.groupBy(*by).agg(_middle(x).alias("_c"))
+    centred = beside(beside(r.select(*by, value, "a", "b"), g.select(*by, "_mb"), by), whole, by)
+    mad = _deviation(centred.where("b > 0").select(*by, F.abs(x - F.col("_mb")).alias("_off"), F.col("b").alias("n")), by)
+    pooled = _deviation(centred.select(*by, F.abs(x - F.col("_c")).alias("_off"), (F.col("a") + F.col("b")).alias("n")), by)
+    d = beside(beside(beside(g, positive, by), mad.withColumnRenamed("_d", "_mad"), by), pooled.withColumnRenamed("_d", "_pooled"), by)
+    scale = F.when(1.4826 * F.col("_mad") > least, 1.4826 * F.col("_mad")).when(1.4826 * F.col("_pooled") > least, 1.4826 * F.col("_pooled")).otherwise(1.0)
+    a = (F.col("_r") - F.col("n_in") * (F.col("n_in") + 1) / 2) / (F.col("n_in") * F.col("n_out"))
+    median = F.col("_ma") - F.col("_mb")
+    return d.select(
+        *by, "n_in", "n_out", F.array(*(F.col(f"_q{k}a") - F.col(f"_q{k}b") for k in range(steps))).alias("shift"), median.alias("median_diff"), scale.alias("scale"), (median / scale).alias("delta_star"), (F.col("_ta") - F.col("_tb")).alias("trimmed_diff"),
+        a.alias("a"), (2 * a - 1).alias("delta"), "wasserstein", *((F.col(f"_o{s}") / F.col(f"n_{names[s]}")).alias(f"rate_{names[s]}") for s in "ab"), F.col("_pa").alias("positive_median_in"), F.col("_pb").alias("positive_median_out"),
+    )
+
+
+def _middle(x: Column) -> Column:
+    """The median of a group, of what ``running`` gives for one sum n."""
+    place = (F.col("total_n") - 1) * 0.5
+    at = lambda k: F.max(F.when((F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n")), x))
+    return (at(F.floor(place)) + at(F.ceil(place))) / 2
+
+
+def _deviation(off: DataFrame, by: list[str]) -> DataFrame:
+    """by and _d, the median of counted deviations."""
+    n = off.groupBy(*by, "_off").agg(F.sum("n").alias("n"))
+    return running(n, by, "_off", ["n"]).groupBy(*by).agg(_middle(F.col("_off")).alias("_d"))
 
 
 def poisson_times(key: Column, draw: Column) -> Column:

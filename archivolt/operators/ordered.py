@@ -1,16 +1,20 @@
 """Running sums and quantiles of groups of any size, over their different values.
 
-Rows of equal value are counted first, where they are. The values are then parted at
-some bounds (quantiles of the counted table, a few numbers), so a group's order is made
-in many tasks: sums within a part, and the sums of the parts before, of which a group has
-``PARTS`` at most. No task holds a whole group."""
+Rows of equal value are counted first, where they are; the counted table is written into
+the shared folder once, and all that follows reads it. Groups of up to ``MOST`` different
+values are ordered as they are. Larger ones are parted at quantiles of their own values,
+as many parts as their size asks for: sums within a part, and the sums of the parts before.
+No task holds a group of more values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+from archivolt.operators.stored import Stored
+
+#: Different values of a group that are ordered by one task.
+MOST = 1 << 20
 
 
 def counted(df: DataFrame, by: list[str], value: str, **counts: Column) -> DataFrame:
@@ -22,19 +26,29 @@ def counted(df: DataFrame, by: list[str], value: str, **counts: Column) -> DataF
 def running(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
     """``counts`` (a row for each value of a group) with before_, the sum over smaller
     values, and total_, the group's, of each column; and ``next``, the next larger value."""
-    shares = [k / PARTS for k in range(1, PARTS)]
-    found = counts.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10_000)).first()[0]
-    bounds = sorted({float(b) for b in found or []})
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col(value) > b)) if bounds else F.lit(0)
+    held = Stored(counts.sparkSession).table(counts, "counted", keep=True)  # the result reads it
+    largest = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    zero = F.lit(0)
+    if largest <= MOST:
+        group = Window.partitionBy(*by)
+        up = group.orderBy(value)
+        earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+        return held.select(*by, value, *sums, *(x for s in sums for x in (F.coalesce(F.sum(s).over(earlier), zero).alias(f"before_{s}"), F.sum(s).over(group).alias(f"total_{s}"))), F.lead(value).over(up).alias("next"))
+    parts = -(-largest // MOST)
     # a struct is equal to another also where its fields are null
-    placed = counts.withColumn("_part", F.struct(*by, part.alias("_k")))
+    key = F.struct(*by, F.lit(0).alias("_")) if by else F.struct(F.lit(0).alias("_"))
+    shares = [k / parts for k in range(1, parts)]
+    large = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col(value).cast("double"), shares, max(10_000, 20 * parts)).alias("_at")).where(F.col("_n") > MOST).select(key.alias("_of"), F.array_distinct("_at").alias("_at"))
+    found = held.withColumn("_g", key).join(large, F.col("_g") == F.col("_of"), "left")
+    part = F.coalesce(F.size(F.filter("_at", lambda b: F.col(value) > b)), F.lit(0))
+    placed = found.select(*by, value, *sums, F.struct("_g", F.greatest(part, F.lit(0)).alias("_k")).alias("_part"))
     each = placed.groupBy("_part").agg(*(F.sum(s).alias(f"_{s}") for s in sums), F.min(value).alias("_least"))
-    group = Window.partitionBy(*(F.col(f"_part.{b}") for b in by)) if by else Window.partitionBy()
+    group = Window.partitionBy("_part._g")
     up = group.orderBy("_part._k")
     earlier = up.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.select(F.col("_part").alias("_of"), F.lead("_least").over(up).alias("_after"), *(x for s in sums for x in (F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}"), F.sum(f"_{s}").over(group).alias(f"total_{s}"))))
+    offsets = each.select(F.col("_part").alias("_of"), F.lead("_least").over(up).alias("_after"), *(x for s in sums for x in (F.coalesce(F.sum(f"_{s}").over(earlier), zero).alias(f"_off_{s}"), F.sum(f"_{s}").over(group).alias(f"total_{s}"))))
     own = Window.partitionBy("_part").orderBy(value)
-    within = placed.withColumns({f"_in_{s}": F.coalesce(F.sum(s).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for s in sums} | {"_next": F.lead(value).over(own)})
+    within = placed.withColumns({f"_in_{s}": F.coalesce(F.sum(s).over(own.rowsBetween(Window.unboundedPreceding, -1)), zero) for s in sums} | {"_next": F.lead(value).over(own)})
     both = within.join(offsets, within["_part"] == offsets["_of"])
     return both.select(*by, value, *sums, *(x for s in sums for x in ((F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"before_{s}"), F.col(f"total_{s}"))), F.coalesce("_next", "_after").alias("next"))
 

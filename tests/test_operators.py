@@ -160,7 +160,9 @@ def test_edges_of_bins(spark):
     assert got == [(1, 3), (2, 1), (3, 2)]
 
 
-def test_quantiles_of_groups(spark):
+@pytest.mark.parametrize("most", [1 << 20, 9, 1])
+def test_quantiles_of_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(ordered, "MOST", most)
     rng = random.Random(3)
     rows = [(g, rng.choice([None, rng.randrange(8), rng.random() * 100])) for g in ("a", "b", None) for _ in range(200)] + [("c", 4.0), ("d", None)]
     df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
@@ -169,6 +171,8 @@ def test_quantiles_of_groups(spark):
     for g, r in got.items():
         mine = [v for h, v in rows if h == g and v is not None]
         assert (r.low, r.mid, r.high) == pytest.approx(tuple(np.quantile(mine, [0.1, 0.5, 0.93])))
+    every = [v for _, v in rows if v is not None]
+    assert tuple(ordered.quantiles(df, [], "v", {"low": 0.2, "high": 0.7}).first()) == pytest.approx(tuple(np.quantile(every, [0.2, 0.7])))
     sums = ordered.running(ordered.counted(df.where("g = 'a'"), ["g"], "v"), ["g"], "v", ["n"]).orderBy("v").collect()
     below = 0
     for k, r in enumerate(sums):
