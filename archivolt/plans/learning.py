@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivolt.operators import inference, learning
+from archivolt.operators import inference, learning, linkage
 from archivolt.plans.catalog import MATRIX_SQL, counts
 from archivolt.plans.registry import query
 from archivolt.sources.tables import table
@@ -47,7 +47,7 @@ def group_distances(spark, d):
 
 @query()
 def group_clusters(spark, d):
-    return learning.linkage(learning.group_distances(table(spark, d, "customer"), "c_nationkey", "c_acctbal"), 5)
+    return linkage.clusters(learning.group_distances(table(spark, d, "customer"), "c_nationkey", "c_acctbal"), 5)
 
 
 @query(f"""WITH {MATRIX_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value DESC, gene) AS t, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS b FROM m)

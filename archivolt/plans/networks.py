@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivolt.operators import communities, correlated, graph, resampled, sketches
+from archivolt.operators import communities, correlated, graph, pvalues, resampled, sketches
 from archivolt.operators.stored import Stored
-from archivolt.plans.catalog import KNN_SQL, MATRIX_SQL, counts, knn
+from archivolt.plans.catalog import KNN_SQL, MATRIX_SQL, SIDE_SQL, counts, knn, sides
 from archivolt.plans.registry import query
 from archivolt.sources.tables import table
 
@@ -75,3 +75,18 @@ SELECT id, other, r, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(r) DES
 def gene_partners(spark, d):
     """Each part's five most strongly correlated other parts, over all suppliers."""
     return correlated.strongest(counts(spark, d), 5)
+
+
+@query()
+def two_sample_tests(spark, d):
+    """Five tests of both sides of each group, with their probabilities."""
+    r = pvalues.two_sample_tests(sides(spark, d), "value", "side", ["g"])
+    return r.select("g", "test", F.round("statistic", 6).alias("statistic"), F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {SIDE_SQL}, v AS (SELECT g, value, count_if(side) AS a, count_if(NOT side) AS b FROM e GROUP BY 1, 2), c AS (SELECT g, sum(a) OVER w / sum(a) OVER q AS fa, sum(b) OVER w / sum(b) OVER q AS fb, sum(a) OVER q AS n, sum(b) OVER q AS m FROM v WINDOW w AS (PARTITION BY g ORDER BY value), q AS (PARTITION BY g)),
+s AS (SELECT g, max(abs(fa - fb)) AS ks, any_value(n * m / (n + m)) AS k FROM c GROUP BY 1), x AS (SELECT g, ks, sqrt(k) * ks AS x FROM s)
+SELECT g, round(ks, 6) AS statistic, round(CASE WHEN x <= 0.04 THEN 1 WHEN x < 1 THEN 1 - sqrt(2 * pi()) / x * list_sum(list_transform(range(1, 31), lambda i: exp(-(2 * i - 1) * (2 * i - 1) * pi() * pi() / (8 * x * x)))) ELSE 2 * list_sum(list_transform(range(1, 31), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * x * x))) END, 6) AS p FROM x""")
+def kolmogorov_tests(spark, d):
+    r = pvalues.two_sample_tests(sides(spark, d), "value", "side", ["g"]).where("test = 'ks'")
+    return r.select("g", F.round("statistic", 6).alias("statistic"), F.round("p", 6).alias("p"))
