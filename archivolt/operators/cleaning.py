@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.text import flags
+from archivolt.operators import positions
 
 
 def present(df: DataFrame, wanted: list[str]) -> DataFrame:
@@ -215,6 +216,15 @@ def named_members(df: DataFrame, by: list[str], members: Column, names: DataFram
     return whole.select(*by, F.array_join(F.transform("_l", lambda x: x["_n"]), ",").alias("names"))
 
 
+def only_here(rows: DataFrame, known: DataFrame, token: str, key: str, k: int = 3) -> DataFrame:
+    """token, n, examples of the tokens that ``known`` doesn't have: how many rows have
+    each, and the k smallest keys of these, which are kept before anything is gathered."""
+    rogue = rows.select(key, token).distinct().join(known.select(token).distinct(), token, "left_anti")
+    n = rogue.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
+    first = rogue.withColumn("_k", F.row_number().over(Window.partitionBy(token).orderBy(key))).where(F.col("_k") <= k)
+    return n.join(first.groupBy(token).agg(F.array_sort(F.collect_list(key)).alias("examples")), token)
+
+
 def leaves(paths: DataFrame, path: str, n: str) -> DataFrame:
     """path, n (its own and all below), depth, leaves and is_leaf of every node above or at
     the paths (parts between semicolons), and from, to: its arc as shares of all leaves, the
@@ -224,11 +234,10 @@ def leaves(paths: DataFrame, path: str, n: str) -> DataFrame:
     node = up.groupBy("node").agg(F.sum("_n").alias("n"))
     inner = up.where("node <> _of").select("node").distinct()
     leaf = node.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"))
-    # a tree's leaves in one order: a row a leaf
-    placed = leaf.withColumn("_k", F.row_number().over(Window.orderBy("leaf")) - 1)
+    placed = positions.ordered(leaf, ["leaf"], "_k")
     total = F.broadcast(placed.agg(F.count(F.lit(1)).alias("_all")))  # one row
     of = F.split("leaf", ";")
     spread = placed.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(of)), lambda k: F.array_join(F.slice(of, 1, k), ";"))).alias("node"), "_k")
     arcs = spread.groupBy("node").agg(F.count(F.lit(1)).alias("leaves"), F.min("_k").alias("_a"), F.max("_k").alias("_z"))
-    both = node.join(arcs, "node").crossJoin(total)
-    return both.select(F.col("node").alias("path"), "n", F.size(F.split("node", ";")).alias("depth"), "leaves", ((F.col("_z") == F.col("_a")) & (F.col("leaves") == 1)).alias("single"), (F.col("_a") / F.col("_all")).alias("from"), ((F.col("_z") + 1) / F.col("_all")).alias("to"))
+    both = node.join(arcs, "node").crossJoin(total).join(inner.withColumn("_inner", F.lit(True)), "node", "left")
+    return both.select(F.col("node").alias("path"), "n", F.size(F.split("node", ";")).alias("depth"), "leaves", F.col("_inner").isNull().alias("is_leaf"), (F.col("_a") / F.col("_all")).alias("from"), ((F.col("_z") + 1) / F.col("_all")).alias("to"))

@@ -13,8 +13,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups that ``linkage`` takes: their distances are held by one task.
-MOST_GROUPS = 2000
 #: Quantiles that stand for a group in ``medcouple``.
 POINTS = 501
 
@@ -119,48 +117,6 @@ def group_distances(df: DataFrame, group: str, value: str, points: int = 21) ->
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", gap.alias("distance"))
 
 
-def merge(d: np.ndarray, k: int, how: str = "average") -> np.ndarray:
-    """The cluster of each of n items, from their distances, when k are left; clusters are
-    numbered in the order of their first items. ``how``: average or ward."""
-    n = len(d)
-    d = (d.astype(float) ** 2 if how == "ward" else d.astype(float)).copy()
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(max(0, n - k)):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        if how == "ward":
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-        else:
-            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        alive[j] = False
-        new[~alive] = np.inf
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def linkage(distances: DataFrame, k: int, how: str = "average") -> DataFrame:
-    """node, cluster (from 0). The nodes are groups, ``MOST_GROUPS`` at most: their number
-    is checked first, and more are refused."""
-    nodes = distances.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if (n := nodes.count()) > MOST_GROUPS:
-        raise ValueError(f"{n} groups; at most {MOST_GROUPS} can be clustered")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(np.concatenate([rows["a"], rows["b"]]), return_inverse=True)
-        d = np.zeros((len(names), len(names)))
-        a, b = at[: len(rows)], at[len(rows) :]
-        d[a, b] = d[b, a] = rows["distance"]
-        return pd.DataFrame({"node": names, "cluster": merge(d, k, how).astype("int32")})
-
-    kind = distances.schema["a"].dataType.simpleString()
-    return distances.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"node {kind}, cluster int")
-
-
 def nearest_rank(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
     """The n largest and the n smallest of each group (``side`` top or bottom)."""
     w = Window.partitionBy(*by)

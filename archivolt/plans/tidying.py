@@ -211,10 +211,10 @@ def ordered_distinct(spark, d):
 r AS (SELECT token, item_id, row_number() OVER (PARTITION BY token ORDER BY item_id) AS k, count(*) OVER (PARTITION BY token) AS n FROM b WHERE token NOT IN (SELECT token FROM k)) SELECT token, any_value(n) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY 1""")
 def rogue_tokens(spark, d):
     """Tokens that the corpus doesn't have, with up to three rows each."""
-    b = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ", -1)).alias("token")).distinct()
-    known = table(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("token")).distinct()
-    rogue = b.join(known, "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("item_id")), 1, 3).alias("e"))
-    return rogue.select("token", "n", F.array_join(F.transform("e", lambda x: x.cast("string")), ",").alias("examples"))
+    b = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ", -1)).alias("token"))
+    known = table(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("token"))
+    rogue = cleaning.only_here(b, known, "token", "item_id")
+    return rogue.select("token", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
 @query("""SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1""")

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivolt.operators import positions
+
 # Fixed values from here on: what the tools write before their numbers.
 SPLICED = {
     "reads_before": r"Number of input reads \|\s+(\d+)",
@@ -106,5 +108,5 @@ def delimited(spark: SparkSession, path: str, nulls: list[str], sep: str = ",",
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
-    """A number for each row that grows in the order rows are read."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """The rows with their number, 0 to n - 1, in the order in which they are read."""
+    return positions.as_read(df, name)

@@ -10,8 +10,7 @@ def annotation_attributes(attributes: Column) -> Column:
     """Map of a GTF attribute column: ``key "value"; ...``; of repeated keys the last."""
     parts = F.filter(F.transform(F.split(attributes, ";"), lambda x: F.trim(x)), lambda x: x.rlike(r'^\S+\s+".*"$'))
     entry = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("k"), F.regexp_extract(x, r'"(.*)"$', 1).alias("v")))
-    kept = F.filter(entry, lambda e: F.lit(True))
-    last = F.transform(F.array_distinct(F.transform(kept, lambda e: e["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(kept, lambda e: e["k"] == k), -1)["v"].alias("v")))
+    last = F.transform(F.array_distinct(F.transform(entry, lambda e: e["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entry, lambda e: e["k"] == k), -1)["v"].alias("v")))
     return F.map_from_entries(last)
 
 

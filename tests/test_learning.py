@@ -54,23 +54,3 @@ def test_tail_fence_without_a_tail(spark):
     df = spark.createDataFrame([("a", 1.0)] * 30 + [("b", float(i)) for i in range(1000)], "g string, v double")
     got = {r.g: r.upper for r in learning.tail_fence(df, "v", ["g"]).collect()}
     assert got["a"] == 1.0 and 949 < got["b"] < 1005
-
-
-@pytest.mark.parametrize("how", ["average", "ward"])
-def test_merge(how):
-    x = np.array([0, 0.1, 0.3, 5, 5.2, 9.0])
-    assert learning.merge(np.abs(x[:, None] - x[None]), 3, how).tolist() == [0, 0, 0, 1, 1, 2]
-    assert learning.merge(np.abs(x[:, None] - x[None]), 1, how).tolist() == [0] * 6
-
-
-def test_linkage_refuses_too_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(learning, "MOST_GROUPS", 2)
-    with pytest.raises(ValueError):
-        learning.linkage(spark.createDataFrame([("x", "y", 1.0), ("y", "z", 1.0)], "a string, b string, distance double"), 1)
-
-
-def test_linkage_of_groups_far_apart(spark):
-    rows = [(g, float(at + i)) for g, at in (("a", 0), ("b", 1), ("c", 500), ("d", 502)) for i in range(50)]
-    far = learning.group_distances(spark.createDataFrame(rows, "g string, v double"), "g", "v")
-    assert {(r.a, r.b): r.distance for r in far.collect()}[("a", "d")] == pytest.approx(502)
-    assert {r.node: r.cluster for r in learning.linkage(far, 2).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1}

@@ -56,6 +56,31 @@ def test_two_sample_tests(spark):
         assert all(0 <= got[g, t].p <= 1 for t in ("ks", "ad", "cvm", "ttest", "mannwhitney"))
 
 
+
+def merge(d: np.ndarray, k: int, how: str = "average") -> np.ndarray:
+    """The cluster of each of n items, from their distances, when k are left; clusters are
+    numbered in the order of their first items. ``how``: average or ward."""
+    n = len(d)
+    d = (d.astype(float) ** 2 if how == "ward" else d.astype(float)).copy()
+    np.fill_diagonal(d, np.inf)
+    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    for _ in range(max(0, n - k)):
+        i, j = divmod(int(np.argmin(d)), n)
+        i, j = min(i, j), max(i, j)
+        if how == "ward":
+            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        else:
+            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        alive[j] = False
+        new[~alive] = np.inf
+        new[i] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1]
+
+
 @pytest.mark.parametrize("how", ["average", "ward"])
 def test_rounds_equal_one_merge_at_a_time(spark, how):
     rng = np.random.default_rng(5)
@@ -64,7 +89,7 @@ def test_rounds_equal_one_merge_at_a_time(spark, how):
     pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(len(x)) for j in range(i + 1, len(x))], "a int, b int, distance double")
     for k in (3, 7):
         got = sorted((r.node, r.cluster) for r in linkage.clusters(pairs, k, how).collect())
-        assert [c for _, c in got] == learning.merge(d, k, how).tolist()
+        assert [c for _, c in got] == merge(d, k, how).tolist()
     with pytest.raises(ValueError):
         linkage.clusters(pairs, 3, "single")
 
@@ -75,3 +100,10 @@ def test_clusters_of_little(spark):
     two = spark.createDataFrame([("x", "y", 1.0)], "a string, b string, distance double")
     assert sorted(map(tuple, linkage.clusters(two, 5).collect())) == [("x", 0), ("y", 1)]
     assert sorted(map(tuple, linkage.clusters(two, 1).collect())) == [("x", 0), ("y", 0)]
+
+
+def test_clusters_of_groups_far_apart(spark):
+    rows = [(g, float(at + i)) for g, at in (("a", 0), ("b", 1), ("c", 500), ("d", 502)) for i in range(50)]
+    far = learning.group_distances(spark.createDataFrame(rows, "g string, v double"), "g", "v")
+    assert {(r.a, r.b): r.distance for r in far.collect()}[("a", "d")] == pytest.approx(502)
+    assert {r.node: r.cluster for r in linkage.clusters(far, 2).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1}
