@@ -4,20 +4,20 @@ A page becomes a tree of blocks. The runs of text between block borders are leav
 What is never read (scripts, styles, form controls) is skipped; menus, page headers,
 footers, sidebars, notices, adverts, forms and reader comments, as their element, role
 or class says, are cut off, unless the article lies within. Of each node C are the
-characters, T the tags below it, LC the characters in links, LT the links; formatting
-such as <b> is no tag. Its density is
+characters, T the tags below it, LC the characters in links, LT the links; formatting such
+as <b> is no tag. Its density is
 
     C / T * ln(C T / (LC LT)) / ln(1 + ln(C LC / (C - LC) + C LCb / Cb + e))
 
 with LCb and Cb of the whole body and 1 for a count of zero: long text between few tags
 is dense, and links take away the more the more there are. A node's sum is that of its
-children's densities; the node with the largest sum, of equals the first, is the main
-text. The lowest density on its path to the body is the threshold: subtrees beside the
-path that reach it give their own node of the largest sum, as where an article lies in
-several parts. Where the page declares no article, blocks of the choice that are thinner
-than the threshold go if over a third of them is links or they lie directly in the body.
-A choice within a declared article, or else main element, grows to all
-of it; one that is a mere text block, as a paragraph or a row, to the block around it.
+children's densities; the node with the largest sum, of equals the first, is the main text.
+The lowest density on its path to the body is the threshold: subtrees beside the path that
+reach it give their own node of the largest sum, as where an article lies in several parts.
+Where the page declares no article, blocks of the choice that are thinner than the threshold
+go if over a third of them is links or they lie directly in the body. A choice within a
+declared article, or else main element, grows to all of it; one that is a mere text block,
+as a paragraph or a row, to the block around it.
 
 All of the chosen text is returned: character references decoded, white space in a
 block (any Unicode white space, and <br>) made one space, ends trimmed, empty blocks

@@ -14,14 +14,18 @@ corpus, and grows with it:
   are of each group. By these shares k-means makes sqrt(V) / 4 classes of words in like
   company.
 - the network: embeddings of vocabulary words (one each, one for rare words, one for
-  beyond the text's ends), a hidden layer, a softmax over the classes. Within a class a
-  word has its share of the counts.
+  beyond the text's ends), a hidden layer, a softmax over groups of about the square root
+  of the classes, and one over the classes of the word's group, so a word's cost grows
+  with that root. Rare words are a group of their own. Within a class a word has its
+  share of the counts.
 - how often each span of words occurs. Spans end behind words whose hash is divisible by
   ``SPAN``, so equal passages have equal spans. A span that c other places have is
   recalled from them with probability c / (c + 1), c taken as 1, 2, 4 or 16; a word's
   probability is that share of 1, and the rest of the network's.
 
-A document's score is the sum of the log-probabilities of its words.
+A document's score is the sum of the log-probabilities of its words;
+``network_log_likelihood`` is that sum without recall, each term a distribution over all
+words given the words around.
 
 Training is by gradient steps in numpy, in each task over all its documents, in two
 rounds: an eighth of the documents from a common start, then the others from the average of
@@ -136,6 +140,12 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.words)
 
+    @property
+    def bounds(self) -> np.ndarray:
+        """Where the groups of classes begin, and the end."""
+        most = self.classes - 1
+        return np.r_[np.arange(0, most, max(1, round(most**0.5))), most, most + 1]
+
     def index(self, hashed: np.ndarray) -> np.ndarray:
         """Place of each word; ``size`` for rare ones."""
         if not self.size:
@@ -269,7 +279,13 @@ def vocabulary(rows: DataFrame, shape: Shape) -> Vocabulary:
     table += 4 * table.sum(axis=0) / max(table.sum(), 1)  # few neighbours tell less
     x = np.sqrt(table / np.maximum(table.sum(axis=1, keepdims=True), 1e-9))
     v.classes = max(2, int(v.size**0.5 / 4)) + 1
-    v.of = np.append(clusters(x, v.count, v.classes - 1), v.classes - 1)
+    of = clusters(x, v.count, v.classes - 1)
+    # classes of like company stand beside each other, so in a group
+    weight = np.bincount(of, v.count, minlength=v.classes - 1)
+    centre = np.column_stack([np.bincount(of, v.count * x[:, d], minlength=v.classes - 1) for d in range(x.shape[1])])
+    place = np.empty(v.classes - 1, np.int64)
+    place[np.lexsort((-weight, centre.argmax(axis=1)))] = np.arange(v.classes - 1)
+    v.of = np.append(place[of], v.classes - 1)
     mass = np.bincount(v.of[:-1], v.count, minlength=v.classes)
     v.share = np.append(np.log(v.count / mass[v.of[:-1]]), 0.0)
     table = pairs.reshape(BYTES, BYTES) + 0.5
@@ -279,7 +295,8 @@ def vocabulary(rows: DataFrame, shape: Shape) -> Vocabulary:
 
 def sizes(v: Vocabulary, shape: Shape) -> dict[str, tuple[int, ...]]:
     wide = len(OFFSETS) * shape.embedding
-    return {"e": (v.size + 2, shape.embedding), "w": (wide, shape.hidden), "b": (shape.hidden,), "u": (shape.hidden, v.classes), "c": (v.classes,)}
+    groups = len(v.bounds) - 1
+    return {"e": (v.size + 2, shape.embedding), "w": (wide, shape.hidden), "b": (shape.hidden,), "u": (shape.hidden, groups), "c": (groups,), "v": (shape.hidden, v.classes), "d": (v.classes,)}
 
 
 def split(flat: np.ndarray, v: Vocabulary, shape: Shape) -> dict[str, np.ndarray]:
@@ -296,34 +313,75 @@ def start(v: Vocabulary, shape: Shape, seed: int = 7) -> np.ndarray:
     flat = np.concatenate([(rng.standard_normal(s) * (0.0 if len(s) == 1 else 0.3 if k == "e" else 1 / np.sqrt(s[0]))).astype(np.float32).ravel() for k, s in sizes(v, shape).items()])
     mass = np.bincount(v.of[:-1], v.count, minlength=v.classes)
     mass[-1] = max(v.total - v.count.sum(), 0)
-    split(flat, v, shape)["c"][:] = np.log((mass + 0.5) / (mass + 0.5).sum())
+    p = split(flat, v, shape)
+    p["d"][:] = np.log((mass + 0.5) / (mass + 0.5).sum())
+    p["c"][:] = np.log(np.add.reduceat(mass + 0.5, v.bounds[:-1]) / (mass + 0.5).sum())
     return flat
 
 
-def forward(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = p["e"][context].reshape(len(context), -1)
-    h = np.tanh(x @ p["w"] + p["b"])
-    z = h @ p["u"] + p["c"]
+    return x, np.tanh(x @ p["w"] + p["b"])
+
+
+def shares(z: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
     z -= z.max(axis=1, keepdims=True)
-    return x, h, z
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def by_group(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bounds of the groups, the group of each target, the targets' order by group, and
+    where each group begins in it."""
+    bounds = v.bounds
+    group = np.searchsorted(bounds, target, side="right") - 1
+    order = np.argsort(group, kind="stable")
+    return bounds, group, order, np.searchsorted(group[order], np.arange(len(bounds)))
+
+
+def class_logs(p: dict[str, np.ndarray], v: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of each target class."""
+    bounds, group, order, begins = by_group(v, target)
+    out = np.log(shares(h @ p["u"] + p["c"])[np.arange(len(target)), group])
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        at = order[begins[k] : begins[k + 1]]
+        if len(at) and b - a > 1:
+            out[at] += np.log(shares(h[at] @ p["v"][:, a:b] + p["d"][a:b])[np.arange(len(at)), target[at] - a])
+    return out
 
 
-def step(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
+def step(p: dict[str, np.ndarray], v: Vocabulary, squares: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of Adagrad on the cross-entropy of a batch, in place; of the embeddings
     only the batch's own rows are touched."""
     n = len(target)
-    x, h, z = forward(p, context)
-    g = np.exp(z)
-    g /= g.sum(axis=1, keepdims=True)
-    g[np.arange(n), target] -= 1
+    bounds, group, order, begins = by_group(v, target)
+    context, target, group = context[order], target[order], group[order]
+    x, h = forward(p, context)
+    g = shares(h @ p["u"] + p["c"])
+    g[np.arange(n), group] -= 1
     g /= n
-    back = (g @ p["u"].T) * (1 - h * h)
+    into_hidden = g @ p["u"].T
+    deeper, base = np.zeros_like(p["v"]), np.zeros_like(p["d"])
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        at = slice(begins[k], begins[k + 1])
+        if begins[k] < begins[k + 1] and b - a > 1:
+            q = shares(h[at] @ p["v"][:, a:b] + p["d"][a:b])
+            q[np.arange(len(q)), target[at] - a] -= 1
+            q /= n
+            into_hidden[at] += q @ p["v"][:, a:b].T
+            deeper[:, a:b], base[a:b] = h[at].T @ q, q.sum(axis=0)
+    back = into_hidden * (1 - h * h)
     into = (back @ p["w"].T).reshape(n * len(OFFSETS), -1)
-    rows, at = np.unique(context.ravel(), return_inverse=True)
-    deep = np.column_stack([np.bincount(at.ravel(), into[:, k], minlength=len(rows)) for k in range(into.shape[1])]).astype(np.float32)
+    flat = context.ravel().astype(np.int32)
+    by_word = np.argsort(flat)
+    words = flat[by_word]
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    rows, deep = words[first], np.add.reduceat(into[by_word], first, axis=0)
     squares["e"][rows] += deep * deep
     p["e"][rows] -= rate * deep / np.sqrt(squares["e"][rows] + 1e-8)
-    for k, grad in (("w", x.T @ back), ("b", back.sum(axis=0)), ("u", h.T @ g), ("c", g.sum(axis=0))):
+    for k, grad in (("w", x.T @ back), ("b", back.sum(axis=0)), ("u", h.T @ g), ("c", g.sum(axis=0)), ("v", deeper), ("d", base)):
         squares[k] += grad * grad
         p[k] -= rate * grad / np.sqrt(squares[k] + 1e-8)
 
@@ -369,7 +427,7 @@ def trained(rows: DataFrame, v: Vocabulary, shape: Shape, begin: np.ndarray) ->
                 size = max(shape.batch // 8, min(shape.batch, len(index) // 64))  # a small task takes steps enough, too
                 for k in range(0, len(index), size):
                     at = order[k : k + size]
-                    step(p, squares, context[at], target[at], shape.rate)
+                    step(p, v, squares, context[at], target[at], shape.rate)
                 seen += len(index)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "flat"])
@@ -395,8 +453,7 @@ class Model:
             log[rare] = np.add.reduceat(v.spelling[pairs], np.cumsum(size) - size)
         for k in range(0, len(index), 1 << 14):
             at = slice(k, k + (1 << 14))
-            z = forward(p, context[at])[2]
-            log[at] += z[np.arange(len(z)), v.of[index[at]]] - np.log(np.exp(z).sum(axis=1))
+            log[at] += class_logs(p, v, forward(p, context[at])[1], v.of[index[at]])
         return log
 
 
@@ -408,9 +465,10 @@ def fitted(rows: DataFrame, shape: Shape = Shape()) -> Model:
     return Model(v, trained(rows.where(~eighth), v, shape, first), shape)
 
 
-def recalled(log: np.ndarray, others: int) -> np.ndarray:
-    """Log-probabilities where ``others`` other places have the span."""
-    return np.logaddexp(log - np.log(others + 1), np.log(others / (others + 1)))
+def recalled(p: np.ndarray, others: int) -> np.ndarray:
+    """Log-probabilities, from the network's ``p``, where ``others`` other places have the
+    span."""
+    return np.log((p + others) / (others + 1))
 
 
 def spans(w: Words) -> np.ndarray:
@@ -444,7 +502,8 @@ def by_network(rows: DataFrame, model: Model) -> DataFrame:
                     ends = np.r_[at[1:], len(log)]
                     one, _ = hashes(w.hash & np.uint64((1 << 21) - 1) ^ w.hash >> np.uint64(43), at, ends)
                     two, _ = hashes(w.hash >> np.uint64(21) & np.uint64((1 << 21) - 1), at, ends)
-                    more = [np.add.reduceat(recalled(log, k) - log, at).astype(np.float32) for k in OTHERS]
+                    p, sums = np.exp(log), np.add.reduceat(log, at)
+                    more = [(np.add.reduceat(recalled(p, k), at) - sums).astype(np.float32) for k in OTHERS]
                     null = pa.nulls(len(at), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(number[w.doc[at]]), null, null, pa.nulls(len(at), pa.float64()), pa.array((one ^ two * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)), *(pa.array(g) for g in more)], names)
 
@@ -452,8 +511,8 @@ def by_network(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), model: Model | None = None) -> DataFrame:
-    """doc_id, n_words, log_likelihood, mean_log_likelihood of each row, by the model of
-    ``docs`` themselves if none is given."""
+    """doc_id, n_words, log_likelihood, mean_log_likelihood and network_log_likelihood of
+    each row, by the model of ``docs`` themselves if none is given."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     got, _ = materialise(by_network(rows, model or fitted(rows, shape)), "likelihoods")
@@ -464,4 +523,4 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shap
     gained = spans.join(often.hint("merge"), "span").groupBy("row").agg(F.sum(gain).alias("gain"))
     whole = got.where("n_words is not null").select("row", "doc_id", "n_words", "log").join(gained.hint("merge"), "row", "left")
     total = F.col("log") + F.coalesce("gain", F.lit(0.0))
-    return whole.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
+    return whole.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"), F.col("log").alias("network_log_likelihood"))

@@ -306,6 +306,15 @@ def test_classifier_without_labels(docs, none, spark):
 LM_SHAPE = lm_score.Shape(words_factor=2.0, hidden=6)
 
 
+def plain_classes(p, v, h):
+    """The probability of each class: that of its group, times that within the group."""
+    groups, classes = np.exp(h @ p["u"] + p["c"]), np.exp(h @ p["v"] + p["d"])
+    out = np.empty(v.classes)
+    for k, (a, b) in enumerate(zip(v.bounds[:-1], v.bounds[1:], strict=True)):
+        out[a:b] = groups[k] / groups.sum() * classes[a:b] / classes[a:b].sum()
+    return out
+
+
 def plain_scores(model, texts):
     """Sums of log-probabilities, a word at a time."""
     v, p = model.vocabulary, lm_score.split(model.flat, model.vocabulary, model.shape)
@@ -333,8 +342,7 @@ def plain_scores(model, texts):
             for k in range(a, b):
                 around = [index[k + o] if 0 <= k + o < len(ws) else v.size + 1 for o in lm_score.OFFSETS]
                 x = np.concatenate([p["e"][i] for i in around]).astype(float)
-                z = np.tanh(x @ p["w"] + p["b"]) @ p["u"] + p["c"]
-                prob = np.exp(z[v.of[index[k]]]) / np.exp(z).sum() * np.exp(v.share[index[k]])
+                prob = plain_classes(p, v, np.tanh(x @ p["w"] + p["b"]))[v.of[index[k]]] * np.exp(v.share[index[k]])
                 if index[k] == v.size:
                     word = [lm_score.START, *ws[k], lm_score.START]
                     prob *= np.exp(sum(v.spelling[i * lm_score.BYTES + j] for i, j in zip(word, word[1:])))
@@ -355,6 +363,11 @@ def test_lm_scores_are_the_sums_of_log_probabilities(spark, docs, rows, none):
     assert lm_score.scored(none, shape=LM_SHAPE).count() == 0
     # the model's probabilities of classes, shares and spellings are distributions
     v = model.vocabulary
+    p, rng = lm_score.split(model.flat, v, model.shape), np.random.default_rng(1)
+    for h in rng.uniform(-1, 1, (5, LM_SHAPE.hidden)):
+        every = lm_score.class_logs(p, v, np.repeat(h[None, :], v.classes, 0), np.arange(v.classes))
+        assert np.isclose(np.exp(every).sum(), 1) and np.allclose(np.exp(every), plain_classes(p, v, h), atol=1e-6)
+    assert all(r.network_log_likelihood <= r.log_likelihood + 1e-6 for r in got)
     assert np.allclose(np.bincount(v.of[:-1], np.exp(v.share[:-1]), minlength=v.classes)[:-1], 1)
     assert np.allclose(np.exp(v.spelling).reshape(lm_score.BYTES, -1).sum(axis=1), 1)
 
@@ -391,8 +404,7 @@ def test_lm_beats_the_unigrams_and_is_alike_however_the_table_is_split(spark):
 def log_class(model, w):
     v, p = model.vocabulary, lm_score.split(model.flat, model.vocabulary, model.shape)
     index = v.index(w.hash)
-    z = lm_score.forward(p, lm_score.contexts(index, w.n, v.size + 1))[2]
-    return z[np.arange(len(z)), v.of[index]] - np.log(np.exp(z).sum(axis=1))
+    return lm_score.class_logs(p, v, lm_score.forward(p, lm_score.contexts(index, w.n, v.size + 1))[1], v.of[index])
 
 
 def test_gradient_step_lowers_the_loss():
@@ -401,10 +413,10 @@ def test_gradient_step_lowers_the_loss():
     p = lm_score.split(lm_score.start(v, shape), v, shape)
     ids = np.arange(400) % 7
     context, target = lm_score.contexts(ids, np.array([400]), 8), ids % 4
-    loss = lambda: -np.mean([z[t] - np.log(np.exp(z).sum()) for z, t in zip(lm_score.forward(p, context)[2], target, strict=True)])
+    loss = lambda: -np.mean(lm_score.class_logs(p, v, lm_score.forward(p, context)[1], target))
     before, squares = loss(), {k: np.zeros_like(x) for k, x in p.items()}
     for _ in range(60):
-        lm_score.step(p, squares, context, target, 0.1)
+        lm_score.step(p, v, squares, context, target, 0.1)
     assert loss() < 0.2 * before
 
 
