@@ -414,7 +414,7 @@ def main_text(source: str) -> str:
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (its code points) of each page."""
-    bound_batches(pages.sparkSession, rows=200)
+    bound_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
