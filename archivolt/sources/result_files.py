@@ -40,6 +40,25 @@ def path_parts(path: Column, names: list[str]) -> list[Column]:
     return [F.when(F.size(parts) > len(names) - k + 1, F.try_element_at(parts, F.lit(k - len(names) - 1))).alias(n) for k, n in enumerate(names)]
 
 
+def cluster_files(spark: SparkSession, root: str, wanted: list[float] | None = None, name: str = r"leiden_clusters_([0-9]*\.?[0-9]+)\.csv") -> DataFrame:
+    """resolution, cluster, gene of all files under a folder whose names (in any case) tell
+    the resolution, by the pattern's first group: a gene and its cluster a line, below a
+    header. ``wanted`` leaves the other resolutions out. Clusters stay text; lines without
+    a gene or a cluster are left out."""
+    lines = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").schema("gene string, cluster string").csv(root)
+    told = F.regexp_extract(F.col("_metadata.file_name"), f"(?i)^{name}$", 1)
+    rows = lines.select(F.when(told != "", told).try_cast("double").alias("resolution"), F.trim("cluster").alias("cluster"), F.trim("gene").alias("gene"))
+    found = rows.where("resolution is not null and gene <> '' and cluster <> ''")
+    return found.where(F.col("resolution").isin([float(r) for r in wanted])) if wanted is not None else found
+
+
+def result_metrics(spark: SparkSession, root: str, names: list[str], pattern: str, schema: str) -> DataFrame:
+    """The rows of all delimited files of one name in nested folders, with a column for each
+    of the last folders' names; ``pattern`` is the file's name, ``schema`` its columns."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(schema).csv(root)
+    return rows.select(*path_parts(F.col("_metadata.file_path"), names), "*")
+
+
 def folders(paths: DataFrame, path: str, digits: int = 6) -> DataFrame:
     """prefix, folder: of work folders named by a short name and a hash, the first of
     each short name and first digits. ``paths`` lists files, one a row."""

@@ -50,3 +50,17 @@ def test_graphml(spark):
     name = lambda t: "{http://graphml.graphdrawing.org/xmlns}" + t
     assert [n.get("id") for n in tree.iter(name("node"))] == ["a&", "b<"]
     assert [(x.get("source"), x.get("target"), x[0].text) for x in tree.iter(name("edge"))] == [("a&", "b<", "0.5")]
+
+
+def test_cluster_and_metric_files(spark, tmp_path):
+    for name, text in (("leiden_clusters_0.5.csv", ",leiden\ng1,3\ng2,\n,4\n"), ("Leiden_Clusters_10.CSV", ",leiden\ng1, 0 \n"), ("other_2.csv", ",x\ng9,1\n")):
+        (tmp_path / name).write_text(text)
+    got = sorted(tuple(r) for r in result_files.cluster_files(spark, str(tmp_path)).collect())
+    assert got == [(0.5, "3", "g1"), (10.0, "0", "g1")]
+    assert [tuple(r) for r in result_files.cluster_files(spark, str(tmp_path), [10]).collect()] == [(10.0, "0", "g1")]
+    for run, seed, f1 in (("a", "1", 0.5), ("a", "2", 0.75), ("b", "1", 0.25)):
+        folder = tmp_path / "scan" / run / seed
+        folder.mkdir(parents=True)
+        (folder / "metrics.csv").write_text(f"split,f1\ntest,{f1}\n")
+    rows = result_files.result_metrics(spark, str(tmp_path / "scan"), ["run", "seed"], "metrics.csv", "split string, f1 double")
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", "1", "test", 0.5), ("a", "2", "test", 0.75), ("b", "1", "test", 0.25)]
