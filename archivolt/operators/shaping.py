@@ -142,3 +142,13 @@ def exceeding(df: DataFrame, fences: DataFrame, by: list[str], entity: str, valu
     lies beyond."""
     out = df.join(fences, by).where((F.col(value) <= F.col("lower")) | (F.col(value) >= F.col("upper")))
     return out.groupBy(entity).agg(F.count(F.lit(1)).alias("n_outside"))
+
+
+def accepted_accuracy(df: DataFrame, by: list[str], truth: str, said: str, accepted: dict[str, list[str]]) -> DataFrame:
+    """by, n, unsaid, right, accuracy of answers of which a truth accepts several; rows whose
+    truth isn't listed are left out, a null answer is wrong."""
+    pairs = F.create_map(*(x for t, labels in accepted.items() for x in (F.lit(t), F.array(*map(F.lit, labels)))))
+    known = df.where(F.col(truth).isin(list(accepted)))
+    right = F.coalesce(F.array_contains(pairs[F.col(truth)], F.col(said)), F.lit(False))
+    n = F.count(F.lit(1))
+    return known.groupBy(*by).agg(n.alias("n"), F.count_if(F.col(said).isNull()).alias("unsaid"), F.count_if(right).alias("right"), (F.count_if(right) / n).alias("accuracy"))

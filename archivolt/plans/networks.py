@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivolt.operators import communities, correlated, graph, pvalues, resampled, sketches
+from archivolt.operators import communities, correlated, graph, pvalues, resampled, shaping, sketches
 from archivolt.operators.stored import Stored
 from archivolt.plans.catalog import KNN_SQL, MATRIX_SQL, SIDE_SQL, counts, knn, sides
 from archivolt.plans.registry import query
@@ -90,3 +90,16 @@ SELECT g, round(ks, 6) AS statistic, round(CASE WHEN x <= 0.04 THEN 1 WHEN x < 1
 def kolmogorov_tests(spark, d):
     r = pvalues.two_sample_tests(sides(spark, d), "value", "side", ["g"]).where("test = 'ks'")
     return r.select("g", F.round("statistic", 6).alias("statistic"), F.round("p", 6).alias("p"))
+
+
+#: The answers that each truth accepts.
+ACCEPTED = {"1-URGENT": ["F", "P"], "2-HIGH": ["F"], "5-LOW": ["O", "P"]}
+
+
+@query("""WITH o AS (SELECT year(o_orderdate) AS y, o_orderpriority AS t, nullif(o_orderstatus, 'P') AS s FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')),
+r AS (SELECT y, s, coalesce(CASE t WHEN '1-URGENT' THEN s IN ('F', 'P') WHEN '2-HIGH' THEN s = 'F' ELSE s IN ('O', 'P') END, false) AS good FROM o)
+SELECT y, count(*) AS n, count_if(s IS NULL) AS unsaid, count_if(good) AS "right", round(count_if(good) / count(*), 6) AS accuracy FROM r GROUP BY 1""")
+def accepted_accuracy(spark, d):
+    """Answers against truths that accept several, by year; one status stands for no answer."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_orderpriority", F.nullif("o_orderstatus", F.lit("P")).alias("said"))
+    return shaping.accepted_accuracy(o, ["y"], "o_orderpriority", "said", ACCEPTED).withColumn("accuracy", F.round("accuracy", 6))
