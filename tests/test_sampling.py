@@ -81,3 +81,25 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="share"):
         graph.cut(type("D", (), {"sparkSession": Session()})())
+
+
+def test_nearest_prunes_without_loss():
+    """Ties over the border of blocks, a row twice, vectors that aren't numbers."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(9_000, 3)), 1)
+    x[5_000:] = x[:4_000]
+    x[7] = np.nan
+    ids = rng.permutation(9_000)
+    q = np.arange(0, 9_000, 450)
+    got = vectors.nearest(ids[q], x[q], ids, x, 6)
+    for i in q:
+        s = np.round(x @ x[i], 6)
+        want = sorted((-s[j], ids[j]) for j in range(9_000) if j != i and s[j] == s[j])[:6]
+        assert [(-v, o) for a, o, v in zip(*got, strict=True) if a == ids[i]] == want
+
+
+def test_unit_length_is_one_expression(spark):
+    """The length isn't added up again for each component."""
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None])], "k int, v array<double>")
+    assert {r.id: r.v for r in vectors.units(df, "k", "v").collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [None, None]}
+    assert vectors.units(df, "k", "v")._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
