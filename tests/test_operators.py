@@ -179,3 +179,30 @@ def test_quantiles_of_groups(spark, monkeypatch, most):
         assert r.before_n == below and r.next == (sums[k + 1].v if k + 1 < len(sums) else None)
         below += r.n
     assert all(r.total_n == below for r in sums)
+
+
+def test_correlation_in_bands(spark, monkeypatch):
+    """Many bands, a few products at a time, names as ids; no pair of cells is shuffled."""
+    monkeypatch.setattr(matrix, "PRODUCTS", 40)
+    rng = random.Random(4)
+    cells = [(f"s{s}", f"g{g}", float(rng.randrange(1, 9))) for s in range(25) for g in range(40) if rng.random() < 0.2]
+    # a row of which the gene is null counts for its sample, one without a sample for the genes
+    m = spark.createDataFrame([*cells, ("s1", None, 3.0), (None, "alone", 2.0)], "sample string, gene string, value double").repartition(5)
+    r = matrix.correlation(m)
+    assert "Join" not in "".join(x for x in r._jdf.queryExecution().optimizedPlan().toString().split("\n")[:2])
+    got = {(x.a, x.b): (x.r, x.n) for x in r.collect()}
+    genes, samples = sorted({g for _, g, _ in cells}), sorted({s for s, _, _ in cells})
+    x = np.zeros((len(samples), len(genes) + 1))
+    for s, g, v in cells:
+        x[samples.index(s), genes.index(g)] = v
+    total, square, n = x.sum(1), (x * x).sum(1), x.shape[1]
+    total[samples.index("s1")] += 3
+    square[samples.index("s1")] += 9
+    want = {}
+    for i, a in enumerate(samples):
+        for j, b in enumerate(samples):
+            both = int(((x[i] > 0) & (x[j] > 0)).sum())
+            if a < b and both:
+                want[a, b] = ((x[i] @ x[j] - total[i] * total[j] / n) / np.sqrt((square[i] - total[i] ** 2 / n) * (square[j] - total[j] ** 2 / n)), both)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == pytest.approx(r) and got[k][1] == c for k, (r, c) in want.items())
