@@ -2,9 +2,9 @@
 
 A row counts in each draw as often as a Poisson number of mean 1, from a hash of its key
 and the draw, says; slot 0 counts each row once and gives the point values. Rows are not
-multiplied by the draws: they are dealt out by ranges of (group, value), equal values of a
-batch as one row with their summed weights, so neither a large group nor a frequent value
-is one task's. A part (a group's values in one range) makes the weights of its rows as a
+multiplied by the draws: equal ones meet once and become one row with their summed weights,
+a batch at a time; what is left is dealt out by ranges of (group, value), so a large group
+isn't one task's. A part (a group's values in one range) makes the weights of its rows as a
 matrix, value by slot. A first pass adds the parts up; each part then knows the weights
 before and after it in all slots, and gives its share of the sums, and those order
 statistics that lie in it. What is left of a part is a few numbers a slot, which a last
@@ -32,6 +32,8 @@ from archivolt.operators.stored import Stored
 MERGE = 8
 #: Rows whose weights are made at a time.
 SLICE = 4096
+#: Different values whose weights are held at a time.
+VALUES = 1024
 #: Odd factors of the mixing.
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -63,9 +65,9 @@ def weights(h: np.ndarray, draws: int) -> np.ndarray:
     return out
 
 
-def dealt(df: DataFrame, by: list[str], value: str, flag: str, key: str, draws: int, store: Stored) -> DataFrame:
-    """The rows by ranges of (by, value), with the number of their part; stored."""
-    spark = df.sparkSession
+def counted(df: DataFrame, by: list[str], value: str, flag: str, key: str, draws: int, store: Stored) -> DataFrame:
+    """_g, _v, _f and either the hash _h of one row or the summed weights _w of equal ones
+    (over ``MERGE`` of them); stored. Equal rows meet here once, for all that follows."""
     rows = df.where(F.col(value).isNotNull() & F.col(flag).isNotNull()).select(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v"), F.col(flag).cast("boolean").alias("_f"), F.xxhash64(key).alias("_h"))
     kind = dict(rows.dtypes)["_g"]
     name = F.to_json("_g", {"ignoreNullFields": "false"}).alias("_n")
@@ -73,21 +75,46 @@ def dealt(df: DataFrame, by: list[str], value: str, flag: str, key: str, draws:
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, f, h = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-            names = np.unique(np.array(b.column(4).to_pylist(), object).astype(str), return_inverse=True)[1] if b.num_rows else np.empty(0, int)
+            names = b.column(4).dictionary_encode().indices.to_numpy()
             order = np.lexsort((f, v, names))
             v, f, h, n = v[order], f[order], h[order], names[order]
             starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (f[1:] != f[:-1]) | (n[1:] != n[:-1])][: len(v)])
             size = np.diff(np.r_[starts, len(v)])
             large = size >= MERGE
             single = np.flatnonzero(np.repeat(~large, size))
-            summed = [weights(h[s : s + k], draws).sum(0, dtype=np.int64).tobytes() for s, k in zip(starts[large].tolist(), size[large].tolist(), strict=True)]
+            summed = [x.tobytes() for x in added(h[np.repeat(large, size)], size[large], draws)]
             at = np.r_[single, starts[large]]
             pick = pa.array(order[at])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pick), pa.array(v[at]), pa.array(f[at]), pa.array(np.r_[h[single], np.zeros(len(summed), np.int64)]), pa.array([None] * len(single) + summed, pa.binary())], ["_g", "_v", "_f", "_h", "_w"])
 
-    made = rows.select("*", name).mapInArrow(merged, f"_g {kind}, _v double, _f boolean, _h long, _w binary")
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return store.table(made.repartitionByRange(parts, "_g", "_v").withColumn("_part", F.spark_partition_id()), "dealt")
+    met = rows.repartition("_g", "_v", "_f").sortWithinPartitions("_g", "_v", "_f")
+    return store.table(met.select("*", name).mapInArrow(merged, f"_g {kind}, _v double, _f boolean, _h long, _w binary"), "merged")
+
+
+def added(h: np.ndarray, size: np.ndarray, draws: int) -> Iterator[np.ndarray]:
+    """The summed weights of runs of rows, about ``SLICE`` rows at a time."""
+    ends = np.cumsum(size)
+    k = 0
+    while k < len(size):
+        low = int(ends[k] - size[k])
+        last = max(int(np.searchsorted(ends, low + SLICE, side="right")), k + 1)
+        yield from np.add.reduceat(weights(h[low : ends[last - 1]], draws), ends[k:last] - size[k:last] - low, axis=0, dtype=np.int32)
+        k = last
+
+
+def dealt(rows: DataFrame, store: Stored) -> DataFrame:
+    """The rows by ranges of (_g, _v), with the number of their part; stored."""
+    parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return store.table(rows.repartitionByRange(parts, "_g", "_v").withColumn("_part", F.spark_partition_id()), "dealt")
+
+
+def summed_rows(t: pa.Table, draws: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of rows with summed weights, and these, a slice at a time."""
+    w = t.column("_w")
+    places = np.flatnonzero(~w.is_null().to_numpy())
+    for s in range(0, len(places), SLICE):
+        k = places[s : s + SLICE]
+        yield k, np.frombuffer(b"".join(w.take(pa.array(k)).to_pylist()), np.int32).reshape(len(k), draws + 1)
 
 
 def matrix(t: pa.Table, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +133,9 @@ def matrix(t: pa.Table, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 spots, begins = np.unique(at[order], return_index=True)
                 each = weights(h[order], draws)
                 sides[side, spots] += each if len(spots) == len(order) else np.add.reduceat(each, begins, axis=0, dtype=np.int64)
-    for k in np.flatnonzero(~w.is_null().to_numpy()).tolist():
-        sides[int(f[k]), at[k]] += np.frombuffer(w[k].as_py(), np.int64)
+    for places, each in summed_rows(t, draws):
+        for k, x in zip(places.tolist(), each, strict=True):
+            sides[int(f[k]), at[k]] += x
     return values, sides[1], sides[0]
 
 
@@ -148,15 +176,28 @@ class Layout:
             k = plain[s : s + SLICE]
             each = weights(h[k], self.draws)
             for row, mask in enumerate(masks):
-                out[row] += each[mask[k]].sum(0, dtype=np.int64)
-        for k in np.flatnonzero(~single).tolist():
-            each = np.frombuffer(t.column("_w")[k].as_py(), np.int64)
+                if mask[k].any():
+                    out[row] += each[mask[k]].sum(0, dtype=np.int64)
+        for k, each in summed_rows(t, self.draws):
             for row, mask in enumerate(masks):
-                out[row] += each * mask[k]
+                if mask[k].any():
+                    out[row] += each[mask[k]].sum(0, dtype=np.int64)
         return out
 
     def numbers(self, t: pa.Table, before: np.ndarray, total: np.ndarray, following: float | None) -> np.ndarray:
-        values, a, b = matrix(t, self.draws)
+        """Of a part, ``VALUES`` different values at a time, so that its memory doesn't grow
+        with it: each block's numbers, added up."""
+        t = t.take(pa.array(np.argsort(t.column("_v").to_numpy(), kind="stable")))
+        v = t.column("_v").to_numpy()
+        starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])[::VALUES].tolist()
+        out, before = 0.0, before.copy()
+        for low, high in zip(starts, [*starts[1:], len(v)], strict=True):
+            values, a, b = matrix(t.slice(low, high - low), self.draws)
+            out = out + self.block(values, a, b, before, total, float(v[high]) if high < len(v) else following)
+            before[:2] += a.sum(0), b.sum(0)
+        return out
+
+    def block(self, values: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray, total: np.ndarray, following: float | None) -> np.ndarray:
         out = []
         ca, cb = (np.cumsum(w, 0) + before[side] for side, w in ((0, a), (1, b)))
         if self.sums:
@@ -242,7 +283,8 @@ def intervals(df: DataFrame, key: str, value: str, flag: str, by: list[str], dra
     some = good.groupBy(*by).agg(F.count_if(F.col(flag)).alias("_n"), F.count_if(~F.col(flag)).alias("_m")).where("_n > 0 and _m > 0")
     inside = F.struct(*by)
     kept = good.withColumn("_g", inside).join(some.select(inside.alias("_g")), "_g", "left_semi")
-    rows = dealt(kept, by, value, flag, key, draws, store)
+    every = counted(kept, by, value, flag, key, draws, store)
+    rows = dealt(every, store)
     found = gathered(rows, main, store)
     middle = qs.index(0.5)
     kind = dict(rows.dtypes)["_g"]
@@ -254,18 +296,18 @@ def intervals(df: DataFrame, key: str, value: str, flag: str, by: list[str], dra
 
     centres = found.mapInArrow(centre, f"_g {kind}, _c double")
     # deviations of the other side from its median, and of all rows from theirs
-    off = kept.join(centres, "_g").where(~F.col(flag)).withColumn("_off", F.abs(F.col(value) - F.col("_c")))
-    mads = gathered(dealt(off, by, "_off", flag, key, draws, store), whole, store)
-    one_side = kept.withColumn(flag, F.lit(False))
-    pooled = gathered(dealt(one_side, by, value, flag, key, draws, store), whole, store)
+    off = lambda some, c: some.join(c, "_g").withColumn("_v", F.abs(F.col("_v") - F.col("_c"))).drop("_c")
+    mads = gathered(dealt(off(every.where(~F.col("_f")), centres), store), whole, store)
+    one_side = every.withColumn("_f", F.lit(False))
+    pooled = gathered(rows.withColumn("_f", F.lit(False)), whole, store)
 
     def pooled_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [(np.frombuffer(t, np.int64).reshape(4, -1), np.frombuffer(n).reshape(-1, draws + 1)) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(whole.quantile(n, t, 1, 0)[0]) for t, n in made], pa.float64())], ["_g", "_c"])
 
-    all_off = one_side.join(pooled.mapInArrow(pooled_centre, f"_g {kind}, _c double"), "_g").withColumn("_off", F.abs(F.col(value) - F.col("_c")))
-    pooled_mads = gathered(dealt(all_off, by, "_off", flag, key, draws, store), whole, store)
+    all_off = off(one_side, pooled.mapInArrow(pooled_centre, f"_g {kind}, _c double"))
+    pooled_mads = gathered(dealt(all_off, store), whole, store)
     together = found.join(mads.select("_g", F.col("total").alias("mt"), F.col("numbers").alias("mn")), "_g").join(pooled_mads.select("_g", F.col("total").alias("pt"), F.col("numbers").alias("pn")), "_g")
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

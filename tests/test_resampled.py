@@ -71,3 +71,27 @@ def test_weights_are_poisson():
     w = resampled.weights(np.arange(20_000), 9)[:, 1:].astype(float)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w.T)[0, 1]) < 0.03
     assert (resampled.weights(np.arange(5), 9)[:, :4] == resampled.weights(np.arange(5), 3)).all()
+
+
+def test_part_is_added_up_by_blocks(monkeypatch):
+    """A part's numbers don't depend on how many values are held at a time."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, draws = 500, 9
+    v, f, h = rng.integers(0, 120, n).astype(float), rng.random(n) < 0.4, rng.integers(-(1 << 60), 1 << 60, n)
+    runs = list(resampled.added(h[:20], np.array([8, 12]), draws))
+    assert (runs[0] == resampled.weights(h[:8], draws).sum(0)).all() and (runs[1] == resampled.weights(h[8:20], draws).sum(0)).all()
+    w = [None] * (n - 1) + [runs[0].tobytes()]
+    t = pa.table({"_v": v, "_f": f, "_h": h, "_w": pa.array(w, pa.binary())})
+    layout = resampled.Layout(draws, [0.3, 0.5], 0.2, 40.0, True)
+    total, before = layout.totals(t), np.zeros((4, draws + 1), np.int64)
+    made, held = [], []
+    real = resampled.matrix
+    monkeypatch.setattr(resampled, "matrix", lambda *x: held.append(real(*x)) or held[-1])
+    for size in (10_000, 7):
+        held.clear()
+        monkeypatch.setattr(resampled, "VALUES", size)
+        made.append(layout.numbers(t, before, total, None))
+        assert max(len(x[0]) for x in held) <= size
+    assert np.allclose(*made)
