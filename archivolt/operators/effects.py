@@ -60,7 +60,7 @@ def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float =
     deviations from the medians, which are orders of the counted table too."""
     v, f = F.col(value), F.col(flag)
     n = counted(df.where(f.isNotNull()), by, value, a=f.cast("long"), b=(~f).cast("long"))
-    r = running(n, by, value, ["a", "b"])
+    r = Stored(df.sparkSession).table(running(n, by, value, ["a", "b"]), "order", keep=True)  # read several times
     x = v.cast("double")
     names = {"a": "in", "b": "out"}
     out: list[Column] = []
@@ -82,14 +82,13 @@ def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float =
     rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / 2
     upto = lambda k: (F.col(f"before_{k}") + F.col(k)) / F.col(f"total_{k}")
     out += [F.sum(F.col("a") * rank).alias("_r"), F.sum(F.abs(upto("a") - upto("b")) * F.coalesce(F.col("next") - v, F.lit(0.0))).alias("wasserstein")]
+    out.append(_middle(x, "a", "b").alias("_c"))  # of all rows
     g = r.where("total_a > 0 and total_b > 0").groupBy(*by).agg(*out)
     g = Stored(df.sparkSession).table(g, "compared", keep=True)  # a row for each group
     over = beside(r, g.select(*by, *(f"_{k}{side}" for side in "ab" for k in "os")), by)
     positive = over.groupBy(*by).agg(*(quantile(side, F.col(f"_o{side}"), F.col(f"_s{side}"), 0.5).alias(f"_p{side}") for side in "ab"))
     # the counted values' deviations from the other side's median, and from that of all
-    both = running(r.select(*by, value, (F.col("a") + F.col("b")).alias("n")), by, value, ["n"])
-    whole = both.groupBy(*by).agg(_middle(x).alias("_c"))
-    centred = beside(beside(r.select(*by, value, "a", "b"), g.select(*by, "_mb"), by), whole, by)
+    centred = beside(r.select(*by, value, "a", "b"), g.select(*by, "_mb", "_c"), by)
     mad = _deviation(centred.where("b > 0").select(*by, F.abs(x - F.col("_mb")).alias("_off"), F.col("b").alias("n")), by)
     pooled = _deviation(centred.select(*by, F.abs(x - F.col("_c")).alias("_off"), (F.col("a") + F.col("b")).alias("n")), by)
     d = beside(beside(beside(g, positive, by), mad.withColumnRenamed("_d", "_mad"), by), pooled.withColumnRenamed("_d", "_pooled"), by)
@@ -102,10 +101,11 @@ def compared(df: DataFrame, value: str, flag: str, by: list[str], trim: float =
     )
 
 
-def _middle(x: Column) -> Column:
-    """The median of a group, of what ``running`` gives for one sum n."""
-    place = (F.col("total_n") - 1) * 0.5
-    at = lambda k: F.max(F.when((F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n")), x))
+def _middle(x: Column, *sums: str) -> Column:
+    """The median of a group, of what ``running`` gives for these sums together."""
+    n, before, total = (reduce(lambda s, c: s + c, (F.col(f"{k}{s}") for s in sums or ("n",))) for k in ("", "before_", "total_"))
+    place = (total - 1) * 0.5
+    at = lambda k: F.max(F.when((before <= k) & (k < before + n), x))
     return (at(F.floor(place)) + at(F.ceil(place))) / 2
 
 

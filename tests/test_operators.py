@@ -206,3 +206,28 @@ def test_correlation_in_bands(spark, monkeypatch):
                 want[a, b] = ((x[i] @ x[j] - total[i] * total[j] / n) / np.sqrt((square[i] - total[i] ** 2 / n) * (square[j] - total[j] ** 2 / n)), both)
     assert got.keys() == want.keys()
     assert all(got[k][0] == pytest.approx(r) and got[k][1] == c for k, (r, c) in want.items())
+
+
+def test_fences_and_grid_without_whole_groups(spark, monkeypatch):
+    """Fences from parts of a group, null groups and groups without a value; one order of
+    the rows gives the median of both sides together."""
+    from archivolt.operators import effects, learning
+
+    rng = random.Random(9)
+    rows = [(g, float(rng.randrange(50)), rng.random() < 0.7) for g in ("a", None) for _ in range(400)] + [("none", None, True)]
+    df = spark.createDataFrame(rows, "g string, v double, f boolean").repartition(3)
+    monkeypatch.setattr(ordered, "MOST", 16)
+    tail, skew = learning.tail_fence(df, "v", ["g"]), learning.skew_fences(df.where("v is not null"), "v", ["g"])
+    for made in (tail, skew):
+        assert " percentile(" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.g: r.upper is None for r in made.collect()} == {"a": False, None: False} | ({"none": True} if made is tail else {})
+    q = np.quantile([v for g, v, _ in rows if g == "a"], [0.25, 0.75])
+    plain = {r.g: r for r in skew.collect()}["a"]
+    assert plain.lower <= q[0] and plain.upper >= q[1]
+    calls = []
+    real = ordered.running
+    monkeypatch.setattr(effects, "running", lambda *x: calls.append(x) or real(*x))
+    same = df.where("g = 'a'").withColumn("v", F.when(F.col("f"), F.col("v")).otherwise(5.0))
+    got = effects.compared(same, "v", "f", ["g"]).first()
+    every = np.array([v if f else 5.0 for g, v, f in rows if g == "a"])
+    assert got.scale == pytest.approx(1.4826 * np.median(np.abs(every - np.median(every)))) and len(calls) == 3
