@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archivolt.operators import correlated, sketches
+from archivolt.operators.stored import Stored
 
 
 @pytest.mark.parametrize(("band", "cells"), [(1000, 1000), (7, 1000), (7, 40)])
@@ -37,6 +38,32 @@ def test_tiles_equal_dense(spark, band, cells):
     assert "flat" not in best
 
 
+def test_strongest_over_blocks_without_a_shared_column(spark):
+    rng = random.Random(5)
+    # the first block is full, so that its rows' least sums beside other blocks matter
+    cells_of = {(s + 20 * block, g + 12 * block): float(rng.randrange(1, 9)) for block in range(4) for s in range(20) for g in range(12) if rng.random() < (0.7, 0.15, 0.1, 0.08)[block]}
+    m = spark.createDataFrame([(s, g, v) for (s, g), v in cells_of.items()], "sample long, gene long, value double")
+    genes, samples = sorted({g for _, g in cells_of}), sorted({s for s, _ in cells_of})
+    x = np.zeros((len(genes), len(samples)))
+    for (s, g), v in cells_of.items():
+        x[genes.index(g), samples.index(s)] = v
+    want = np.corrcoef(x)
+    best = {}
+    for r in correlated.strongest(m, 4, "gene", 0.0, 6).collect():
+        best.setdefault(r.id, []).append((r.rank, r.other))
+    for i, g in enumerate(genes):
+        near = sorted((-np.floor(abs(want[i, j]) * 1e6 + 0.5), h) for j, h in enumerate(genes) if j != i)[:4]
+        assert [o for _, o in sorted(best[g])] == [h for _, h in near]
+
+
+def test_cells_only_go_to_bands_with_their_column(spark):
+    # eight bands of ten rows; two neighbours share a column each
+    cells = spark.range(80).select(F.col("id").alias("row"), F.explode(F.array(F.floor(F.col("id") / 10), F.floor(F.col("id") / 10) + 1)).alias("col"), F.lit(1.0).alias("v"), F.floor(F.col("id") / 10).cast("int").alias("_b"))
+    every, seen = correlated.dealt(cells, Stored(spark))
+    assert {tuple(r) for r in seen.collect()} == {(b, o) for b in range(8) for o in (b, b + 1) if o < 8}
+    assert every.count() == 2 * 160 - 20  # all cells were in all bands' tiles before: 8 * 160
+
+
 def test_sketches_merge_in_any_order(spark):
     rng = random.Random(1)
     rows = [(g, k % 7, rng.choice([0.0, None, float("nan"), rng.gauss(5, 2)])) for g, n in (("a", 30_000), ("b", 300), ("c", 3)) for k in range(n)]
