@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.operators.inference import adjusted, hypergeometric
-from archivolt.operators.ordered import beside, counted, quantiles, running
+from archivolt.operators.ordered import beside, counted, medians, quantiles, running
 from archivolt.operators.statistics import distances, dominance
 from archivolt.operators.stored import Stored
 
@@ -31,13 +31,9 @@ def glass(df: DataFrame, value: str, flag: str, by: list[str], least: float = 1e
     that of both together where it is none, else 1; delta, their ratio."""
     v, f = F.col(value), F.col(flag)
     rows = df.select(*by, flag, value).where(v.isNotNull())
-    med = quantiles(rows, [*by, flag], value, {"_m": 0.5})
-    sides = med.groupBy(*by).agg(F.max(F.when(f, F.col("_m"))).alias("_f"), F.max(F.when(~f, F.col("_m"))).alias("_c"))
-    centres = beside(sides, quantiles(rows, by, value, {"_a": 0.5}), by)
-    off = beside(rows, centres, by)
-    mad = quantiles(off.where(~f).select(*by, F.abs(v - F.col("_c")).alias("_off")), by, "_off", {"_mad": 0.5})
-    pooled = quantiles(off.select(*by, F.abs(v - F.col("_a")).alias("_off")), by, "_off", {"_pooled": 0.5})
-    d = beside(beside(centres, mad, by), pooled, by).withColumns({"_mad": 1.4826 * F.col("_mad"), "_pooled": 1.4826 * F.col("_pooled"), "median_diff": F.col("_f") - F.col("_c")})
+    sides = medians(rows, [*by, flag], value).groupBy(*by).agg(F.max(F.when(f, F.col("_m"))).alias("_f"), F.max(F.when(~f, F.col("_m"))).alias("_c"), F.max(F.when(~f, F.col("_d"))).alias("_mad"))
+    pooled = medians(rows, by, value).select(*by, F.col("_d").alias("_pooled"))
+    d = beside(sides, pooled, by).withColumns({"_mad": 1.4826 * F.col("_mad"), "_pooled": 1.4826 * F.col("_pooled"), "median_diff": F.col("_f") - F.col("_c")})
     scale = F.when(F.col("_mad") > least, F.col("_mad")).when(F.col("_pooled") > least, F.col("_pooled")).otherwise(1.0)
     return d.select(*by, "median_diff", scale.alias("scale"), (F.col("median_diff") / scale).alias("delta_star"))
 

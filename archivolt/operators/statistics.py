@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.operators.ordered import beside, counted, quantiles, running
+from archivolt.operators.ordered import beside, counted, medians, medians_of, of_counts, quantiles, running, written
+from archivolt.operators.stored import Stored
 
 
 def two_medians(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """Median of both sides, their difference, and the other side's scaled MAD."""
-    med = quantiles(df, [*by, flag], value, {"m": 0.5})
-    off = beside(df.select(*by, flag, value), med, [*by, flag]).withColumn(value, F.abs(F.col(value) - F.col("m"))).drop("m")
-    both = beside(med, quantiles(off, [*by, flag], value, {"d": 0.5}), [*by, flag])
-    one, two = (F.max(F.when(F.col(flag) == side, F.col("m"))) for side in (True, False))
-    return both.groupBy(*by).agg(one.alias("med_in"), two.alias("med_out"), (one - two).alias("diff"), F.max(F.when(~F.col(flag), F.col("d") * 1.4826)).alias("mad_out"))
+    both = medians(df, [*by, flag], value)
+    one, two = (F.max(F.when(F.col(flag) == side, F.col("_m"))) for side in (True, False))
+    return both.groupBy(*by).agg(one.alias("med_in"), two.alias("med_out"), (one - two).alias("diff"), F.max(F.when(~F.col(flag), F.col("_d") * 1.4826)).alias("mad_out"))
 
 
 def trimmed_mean(df: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
@@ -54,9 +53,7 @@ def distances(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
 def fences(df: DataFrame, value: str, by: list[str], kind: str) -> DataFrame:
     """lower and upper bound of each group: tukey, mad or quantile."""
     if kind == "mad":
-        m = quantiles(df, by, value, {"_m": 0.5})
-        off = beside(df.select(*by, value), m, by).withColumn(value, F.abs(F.col(value) - F.col("_m"))).drop("_m")
-        d = beside(m, quantiles(off, by, value, {"_d": 0.5}), by).withColumn("_d", 3 * 1.4826 * F.col("_d"))
+        d = medians(df, by, value).withColumn("_d", 3 * 1.4826 * F.col("_d"))
         return d.select(*by, (F.col("_m") - F.col("_d")).alias("lower"), (F.col("_m") + F.col("_d")).alias("upper"))
     low, high = (0.25, 0.75) if kind == "tukey" else (0.01, 0.99)
     q = quantiles(df, by, value, {"l": low, "h": high})

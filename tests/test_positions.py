@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from archivolt.operators import cleaning, positions
+from archivolt.operators import cleaning, ordered, positions
 from archivolt.sources import logs, nested
 
 
@@ -54,3 +56,19 @@ def test_levels_of_nested_records(spark, tmp_path):
     assert [(run[r].experiment, run[r].sample, run[r].study, run[r].total_spots) for r in ("R1", "R2", "R3")] == [("E1", "M9", "S1", 10), ("E1", "M1", "S1", None), ("E2", "M2", "S1", 7)]
     assert got["sample"]["M1"].attributes == "age=2 dpf;sex=" and got["sample"]["M2"].attributes is None and got["sample"]["M1"].taxon_id == "7955"
     assert got["experiment"]["E1"].library_strategy == "RNA-Seq" and got["experiment"]["E3"].sample is None and got["study"]["S1"].title == "one"
+
+
+def test_medians_and_deviations_come_from_counted_values(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.randrange(40))) for g in ("a", None, "b") for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    before, wrote = spark.conf.get("spark.sql.shuffle.partitions"), []
+    written = ordered.written
+    monkeypatch.setattr(ordered, "written", lambda c: wrote.append(written(c)) or wrote[-1])
+    got = {r.g: (r._m, r._d) for r in ordered.medians(df, ["g"], "v").collect()}
+    for g in ("a", None, "b"):
+        v = np.array([x for h, x in rows if h == g and x is not None])
+        assert got[g] == (np.median(v), np.median(np.abs(v - np.median(v))))
+    # the values once, and their deviations, of which there are no more; not the rows again
+    assert [w.count() <= 3 * 40 for w in wrote] == [True, True]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
