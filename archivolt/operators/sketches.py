@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.operators.stored import Stored
+
 #: Values that a sketch keeps on its highest level.
 SIZE = 200
 
@@ -41,12 +43,19 @@ def medians(parts: DataFrame, by: list[str]) -> DataFrame:
     return merged(parts, by).select(*by, "n", quantile(F.col("sketch"), 0.5).alias("median"))
 
 
+def ranks(m: DataFrame, found: DataFrame, by: list[str], value: str, estimates: list[str]) -> DataFrame:
+    """``found`` with below_ and upto_ of each estimate: the true shares of values under
+    it, and of those not over it. ``found`` is written, so that its size is known, and the
+    values meet it once."""
+    v = F.col(value).cast("double")
+    at = Stored(m.sparkSession).table(found.withColumn("_g", F.struct(*by)), "estimates", keep=True)  # a row a group
+    rows = m.where(v.isNotNull() & ~F.isnan(v) & (v != 0)).select(F.struct(*by).alias("_g"), v.alias("_v"))
+    share = lambda on: F.count_if(on) / F.count(F.lit(1))
+    n = rows.join(at.select("_g", *estimates), "_g").groupBy("_g").agg(*(x for c in estimates for x in (share(F.col("_v") < F.col(c)).alias(f"below_{c}"), share(F.col("_v") <= F.col(c)).alias(f"upto_{c}"))))
+    return at.join(n, "_g").drop("_g")
+
+
 def rank_checked(m: DataFrame, found: DataFrame, by: list[str], value: str, share: float, estimate: str) -> DataFrame:
     """``found`` with below and upto: the true shares of values under ``estimate``, and of
     those not over it. A quantile is within the bound e where below - e <= share <= upto + e."""
-    v = F.col(value).cast("double")
-    key = lambda df: df.withColumn("_g", F.struct(*by))
-    rows = key(m.where(v.isNotNull() & ~F.isnan(v) & (v != 0))).select("_g", v.alias("_v"))
-    at = key(found).select("_g", F.col(estimate).alias("_e"))
-    counts = rows.join(at, "_g").groupBy("_g").agg((F.count_if(F.col("_v") < F.col("_e")) / F.count(F.lit(1))).alias("below"), (F.count_if(F.col("_v") <= F.col("_e")) / F.count(F.lit(1))).alias("upto"))
-    return key(found).join(counts, "_g").drop("_g")
+    return ranks(m, found, by, value, [estimate]).withColumnsRenamed({f"below_{estimate}": "below", f"upto_{estimate}": "upto"})

@@ -78,3 +78,11 @@ def test_sketches_merge_in_any_order(spark):
             values = np.array([v for h, _, v in rows if h == g and v is not None and v == v and v != 0])
             assert r.n == len(values)
             assert np.mean(values < r.median) - sketches.rank_error() <= 0.5 <= np.mean(values <= r.median) + sketches.rank_error()
+
+
+def test_values_meet_all_estimates_once(spark):
+    df = spark.createDataFrame([(g, float(k)) for g in ("a", None) for k in range(1, 101)] + [("a", 0.0), ("a", None)], "g string, v double")
+    found = spark.createDataFrame([("a", 26.0, 50.5), (None, 1.0, 100.0)], "g string, lower double, median double")
+    checked = sketches.ranks(df, found, ["g"], "v", ["lower", "median"])
+    got = {r.g: (r.below_lower, r.upto_lower, r.below_median, r.upto_median) for r in checked.collect()}
+    assert got == {"a": (0.25, 0.26, 0.5, 0.5), None: (0.0, 0.01, 0.99, 1.0)}
