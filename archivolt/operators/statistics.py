@@ -33,7 +33,11 @@ def two_sides(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
 
 def dominance(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """Vargha-Delaney A of the flagged side, Cliff's delta, U and z of the rank sum."""
-    r = two_sides(df, value, flag, by)
+    return dominance_of(two_sides(df, value, flag, by), by)
+
+
+def dominance_of(r: DataFrame, by: list[str]) -> DataFrame:
+    """``dominance`` from what ``two_sides`` gives."""
     rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / 2
     side = r.groupBy(*by).agg(F.sum(F.col("a") * rank).alias("r"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     u = F.col("r") - F.col("n") * (F.col("n") + 1) / 2
@@ -44,7 +48,11 @@ def dominance(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
 
 def distances(df: DataFrame, value: str, flag: str, by: list[str]) -> DataFrame:
     """1-Wasserstein and Kolmogorov-Smirnov distances of both sides of each group."""
-    r = two_sides(df, value, flag, by)
+    return distances_of(two_sides(df, value, flag, by), value, by)
+
+
+def distances_of(r: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``distances`` from what ``two_sides`` gives."""
     upto = lambda k: (F.col(f"before_{k}") + F.col(k)) / F.col(f"total_{k}")
     gap, wide = F.abs(upto("a") - upto("b")), F.coalesce(F.col("next") - F.col(value), F.lit(0.0))
     return r.groupBy(*by).agg(F.sum(gap * wide).alias("wasserstein"), F.max(gap).alias("ks"))
@@ -146,16 +154,27 @@ def winsorised(df: DataFrame, value: str, by: list[str], low: float, high: float
     return near.withColumn(value, F.greatest(F.least(value, "_high"), "_low")).drop("_low", "_high")
 
 
-def robust_scaled(df: DataFrame, value: str, by: list[str], least: float = 1e-12) -> DataFrame:
+def robust_scaled(df: DataFrame, value: str, by: list[str], least: float = 1e-12, within: tuple[float, float] | None = None) -> DataFrame:
     """Values less their group's median, over its scaled MAD; over its standard deviation
-    where that is none. Groups with neither are left out."""
-    spread = df.groupBy(*by).agg(F.stddev_samp(value).alias("_s"))
-    near = beside(beside(df, quantiles(df, by, value, {"_m": 0.5}), by), spread, by)
-    off = near.select(*by, F.abs(F.col(value) - F.col("_m")).alias("_off"))
-    d = quantiles(off, by, "_off", {"_d": 0.5}).withColumn("_d", 1.4826 * F.col("_d"))
-    scale = F.when(F.col("_d") > least, F.col("_d")).when(F.col("_s") > least, F.col("_s"))
-    scaled = beside(near, d, by).withColumn("_scale", scale).where("_scale is not null")
-    return scaled.withColumn(value, (F.col(value) - F.col("_m")) / F.col("_scale")).drop("_m", "_s", "_d", "_scale")
+    where that is none. Groups with neither are left out. With ``within`` values beyond
+    these quantiles of their group are set to them first.
+
+    All is taken from counted values; the rows meet their group's figures once."""
+    held, x = written(counted(df, by, value)), F.col(value)
+    bounds = None
+    if within:
+        bounds = Stored(df.sparkSession).table(of_counts(held, by, value, {"_low": within[0], "_high": within[1]}), "bounds", keep=True)  # a row a group
+        cut = beside(held, bounds, by).select(*by, F.greatest(F.least(x, "_high"), "_low").alias(value), "n")
+        held = written(cut.groupBy(*by, value).agg(F.sum("n").alias("n")))
+    mean = Stored(df.sparkSession).table(held.groupBy(*by).agg((F.sum(x * F.col("n")) / F.sum("n")).alias("_mean"), F.sum("n").alias("_n")), "means", keep=True)
+    squares = beside(held, mean, by).groupBy(*by).agg(F.sum(F.col("n") * (x - F.col("_mean")) ** 2).alias("_q"), F.first("_n").alias("_n"))
+    spread = squares.select(*by, F.when(F.col("_n") > 1, F.sqrt(F.col("_q") / (F.col("_n") - 1))).alias("_s"))
+    d = 1.4826 * F.col("_d")
+    scale = F.when(d > least, d).when(F.col("_s") > least, F.col("_s"))
+    found = beside(medians_of(held, by, value), spread, by).withColumn("_scale", scale).where("_scale is not null").select(*by, "_m", "_scale")
+    found = Stored(df.sparkSession).table(beside(found, bounds, by) if within else found, "scales", keep=True)
+    kept = F.when(x.isNotNull(), F.greatest(F.least(x, "_high"), "_low")) if within else x
+    return beside(df, found, by).withColumn(value, (kept - F.col("_m")) / F.col("_scale")).drop("_m", "_scale", "_low", "_high")
 
 
 def sliced_distance(df: DataFrame, x: str, y: str, flag: str, by: list[str], slices: int = 8) -> DataFrame:
