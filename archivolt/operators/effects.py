@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.operators.inference import adjusted, hypergeometric
-from archivolt.operators.ordered import beside, counted, medians, quantiles, running
-from archivolt.operators.statistics import distances, dominance
+from archivolt.operators.ordered import MOST, beside, counted, medians, quantiles, running
+from archivolt.operators.statistics import distances_of, dominance_of, two_sides
 from archivolt.operators.stored import Stored
 
 #: Coefficients of the complementary error function's fit, relative error 1.2e-7.
@@ -139,19 +139,41 @@ def decile_intervals(df: DataFrame, key: str, value: str, flag: str, by: list[st
     return shift.groupBy(*by, "q").agg(F.percentile("d", (1 - level) / 2).alias("low"), F.percentile("d", (1 + level) / 2).alias("high"))
 
 
+def least_mixed(df: DataFrame, key: str, flag: str, keys: list[str], rounds: int, digits: int = 3) -> DataFrame:
+    """Of each side (``flag``) of each group and draw the first ``_m`` rows by a hash of key
+    and draw. The rows are counted by the hash's first hexadecimal ``digits``, so most are
+    known to be in or out; only those whose digits the border has are ordered."""
+    every = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary"))
+    every = every.withColumn("_h", mixed).withColumn("_d", F.substring("_h", 1, digits))
+    side = [*keys, flag]
+    n = every.groupBy(*side, "_d").agg(F.count(F.lit(1)).alias("_n"), F.first("_m").alias("_m"))
+    before = F.sum("_n").over(Window.partitionBy(*side).orderBy("_d")) - F.col("_n")
+    border = n.withColumn("_left", F.col("_m") - before).where((F.col("_left") > 0) & (F.col("_left") <= F.col("_n"))).select(*side, F.col("_d").alias("_at"), "_left")
+    border = Stored(df.sparkSession).table(border, "borders", keep=True)  # a row for each side and draw
+    met = every.join(border, side)
+    first = F.row_number().over(Window.partitionBy(*side).orderBy("_h", key))
+    ends = met.where("_d = _at").withColumn("_k", first).where("_k <= _left").drop("_k")
+    return met.where("_d < _at").unionByName(ends).drop("_h", "_d", "_at", "_left", "_m")
+
+
 def balanced(df: DataFrame, key: str, value: str, flag: str, by: list[str], rounds: int = 10) -> DataFrame:
     """Mean and deviation, over draws of as many rows of both sides as the smaller one has,
     of the median difference, dominance and distance. Draws go by a hash of key and
     round: a sample by intent."""
     rows = df.where(F.col(value).isNotNull())
-    n = rows.groupBy(*by).agg(F.least(F.count_if(F.col(flag)), F.count_if(~F.col(flag))).alias("_m")).where("_m > 0")
-    every = rows.join(n, by).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary"))
-    drawn = every.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "draw", flag).orderBy(mixed, key))).where("_k <= _m")
-    keys = [*by, "draw"]
-    f, v = F.col(flag), F.col(value)
-    med = drawn.groupBy(*keys).agg((F.median(F.when(f, v)) - F.median(F.when(~f, v))).alias("median_diff"))
-    each = med.join(dominance(drawn, value, flag, keys).select(*keys, "a"), keys).join(distances(drawn, value, flag, keys).select(*keys, "wasserstein"), keys)
+    n = rows.groupBy(*by).agg(F.least(F.count_if(F.col(flag)), F.count_if(~F.col(flag))).alias("_m"), F.count(F.lit(1)).alias("_rows")).where("_m > 0")
+    store, f, keys = Stored(df.sparkSession), F.col(flag), [*by, "draw"]
+    n = store.table(n, "sizes", keep=True)  # a row a group
+    tasks = -(-2 * rounds * (n.agg(F.sum("_rows")).first()[0] or 0) // MOST)
+    if tasks > df.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.repartition(tasks, key)  # so that no task makes much over half of MOST rows
+    drawn = least_mixed(rows.where(f.isNotNull()).join(n.drop("_rows"), by), key, flag, keys, rounds)
+    # one order of the drawn rows' counted values gives all three
+    r = store.table(two_sides(drawn, value, flag, keys), "drawn", keep=True)
+    x = F.col(value).cast("double")
+    med = r.groupBy(*keys).agg((_middle(x, "a") - _middle(x, "b")).alias("median_diff"))
+    each = med.join(dominance_of(r, keys).select(*keys, "a"), keys).join(distances_of(r, value, keys).select(*keys, "wasserstein"), keys)
     return each.groupBy(*by).agg(*(x for c in ("median_diff", "a", "wasserstein") for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))))
 
 

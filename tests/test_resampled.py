@@ -1,10 +1,12 @@
 """Intervals against numpy on the rows as often as each draw counts them."""
 
+import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from archivolt.operators import resampled
+from archivolt.operators import effects, resampled
 
 
 def plain(rows, draws, trim=0.2, threshold=0.0, steps=9):
@@ -95,3 +97,13 @@ def test_part_is_added_up_by_blocks(monkeypatch):
         made.append(layout.numbers(t, before, total, None))
         assert max(len(x[0]) for x in held) <= size
     assert np.allclose(*made)
+
+
+def test_balanced_draws_order_only_rows_at_the_border(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.lit("g").alias("g"), (F.col("id") % 3 == 0).alias("side"), F.lit(1000).alias("_m"))
+    for digits in (1, 3):
+        got = effects.least_mixed(df, "k", "side", ["g", "draw"], 2, digits).select("draw", "side", "k").collect()
+        for draw in (1, 2):
+            order = sorted((k for k in range(3000) if k % 3), key=lambda k: (hashlib.md5(f"{k}:{draw}".encode()).hexdigest(), k))
+            assert sorted(r.k for r in got if r.draw == draw and not r.side) == sorted(order[:1000])
+            assert sorted(r.k for r in got if r.draw == draw and r.side) == list(range(0, 3000, 3))
