@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,13 +95,15 @@ def classify_stage(text: str | None) -> tuple[float | None, str | None]:
     return best[1:] if best else (None, None)
 
 
-def _stages(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([classify_stage(t) for t in texts], columns=["value", "phrase"])
+def _stages(texts: pa.Array) -> pa.Array:
+    # one text at a time is a string; the others stay in the Arrow batch
+    found = [classify_stage(t.as_py()) for t in texts]
+    return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([p for _, p in found], pa.string())], ["value", "phrase"])
 
 
 def stage(text: Column) -> Column:
     """struct(value, phrase) of ``classify_stage``, by Arrow batches."""
-    return F.pandas_udf(_stages, "value double, phrase string")(text)
+    return F.arrow_udf(_stages, "value double, phrase string")(text)
 
 
 def file_format(names: Column) -> Column:

@@ -231,3 +231,26 @@ def test_fences_and_grid_without_whole_groups(spark, monkeypatch):
     got = effects.compared(same, "v", "f", ["g"]).first()
     every = np.array([v if f else 5.0 for g, v, f in rows if g == "a"])
     assert got.scale == pytest.approx(1.4826 * np.median(np.abs(every - np.median(every)))) and len(calls) == 3
+
+
+def test_robust_scaled_within_quantiles_is_winsorised_first(spark):
+    rows = [(g, k, v) for g, values in (("a", [1.0, 2.0, 2.0, 3.0, 50.0, -9.0]), (None, [5.0, 5.0, 5.0, 5.0, 5.0, 9.0]), ("flat", [4.0, 4.0, 4.0]), ("one", [4.0])) for k, v in enumerate(values)]
+    df = spark.createDataFrame([*rows, ("a", 9, None)], "g string, k int, v double")
+    got = {(r.g, r.k): r.v for r in statistics.robust_scaled(df, "v", ["g"], within=(0.05, 0.95)).collect()}
+    want = {}
+    for g in ("a", None):
+        v = np.array([x for h, _, x in rows if h == g])
+        v = np.clip(v, np.quantile(v, 0.05), np.quantile(v, 0.95))
+        mad = 1.4826 * np.median(np.abs(v - np.median(v)))
+        want |= {(g, k): (x - np.median(v)) / (mad if mad > 1e-12 else np.std(v, ddof=1)) for k, x in enumerate(v)}
+    assert got.pop(("a", 9)) is None
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_stages_come_from_an_arrow_batch_without_a_copy(spark):
+    import pyarrow as pa
+
+    from archivolt.functions import text
+
+    got = text._stages(pa.array(["collected at 24 hpf", None, "no number"]))
+    assert got.to_pylist() == [{"value": 24.0, "phrase": "hpf"}, {"value": None, "phrase": None}, {"value": None, "phrase": None}]
