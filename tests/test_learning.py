@@ -1,8 +1,10 @@
 """Components, classifiers, fences and clusters against plain versions."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,23 @@ def test_tail_fence_without_a_tail(spark):
     df = spark.createDataFrame([("a", 1.0)] * 30 + [("b", float(i)) for i in range(1000)], "g string, v double")
     got = {r.g: r.upper for r in learning.tail_fence(df, "v", ["g"]).collect()}
     assert got["a"] == 1.0 and 949 < got["b"] < 1005
+
+
+def test_features_are_one_flat_array(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1300, 2))  # several slices of rows
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i int, v array<double>").coalesce(1)
+    got = np.array([r.f for r in df.select("i", learning.fourier(F.col("v"), 2, 1.0, 16).alias("f")).orderBy("i").collect()])
+    draw = np.random.default_rng(42)
+    w, b = draw.normal(0, np.sqrt(2.0), (2, 16)), draw.uniform(0, 2 * np.pi, 16)
+    assert np.allclose(got, np.sqrt(2 / 16) * np.cos(v @ w + b))
+
+
+def test_features_take_no_more_memory_than_their_result():
+    v = np.random.default_rng(4).normal(size=(10_000, 64))
+    vs = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 64, dtype=np.int32)), pa.array(v.ravel()))
+    tracemalloc.start()
+    got = learning.cosines(vs, np.ones((64, 256)), np.zeros(256))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 10_000 and most < 1.2 * 10_000 * 256 * 8
