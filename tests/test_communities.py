@@ -92,3 +92,17 @@ def test_communities_of_little(spark):
     assert communities.found(none, [1.0]).count() == 0
     two = spark.createDataFrame([("x", "y", 1.0), ("y", "x", 1.0), ("p", "q", 2.0)], "a string, b string, weight double")
     assert sorted((r.node, r.community) for r in communities.found(two).collect()) == [("p", "p"), ("q", "p"), ("x", "x"), ("y", "x")]
+
+
+def test_no_table_of_nodes_is_broadcast(spark, monkeypatch):
+    plans, table = [], communities.Stored.table
+
+    def noted(self, df, label, **more):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return table(self, df, label, **more)
+
+    monkeypatch.setattr(communities.Stored, "table", noted)
+    df = spark.createDataFrame(planted(3, 8, 0.8, 0.05, 2), "a int, b int, weight double")
+    assert communities.found(df).count() == 24
+    assert {"sweep", "merge", "links", "nodes"} <= {label for label, _ in plans}
+    assert not [label for label, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan]
