@@ -66,8 +66,6 @@ TOP, COMPANY = 256, 12
 #: Different words a task holds while it counts.
 HELD = 1 << 20
 START, BYTES = 256, 257
-WHITE = np.zeros(256, bool)
-WHITE[[32, *range(9, 14)]] = True
 
 
 @dataclass(frozen=True)
@@ -80,23 +78,24 @@ class Shape:
 
 
 class Words:
-    """The words of some texts: hash of each, its bytes' place, words of each text."""
+    """The words of some texts: hash of each, a second one if ``both``, its bytes' place,
+    words of each text."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], both: bool = True):
         self.flat = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        inside = np.r_[False, ~WHITE[self.flat], False]
-        self.starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-        self.ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-        self.hash, self.second = hashes(self.flat, self.starts, self.ends)
+        white = np.r_[True, (self.flat == 32) | (self.flat - np.uint8(9) < 5), True]
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        self.starts, self.ends = edges[::2].copy(), edges[1::2].copy()
+        self.hash, self.second = hashes(self.flat, self.starts, self.ends, both)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.at = np.searchsorted(self.starts, bounds)
         self.n = np.diff(self.at)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
 
 
-def flats(texts: list[bytes]) -> Iterator[tuple[int, int, Words]]:
+def flats(texts: list[bytes], both: bool = False) -> Iterator[tuple[int, int, Words]]:
     for i, j in slices([len(t) for t in texts], FLAT):
-        yield i, j, Words(texts[i:j])
+        yield i, j, Words(texts[i:j], both)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -150,8 +149,12 @@ class Vocabulary:
         """Place of each word; ``size`` for rare ones."""
         if not self.size:
             return np.zeros(len(hashed), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashed), self.size - 1)
-        return np.where(self.words[at] == hashed, at, self.size)
+        order = np.argsort(hashed)  # what is sought in order is found in the cache
+        wanted = hashed[order]
+        at = np.minimum(np.searchsorted(self.words, wanted), self.size - 1)
+        out = np.empty(len(hashed), np.int64)
+        out[order] = np.where(self.words[at] == wanted, at, self.size)
+        return out
 
 
 def byte_pairs(w: Words, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +225,8 @@ def company(rows: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for _, _, w in flats(texts_of(b.column(1))):
                 index = v.index(w.hash)
-                cells, n = np.unique(index[:, None] * (COMPANY + 1) + group[contexts(index, w.n, v.size + 1)], return_counts=True)
-                total[cells] += n.astype(np.int32)
+                near = group[contexts(index, w.n, v.size + 1)]
+                np.add.at(total, (index[:, None] * (COMPANY + 1) + near).ravel(), np.int32(1))
                 pairs += np.bincount(byte_pairs(w, np.flatnonzero(index == v.size))[0], minlength=len(pairs))
         table = total.reshape(v.size + 1, COMPANY + 1)[:-1, :COMPANY]
         at = np.flatnonzero(table.any(axis=1))
@@ -320,68 +323,118 @@ def start(v: Vocabulary, shape: Shape, seed: int = 7) -> np.ndarray:
 
 
 def forward(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = p["e"][context].reshape(len(context), -1)
+    x = np.take(p["e"], context.ravel(), axis=0).reshape(len(context), -1)
     return x, np.tanh(x @ p["w"] + p["b"])
 
 
 def shares(z: np.ndarray) -> np.ndarray:
-    """The softmax of each row, in place."""
-    z -= z.max(axis=1, keepdims=True)
+    """The softmax of each column, in place."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= z.sum(axis=0)
     return z
 
 
+def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each column at its row ``at``; ``z`` is overwritten."""
+    z -= z.max(axis=0)
+    one = z[at, np.arange(len(at))]
+    return one - np.log(np.exp(z, out=z).sum(axis=0))
+
+
 def by_group(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bounds of the groups, the group of each target, the targets' order by group, and
     where each group begins in it."""
     bounds = v.bounds
-    group = np.searchsorted(bounds, target, side="right") - 1
-    order = np.argsort(group, kind="stable")
-    return bounds, group, order, np.searchsorted(group[order], np.arange(len(bounds)))
+    most = np.min_scalar_type(len(bounds))  # small numbers are sorted by radix
+    group = np.repeat(np.arange(len(bounds) - 1, dtype=most), np.diff(bounds))[target]
+    begins = np.r_[0, np.cumsum(np.bincount(group, minlength=len(bounds) - 1))]
+    return bounds, group.astype(np.int64), np.argsort(group, kind="stable"), begins
+
+
+def blocks(bounds: np.ndarray, begins: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """The classes of each group and the rows, ordered by group, that are of it."""
+    for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        if i < j:
+            yield slice(a, b), slice(i, j)
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    """The rows with a 1 behind each, which the biases are multiplied by."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def in_group(weights: np.ndarray, bounds: np.ndarray, begins: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The scores of the classes of each row's group, in a column; minus infinity in place of
+    classes that its group lacks. ``h`` is ordered by group, ``weights`` has a row a class."""
+    out = np.full((int(np.diff(bounds).max()), len(h)), -np.inf, np.result_type(h, weights))
+    for classes, rows in blocks(bounds, begins):
+        out[: classes.stop - classes.start, rows] = weights[classes] @ h[rows].T
+    return out
 
 
 def class_logs(p: dict[str, np.ndarray], v: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log-probability of each target class."""
     bounds, group, order, begins = by_group(v, target)
-    out = np.log(shares(h @ p["u"] + p["c"])[np.arange(len(target)), group])
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        at = order[begins[k] : begins[k + 1]]
-        if len(at) and b - a > 1:
-            out[at] += np.log(shares(h[at] @ p["v"][:, a:b] + p["d"][a:b])[np.arange(len(at)), target[at] - a])
+    h, target, group = with_one(np.take(h, order, axis=0)), target[order], group[order]
+    log = log_share(np.vstack([p["u"], p["c"]]).T @ h.T, group)
+    log += log_share(in_group(np.vstack([p["v"], p["d"]]).T, bounds, begins, h), target - bounds[group])
+    out = np.empty_like(log)
+    out[order] = log
     return out
 
 
+def put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Rows of a table set, each as one value."""
+    whole = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(whole)[:, 0][at] = rows.view(whole)[:, 0]
+
+
+def sums_by_word(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words, and of each the sum of its columns of ``values`` (dimensions,
+    places of words) as a row."""
+    order = np.argsort(words)
+    sorted_words = words[order]
+    new = np.r_[True, sorted_words[1:] != sorted_words[:-1]]
+    of = np.empty(len(words), np.int64)
+    of[order] = np.cumsum(new) - 1
+    rows = sorted_words[new]
+    out = np.empty((len(rows), len(values)), values.dtype)
+    for d, x in enumerate(values):
+        out[:, d] = np.bincount(of, x, len(rows))
+    return rows.astype(np.int64), out
+
+
 def step(p: dict[str, np.ndarray], v: Vocabulary, squares: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of Adagrad on the cross-entropy of a batch, in place; of the embeddings
     only the batch's own rows are touched."""
     n = len(target)
     bounds, group, order, begins = by_group(v, target)
-    context, target, group = context[order], target[order], group[order]
+    context, target, group, each = np.take(context, order, axis=0), target[order], group[order], np.arange(n)
     x, h = forward(p, context)
-    g = shares(h @ p["u"] + p["c"])
-    g[np.arange(n), group] -= 1
+    h1, upper, lower = with_one(h), np.vstack([p["u"], p["c"]]), np.ascontiguousarray(np.vstack([p["v"], p["d"]]).T)
+    g = shares(upper.T @ h1.T)
+    g[group, each] -= 1
     g /= n
-    into_hidden = g @ p["u"].T
-    deeper, base = np.zeros_like(p["v"]), np.zeros_like(p["d"])
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        at = slice(begins[k], begins[k + 1])
-        if begins[k] < begins[k + 1] and b - a > 1:
-            q = shares(h[at] @ p["v"][:, a:b] + p["d"][a:b])
-            q[np.arange(len(q)), target[at] - a] -= 1
-            q /= n
-            into_hidden[at] += q @ p["v"][:, a:b].T
-            deeper[:, a:b], base[a:b] = h[at].T @ q, q.sum(axis=0)
+    q = shares(in_group(lower, bounds, begins, h1))
+    q[target - bounds[group], each] -= 1
+    q /= n
+    into_hidden, deeper = g.T @ p["u"].T, np.zeros_like(lower)
+    for classes, rows in blocks(bounds, begins):
+        some = q[: classes.stop - classes.start, rows]
+        into_hidden[rows] += some.T @ lower[classes, :-1]
+        deeper[classes] = some @ h1[rows]
     back = into_hidden * (1 - h * h)
-    into = (back @ p["w"].T).reshape(n * len(OFFSETS), -1)
-    flat = context.ravel().astype(np.int32)
-    by_word = np.argsort(flat)
-    words = flat[by_word]
-    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-    rows, deep = words[first], np.add.reduceat(into[by_word], first, axis=0)
-    squares["e"][rows] += deep * deep
-    p["e"][rows] -= rate * deep / np.sqrt(squares["e"][rows] + 1e-8)
-    for k, grad in (("w", x.T @ back), ("b", back.sum(axis=0)), ("u", h.T @ g), ("c", g.sum(axis=0)), ("v", deeper), ("d", base)):
+    into = (p["w"] @ back.T).reshape(len(OFFSETS), -1, n).transpose(1, 0, 2).reshape(-1, n * len(OFFSETS))
+    rows, deep = sums_by_word(context.T.ravel().astype(np.int32), into)
+    square = np.take(squares["e"], rows, axis=0)
+    square += deep * deep
+    put(squares["e"], rows, square)
+    put(p["e"], rows, np.take(p["e"], rows, axis=0) - rate * deep / np.sqrt(square + 1e-8))
+    higher = (g @ h1).T
+    for k, grad in (("w", x.T @ back), ("b", back.sum(axis=0)), ("u", higher[:-1]), ("c", higher[-1]), ("v", deeper.T[:-1]), ("d", deeper.T[-1])):
         squares[k] += grad * grad
         p[k] -= rate * grad / np.sqrt(squares[k] + 1e-8)
 
@@ -427,7 +480,7 @@ def trained(rows: DataFrame, v: Vocabulary, shape: Shape, begin: np.ndarray) ->
                 size = max(shape.batch // 8, min(shape.batch, len(index) // 64))  # a small task takes steps enough, too
                 for k in range(0, len(index), size):
                     at = order[k : k + size]
-                    step(p, v, squares, context[at], target[at], shape.rate)
+                    step(p, v, squares, np.take(context, at, axis=0), target[at], shape.rate)
                 seen += len(index)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "flat"])
@@ -490,7 +543,7 @@ def by_network(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for i, j, w in flats(texts_of(b.column(1))):
+            for i, j, w in flats(texts_of(b.column(1)), both=True):
                 log = known.value.log_probabilities(w)
                 number = np.arange(row, row + j - i)
                 row += j - i

@@ -54,30 +54,37 @@ def kinds_of(pieces: Callable[[str], list], single_digits: bool) -> Kinds:
     return Kinds(ask)
 
 
-def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each span; the spans are in order, not empty, and don't overlap."""
+def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span; the spans are in order, not empty, and don't overlap. The
+    second ones are left out (empty) if not ``both``."""
+    one, two = np.empty(len(starts), np.uint64), np.empty(len(starts) if both else 0, np.uint64)
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    n, low = int(ends[-1]), int(starts[0])
-    place = np.arange(low, n + 1)
-    place -= np.repeat(starts, np.diff(np.r_[starts, n + 1]))
-    x = np.zeros(n + 1 - low, np.uint64)
-    x[:-1] = place[:-1].astype(np.uint64) << np.uint64(21) | codes[low:n]
-    y = np.empty_like(x)
-    for k in range(0, len(x), BLOCK):
-        a, b = x[k : k + BLOCK], y[k : k + BLOCK]
-        a += M3
-        a *= M1
-        a ^= a >> np.uint64(30)
-        a *= M2
-        a ^= a >> np.uint64(27)
-        np.multiply(a, M3, out=b)
-        b ^= b >> np.uint64(31)
-        b *= M1
-        b ^= b >> np.uint64(29)
-    edges = np.empty(2 * len(starts), np.int64)
-    edges[0::2], edges[1::2] = starts - low, ends - low
-    return np.add.reduceat(x, edges)[::2], np.add.reduceat(y, edges)[::2]
+        return one, two
+    # the spans that begin in one block of cells
+    at = np.unique(np.r_[np.searchsorted(starts, np.arange(int(starts[0]), int(starts[-1]) + 1, BLOCK)), len(starts)])
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        low, n = int(starts[i]), int(ends[j - 1])
+        x = np.arange(low, n, dtype=np.uint64)
+        x -= np.repeat(starts[i:j].astype(np.uint64), np.diff(np.r_[starts[i:j], n]))
+        x <<= np.uint64(21)
+        x |= codes[low:n]
+        y, first, last = np.empty_like(x), starts[i:j] - low, ends[i:j] - low - 1
+        x += M3
+        x *= M1
+        x ^= np.right_shift(x, np.uint64(30), out=y)
+        x *= M2
+        x ^= np.right_shift(x, np.uint64(27), out=y)
+        # sums of spans are differences of running sums, all modulo 2^64
+        np.cumsum(x, out=y)
+        one[i:j] = y[last] - y[first] + x[first]
+        if both:
+            x *= M3
+            x ^= np.right_shift(x, np.uint64(31), out=y)
+            x *= M1
+            x ^= np.right_shift(x, np.uint64(29), out=y)
+            np.cumsum(x, out=y)
+            two[i:j] = y[last] - y[first] + x[first]
+    return one, two
 
 
 def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
