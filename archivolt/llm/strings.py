@@ -61,11 +61,15 @@ def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, both: bool =
     if not len(starts):
         return one, two
     # the spans that begin in one block of cells
-    at = np.unique(np.r_[np.searchsorted(starts, np.arange(int(starts[0]), int(starts[-1]) + 1, BLOCK)), len(starts)])
-    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+    at = [0, len(starts)]
+    if starts[-1] - starts[0] >= BLOCK:
+        at = np.unique(np.append(np.searchsorted(starts, np.arange(int(starts[0]), int(starts[-1]) + 1, BLOCK)), len(starts))).tolist()
+    for i, j in zip(at[:-1], at[1:], strict=True):
         low, n = int(starts[i]), int(ends[j - 1])
         x = np.arange(low, n, dtype=np.uint64)
-        x -= np.repeat(starts[i:j].astype(np.uint64), np.diff(np.r_[starts[i:j], n]))
+        size = np.full(j - i, n - starts[j - 1])
+        np.subtract(starts[i + 1 : j], starts[i : j - 1], out=size[:-1])
+        x -= np.repeat(starts[i:j].astype(np.uint64), size)
         x <<= np.uint64(21)
         x |= codes[low:n]
         y, first, last = np.empty_like(x), starts[i:j] - low, ends[i:j] - low - 1
