@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,31 @@ def test_cells_only_go_to_bands_with_their_column(spark):
     assert every.count() == 2 * 160 - 20  # all cells were in all bands' tiles before: 8 * 160
 
 
+def test_bands_that_all_share_columns_are_sent_packed(spark):
+    """Few of many pairs share a column, of any band: the same partners as of the whole
+    matrix, and a band goes out as one row of a few bytes a cell."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((60, 400)) < 0.02, rng.integers(1, 9, (60, 400)), 0).astype(float)
+    x[:, 0] = np.maximum(x[:, 0], rng.integers(0, 2, 60) * 9)  # shared by half of the rows
+    m = spark.createDataFrame([(int(s), int(g), float(x[g, s])) for g, s in zip(*np.nonzero(x), strict=True)], "sample long, gene long, value double")
+    used = x[:, x.any(axis=0)]
+    want, kept = np.corrcoef(used), [g for g in range(60) if used[g].any()]
+    best = {}
+    for r in correlated.strongest(m, 3, "gene", 0.0, 10).collect():
+        best.setdefault(r.id, []).append((r.rank, r.other, r.r))
+    assert sorted(best) == kept
+    for g in kept:
+        near = sorted((-np.floor(abs(want[g, j]) * 1e6 + 0.5), j) for j in kept if j != g)[:3]
+        assert [o for _, o, _ in sorted(best[g])] == [j for _, j in near]
+        assert all(abs(r - want[g, o]) < 2e-6 for _, o, r in best[g])
+    row = rng.integers(0, 500, 20_000)
+    t = pa.table({"_b": pa.array(np.full(20_000, 3), pa.int32()), "row": row, "_x": rng.integers(0, 300, 20_000), "v": rng.integers(1, 50, 20_000).astype(float)})
+    got = correlated.packed(t, 300.0)
+    assert got.num_rows == 1 and got.nbytes < 6 * 20_000
+    band = correlated.Band({c: got.column(c)[0] for c in got.column_names})
+    assert band.v.sum() == t.column("v").to_numpy().sum() and np.array_equal(np.bincount(band.at, band.v), np.bincount(row, t.column("v").to_numpy()))
+
+
 def test_sketches_merge_in_any_order(spark):
     rng = random.Random(1)
     rows = [(g, k % 7, rng.choice([0.0, None, float("nan"), rng.gauss(5, 2)])) for g, n in (("a", 30_000), ("b", 300), ("c", 3)) for k in range(n)]
