@@ -208,6 +208,29 @@ def test_correlation_in_bands(spark, monkeypatch):
     assert all(got[k][0] == pytest.approx(r) and got[k][1] == c for k, (r, c) in want.items())
 
 
+def test_correlation_sends_bands_and_no_cells(spark, monkeypatch):
+    """Bands of few cells, two beside each; flat and zero cells stay; what is dealt to the
+    tasks is a row for each pair of bands, though all bands share genes."""
+    monkeypatch.setattr(matrix, "CELLS", 60)
+    monkeypatch.setattr(matrix, "BESIDE", 2)
+    rng = random.Random(14)
+    cells = {(s, g): float(rng.randrange(0, 5)) for s in range(40) for g in range(50) if rng.random() < 0.25} | {(40, g): 2.0 for g in range(50)}
+    df = spark.createDataFrame([(s, g, v) for (s, g), v in cells.items()], "sample int, gene long, value double").repartition(3)
+    r = matrix.correlation(df)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "at#" in plan and "gene#" not in plan  # packed, no cells by gene
+    got = {(x.a, x.b): (x.r, x.n) for x in r.collect()}
+    x, there = np.zeros((41, 50)), np.zeros((41, 50), int)
+    for (s, g), v in cells.items():
+        x[s, g], there[s, g] = v, 1
+    both = there @ there.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        want = np.corrcoef(x)
+    assert set(got) == {(a, b) for a in range(41) for b in range(a + 1, 41) if both[a, b]}
+    for (a, b), (v, n) in got.items():
+        assert n == both[a, b] and (v is None if 40 in (a, b) else v == pytest.approx(want[a, b], abs=1e-9))
+
+
 def test_fences_and_grid_without_whole_groups(spark, monkeypatch):
     """Fences from parts of a group, null groups and groups without a value; one order of
     the rows gives the median of both sides together."""
