@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.operators import inference, learning
+from archivolt.operators import inference, learning, ordered
 
 
 def test_components(spark):
@@ -52,6 +52,23 @@ def test_skew_fences(spark, skewed):
     assert learning._medcouple([1.0, 1.0, 1.0]) == 0.0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 16])
+def test_medcouple_of_all_pairs(spark, monkeypatch, most):
+    """Over all pairs, however many values a task holds; repeated values too."""
+    monkeypatch.setattr(ordered, "MOST", most)
+    draw = np.random.default_rng(8)
+    groups = {"a": draw.exponential(size=401), None: np.round(draw.exponential(3, 300), 1), "few": np.array([1.0, 2.0, 9.0, 10.0]), "same": np.ones(5)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double").repartition(3)
+    got = {r.g: r.mc for r in learning.skew_fences(df, "v", ["g"]).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        m, x = np.median(x), np.sort(x)
+        low, high = x[x <= m] - m, x[x >= m] - m
+        p = int((x == m).sum())
+        h = [np.sign(i + j - (p - 1)) if a == b == 0 else (b + a) / (b - a) for i, b in enumerate(high) for j, a in enumerate(low[::-1])]
+        assert got[g] == pytest.approx(np.median(h), abs=1e-9)
+
+
 def test_tail_fence_without_a_tail(spark):
     df = spark.createDataFrame([("a", 1.0)] * 30 + [("b", float(i)) for i in range(1000)], "g string, v double")
     got = {r.g: r.upper for r in learning.tail_fence(df, "v", ["g"]).collect()}
