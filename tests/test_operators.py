@@ -231,6 +231,25 @@ def test_correlation_sends_bands_and_no_cells(spark, monkeypatch):
         assert n == both[a, b] and (v is None if 40 in (a, b) else v == pytest.approx(want[a, b], abs=1e-9))
 
 
+def test_ranks_are_packed_exactly(spark, monkeypatch):
+    """Halves, whole and other numbers keep their values; rank correlations over bands of few
+    cells are those of the whole matrix."""
+    from archivolt.operators import correlated
+
+    for x, size in (([1.0, 200.0], 1), ([70_000.0, 3.0], 4), ([2.5, 8.5], 4), ([0.1, 1e300], 8), ([float("nan"), -1.0], 8)):
+        got = correlated.slim(np.array(x))
+        assert got.itemsize == size and np.array_equal(got.astype(float), x, equal_nan=True)
+    monkeypatch.setattr(matrix, "CELLS", 40)
+    rng = random.Random(15)
+    x = np.array([[float(rng.randrange(1, 5)) if rng.random() < 0.3 else 0.0 for _ in range(30)] for _ in range(20)])
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in zip(*(c.tolist() for c in np.nonzero(x)), strict=True)], "sample int, gene int, value double")
+    used = x[:, x.any(axis=0)]
+    want = np.corrcoef([[(row < v).sum() + (row == v).sum() / 2 for v in row] for row in used])
+    got = matrix.correlation(matrix.rank_values(m)).collect()
+    assert len(got) == sum(bool(((x[a] > 0) & (x[b] > 0)).any()) for a in range(20) for b in range(a + 1, 20))
+    assert all(r.r == pytest.approx(want[r.a, r.b]) for r in got)
+
+
 def test_fences_and_grid_without_whole_groups(spark, monkeypatch):
     """Fences from parts of a group, null groups and groups without a value; one order of
     the rows gives the median of both sides together."""
